@@ -1,0 +1,5 @@
+"""No stateful stream operator is in scope.
+
+The parsers in ``fitgrain.functions.parsing`` and every model's ``predict`` are
+plain projections, so they also apply to a DataFrame from ``readStream``.
+"""
