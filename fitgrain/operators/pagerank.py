@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitgrain.session import settings, shared_folder
 
 RESET = 0.15
-EDGES_PER_PARTITION = 2_000_000
+LINKS_PER_PARTITION, MOST_LINKS_PER_PARTITION = 200_000, 20_000_000
 STEPS_SMALL, STEPS_LARGE = 4, 2
 
 
@@ -46,8 +46,7 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     persisted = [counted]
     try:
         links = counted.count()
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(parts, ceil(links / EDGES_PER_PARTITION)))
+        parts = _partitions(links, int(spark.conf.get("spark.sql.shuffle.partitions")))
         # Adaptive plans hide how cached and checkpointed tables lie; the loop depends on it.
         with settings(
             spark, spark__sql__shuffle__partitions=parts, spark__sql__adaptive__enabled="false"
@@ -79,6 +78,12 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
             table.unpersist()
 
 
+def _partitions(links: int, session: int) -> int:
+    """As many as the session uses, fewer for few links, more where partitions would burst."""
+    needed = max(session, ceil(links / MOST_LINKS_PER_PARTITION))
+    return max(1, min(needed, ceil(links / LINKS_PER_PARTITION)))
+
+
 def _initial_state(counted: DataFrame, slice_size: int) -> DataFrame:
     """One row per vertex ``src``: rank, last change, out-degree and number of slices."""
     none = F.lit(0).cast("bigint")
