@@ -90,15 +90,17 @@ def fit_kmeans(
     parallel k-means++ (``seed``).
     """
     dim = dimension(df, features)
-    if centres is None:
-        start = _parallel_start(df, k, seed, features)
-    else:
-        start = np.array(centres, dtype=float)
-    if dim * len(start) <= NARROW * 4:
+    if centres is not None and np.shape(centres) != (k, dim):
+        raise ValueError(f"expected {k} centres of {dim} values")
+    if dim * k <= NARROW * 4:
         points, sums = _narrow_rounds(df, features, dim)
     else:
         points, sums = _wide_rounds(df, features, dim)
     try:
+        if centres is None:
+            start = _parallel_start(df, k, seed, features)
+        else:
+            start = np.array(centres, dtype=float)
         return _lloyd(start, max_iterations, sums)
     finally:
         points.unpersist()

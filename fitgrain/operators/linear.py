@@ -48,8 +48,6 @@ class LinearModel:
     ) -> DataFrame:
         """Append the margin, or 1.0 / 0.0 for above / not above the threshold."""
         margin = dot(df, features, self.weights)
-        if len(self.weights) > NARROW:
-            margin = F.get(margin, F.lit(0))
         if self.threshold is None:
             return df.withColumn(output, margin)
         return df.withColumn(

@@ -93,9 +93,9 @@ def test_wide_linear_models_equal_mllib_dense_and_sparse(spark, wide):
 def test_grouping_equal_rows_changes_nothing(spark, data, monkeypatch):
     x, y = np.round(data[0]), data[1]
     df = frame(spark, x, y)
-    grouped = [fit_svm(df, 20).weights, fit_kmeans(df, centres=x[:2]).centres]
+    grouped = [fit_svm(df, 20).weights, fit_kmeans(df, 2, centres=x[:2]).centres]
     monkeypatch.setattr(grain, "SHRINK", 10**9)
-    single = [fit_svm(df, 20).weights, fit_kmeans(df, centres=x[:2]).centres]
+    single = [fit_svm(df, 20).weights, fit_kmeans(df, 2, centres=x[:2]).centres]
     for a, b in zip(grouped, single):
         assert np.allclose(a, b, atol=1e-12)
 
