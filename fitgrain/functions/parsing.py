@@ -38,30 +38,40 @@ def field(fields: Column, position: int) -> Column:
     return F.get(fields, F.lit(position))
 
 
-def doubles(fields: Column) -> Column:
-    """Array of text to array of double."""
-    return F.transform(fields, to_double)
-
-
 def tail(fields: Column) -> Column:
     """All elements but the first."""
     return F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))
 
 
+def with_numbers(lines: DataFrame, fields: Column, *others: Column) -> DataFrame:
+    """Fields as ``numbers array<double>``; a missing or non-numeric field raises.
+
+    The cast of a whole array is generated code and runs once, in a step of its own
+    below the check.
+    """
+    cast = lines.select(
+        fields.alias("fields"), fields.try_cast("array<double>").alias("numbers"), *others
+    )
+    numbers = F.col("numbers")
+    bad = numbers.isNull() | F.exists(numbers, lambda number: number.isNull())
+    shown = F.coalesce(F.array_join("fields", "|"), F.lit("missing field"))
+    message = F.concat(F.lit("not a number among: "), shown)
+    checked = F.when(bad, F.raise_error(message).cast("array<double>")).otherwise(numbers)
+    return cast.withColumn("numbers", checked).drop("fields")
+
+
 def parse_labelled_csv(lines: DataFrame, column: str = "value") -> DataFrame:
     """``label,f1,f2,...`` to ``label double, features array<double>``."""
-    fields = split_fields(F.col(column), ",")
-    return lines.select(
-        to_double(field(fields, 0)).alias("label"), doubles(tail(fields)).alias("features")
-    )
+    return _label_first(lines, split_fields(F.col(column), ","))
 
 
 def parse_labelled_nested(lines: DataFrame, column: str = "value") -> DataFrame:
     """``label,f1 f2 ...`` to ``label double, features array<double>``."""
-    fields = split_fields(F.col(column), ",")
-    return lines.select(
-        to_double(field(fields, 0)).alias("label"),
-        _required(doubles(split_fields(field(fields, 1), " "))).alias("features"),
+    outer = split_fields(F.col(column), ",")
+    label = field(outer, 0).alias("label_text")
+    read = with_numbers(lines, split_fields(field(outer, 1), " "), label)
+    return read.select(
+        to_double(F.col("label_text")).alias("label"), F.col("numbers").alias("features")
     )
 
 
@@ -74,18 +84,20 @@ def parse_labelled_spaces(
     spaces and then the second field on spaces yields; ``"all"`` keeps every one.
     """
     fields = split_fields(F.col(column), " ")
-    if features == "first":
-        values = doubles(F.array(field(fields, 1)))
-    elif features == "all":
-        values = doubles(tail(fields))
-    else:
+    if features == "all":
+        return _label_first(lines, fields)
+    if features != "first":
         raise ValueError(f"features must be 'first' or 'all', not {features!r}")
-    return lines.select(to_double(field(fields, 0)).alias("label"), values.alias("features"))
+    return lines.select(
+        to_double(field(fields, 0)).alias("label"),
+        F.array(to_double(field(fields, 1))).alias("features"),
+    )
 
 
 def parse_vectors(lines: DataFrame, column: str = "value") -> DataFrame:
     """``x1 x2 ...`` to ``features array<double>``."""
-    return lines.select(doubles(split_fields(F.col(column), " ")).alias("features"))
+    read = with_numbers(lines, split_fields(F.col(column), " "))
+    return read.select(F.col("numbers").alias("features"))
 
 
 def parse_id_name(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -110,5 +122,12 @@ def parse_edges(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def _label_first(lines: DataFrame, fields: Column) -> DataFrame:
+    numbers = F.col("numbers")
+    return with_numbers(lines, fields).select(
+        field(numbers, 0).alias("label"), tail(numbers).alias("features")
+    )
+
+
 def _required(value: Column) -> Column:
     return F.coalesce(value, F.raise_error(F.lit("missing field")))

@@ -176,6 +176,7 @@ def partition_sums(
     cells = (
         df.mapInArrow(per_task, "row int, cells array<double>")
         .select("row", F.posexplode("cells").alias("col", "cell"))
+        .filter("cell <> 0")
         .groupBy("row", "col")
         .agg(F.sum("cell").alias("cell"))
     )

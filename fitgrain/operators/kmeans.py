@@ -205,11 +205,14 @@ def _narrow_rounds(df: DataFrame, features: str, dim: int):
 
 
 def _wide_rounds(df: DataFrame, features: str, dim: int):
-    points = df.select(kernel_column(df, features).alias("x")).persist()
-    profile = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(length(df, features) != dim).alias("wrong"),
+    points = df.select(
+        kernel_column(df, features).alias("x"), (length(df, features) != dim).alias("wrong")
+    ).persist()
+    profile = points.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("wrong").alias("wrong")
     ).first()
+    if profile["wrong"]:
+        points.unpersist()
     _check(profile["rows"], profile["wrong"], dim)
 
     def sums(centres: np.ndarray) -> np.ndarray:
@@ -225,6 +228,6 @@ def _wide_rounds(df: DataFrame, features: str, dim: int):
                 out[cluster, -1] = member.sum()
             return out
 
-        return partition_sums(points, kernel, (k, dim + 1))
+        return partition_sums(points.select("x"), kernel, (k, dim + 1))
 
     return points, sums

@@ -145,14 +145,6 @@ def _check(rows: int, bad_labels: int, wrong_lengths: int, dim: int) -> None:
         raise ValueError(f"{wrong_lengths} rows do not have {dim} features")
 
 
-def _checks(df: DataFrame, features: str, dim: int, bad_label: Column) -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(bad_label).alias("bad"),
-        F.count_if(length(df, features) != dim).alias("wrong"),
-    ]
-
-
 def _moment_gradient(
     df: DataFrame, label: str, features: str, dim: int
 ) -> Callable[[np.ndarray], np.ndarray]:
@@ -224,11 +216,19 @@ def _descend_wide(
     bad_label: Column,
 ) -> tuple[np.ndarray, int]:
     """One numpy pass per round; ``coefficient`` gives each row's factor of ``x``."""
-    points = df.select(
-        F.col(label).cast("double").alias("y"), kernel_column(df, features).alias("x")
+    checked = df.select(
+        F.col(label).cast("double").alias("y"),
+        kernel_column(df, features).alias("x"),
+        bad_label.alias("bad"),
+        (length(df, features) != dim).alias("wrong"),
     ).persist()
+    points = checked.select("y", "x")
     try:
-        profile = df.agg(*_checks(df, features, dim, bad_label)).first()
+        profile = checked.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if("bad").alias("bad"),
+            F.count_if("wrong").alias("wrong"),
+        ).first()
         _check(profile["rows"], profile["bad"], profile["wrong"], dim)
 
         def gradient(w: np.ndarray) -> np.ndarray:
@@ -241,4 +241,4 @@ def _descend_wide(
 
         return _descend(gradient, dim, iterations, shrink)
     finally:
-        points.unpersist()
+        checked.unpersist()
