@@ -26,8 +26,12 @@ def worth_grouping(rows: int, distinct: int) -> bool:
 
 
 def gather(grouped: DataFrame, distinct: int) -> DataFrame:
-    """Fewer partitions for a grouped table, so that a round over it is a few tasks."""
-    return grouped.coalesce(max(1, ceil(distinct / GROUPED_ROWS_PER_PARTITION)))
+    """Few partitions for a grouped table, so that a round over it is a few tasks.
+
+    A shuffle of the grouped rows, not a coalesce: that would also put the final
+    aggregation, fed by every task of the scan, into those few tasks.
+    """
+    return grouped.repartition(max(1, ceil(distinct / GROUPED_ROWS_PER_PARTITION)))
 
 
 def weigh(df: DataFrame, rows: int, distinct: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitgrain.functions.summaries import value_sets_and_quantiles
+
 AUC_RANGE_ROWS = 200_000
 AUC_RANGES = 2_000
 
@@ -125,7 +127,8 @@ def _score_ranges(ranked: DataFrame, distinct: int) -> DataFrame:
     cuts = []
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(ranked.agg(F.percentile_approx("s", shares, 10 * parts)).first()[0]))
+        found = value_sets_and_quantiles(ranked, distinct, [], ["s"], shares)
+        cuts = sorted(set(found["s"]))
     if not cuts:
         return ranked.withColumn("part", F.lit(0.0))
     ranges = Bucketizer(

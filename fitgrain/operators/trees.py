@@ -16,6 +16,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fitgrain.functions.summaries import value_sets_and_quantiles
 from fitgrain.functions.vectors import dimension, is_vector, length, unpack
 from fitgrain.operators.grain import distinct_estimate, gather, worth_grouping
 
@@ -173,27 +174,23 @@ def _candidates(
         raise ValueError(f"about {profile['y']} classes; at most {MAX_CLASSES} are supported")
     # Value sets are only collected where the estimate says that they are small.
     shares = [i / max_bins for i in range(1, max_bins)]
-    wanted = [
-        F.collect_set(name).alias(name)
-        if profile[name] <= EXACT_VALUES
-        else F.percentile_approx(name, shares, 10_000).alias(name)
-        for name in names
-    ]
-    if impurity == "gini":
-        wanted.append(F.collect_set("y").alias("y"))
-    found = flat.agg(*wanted).first()
+    small = [name for name in names if profile[name] <= EXACT_VALUES]
+    large = [name for name in names if name not in small]
+    labels = ["y"] if impurity == "gini" else []
+    found = value_sets_and_quantiles(
+        flat, profile["rows"], small + labels, large, shares
+    )
     thresholds = []
     for name in names:
         values = np.unique(np.array(found[name], dtype=float) + 0.0)
-        if profile[name] > EXACT_VALUES:
-            # The top quantile can be the largest value, which splits nothing off.
+        if name in large:
             thresholds.append([float(v) for v in values])
         elif len(values) <= max_bins:
             thresholds.append([float(v) for v in (values[1:] + values[:-1]) / 2.0])
         else:
             at = np.quantile(values, shares, method="lower")
             thresholds.append([float(v) for v in np.unique(at)])
-    classes = sorted(found["y"]) if impurity == "gini" else None
+    classes = found["y"] if impurity == "gini" else None
     return profile["rows"], thresholds, classes
 
 
