@@ -65,7 +65,8 @@ class BayesModel:
             for c, label in enumerate(self.labels)
             for j in range(self.theta.shape[1])
         ]
-        return spark.createDataFrame(rows, f"label {self.label_type}, j int, pi double, theta double")
+        schema = f"label {self.label_type}, j int, pi double, theta double"
+        return spark.createDataFrame(rows, schema)
 
 
 def fit_naive_bayes(

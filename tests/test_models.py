@@ -102,7 +102,9 @@ def test_grouping_equal_rows_changes_nothing(spark, data, monkeypatch):
 
 def test_svm_rejects_other_labels(spark):
     for label in (-1.0, 2.0, None):
-        df = spark.createDataFrame([(label, [1.0]), (1.0, [2.0])], "label double, features array<double>")
+        df = spark.createDataFrame(
+            [(label, [1.0]), (1.0, [2.0])], "label double, features array<double>"
+        )
         with pytest.raises(ValueError, match="validation failed"):
             fit_svm(df)
 
