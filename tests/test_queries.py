@@ -2,11 +2,11 @@ import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__
+from fitgrain.plans.oracles import SQL
+from fitgrain.plans.tables import QUERIES
 from tests import compare
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
 SEEDED = {"program_svm_auc", "program_naive_bayes_accuracy", "program_kmeans_cost"}
 
 
@@ -20,6 +20,11 @@ def test_every_query_but_the_seeded_ones_has_sql():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_the_driver_sees_them_all():
+    assert QUERIES.items() <= __spark_entry__.queries().items()
+    assert SQL.items() <= __spark_entry__.oracle_sql().items()
+
+
 def test_entry(spark):
     result = __spark_entry__.entry(spark)
     assert isinstance(result, DataFrame)
