@@ -111,15 +111,40 @@ def node_of(members: np.ndarray, seed: int) -> int:
     return _signed(xxhash.xxh3_64_intdigest(members.tobytes(), seed))
 
 
+def parities(members: np.ndarray) -> bytes:
+    """A bit for each cell of hashes: whether an odd number of the set is in it.
+
+    At least as many bits as elements, a power of two. Bits in which two sets differ are
+    no more than the elements in which they differ.
+    """
+    size = 64
+    while size < len(members):
+        size *= 2
+    odd = np.bincount((members >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits(odd.astype(np.uint8) & 1).tobytes()
+
+
+def unlike_bits(x: bytes, y: bytes) -> int:
+    """Differing bits, the longer of the two folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        # Cells of the same low bits: the halves of the longer one.
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.unpackbits(a ^ b).sum())
+
+
 def _nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """``id, node, check, n`` of each document; node is null for an empty set."""
+    """``id, node, check, n, bits`` of each document; node is null for an empty set."""
 
     def find(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                node, check, size = [], [], []
+                node, check, size, bits = [], [], [], []
                 for _, members in shingle_sets(batch, k):
                     size.append(len(members))
+                    bits.append(parities(members) if len(members) else None)
                     node.append(node_of(members, seed) if len(members) else None)
                     check.append(node_of(members, ~seed & 0xFFFF) if len(members) else None)
                 yield pa.RecordBatch.from_arrays(
@@ -128,11 +153,12 @@ def _nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
                         pa.array(node, pa.int64()),
                         pa.array(check, pa.int64()),
                         pa.array(size, pa.int64()),
+                        pa.array(bits, pa.binary()),
                     ],
-                    names=["id", "node", "check", "n"],
+                    names=["id", "node", "check", "n", "bits"],
                 )
 
-    return docs.mapInArrow(find, "id long, node long, check long, n long")
+    return docs.mapInArrow(find, "id long, node long, check long, n long, bits binary")
 
 
 def _entries(
@@ -250,11 +276,33 @@ def _sets_of(docs: DataFrame, classes: DataFrame, active: DataFrame, k: int) ->
     return wanted.join(found, "id").select("node", "members")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` that link. Both sets travel to the pair, one pair at a time."""
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose parity bits leave a link possible."""
+    left = classes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    right = classes.select(
+        F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")
+    )
+
+    @F.arrow_udf("long")
+    def unlike(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(map(unlike_bits, x.to_pylist(), y.to_pylist()), pa.int64())
+
+    total = F.col("n") + F.col("m")
+    most = total + 2 * F.floor(-(total * num) / (den + num))
+    both = pairs.join(left, "a").join(right, "b")
+    return cut(both.filter(unlike("x", "y") <= most).select("a", "b"))
+
+
+def _verified(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int
+) -> DataFrame:
+    """The pairs ``a, b`` that link. Parity bits, an eighth of a byte for each element,
+    rule out nearly all others; the sets of the rest travel to the pairs."""
+    pairs = _near(pairs, classes, num, den)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = write_and_read(_sets_of(docs, classes, cut(nodes), k), "members")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
 
     @F.arrow_udf("boolean")
     def linked(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -268,7 +316,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             out.append(den * shared >= num * (len(p) + len(q) - shared))
         return pa.array(out, pa.bool_())
 
-    return both.filter(linked("x", "y")).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return cut(both.filter(linked("x", "y")).select("a", "b"))
 
 
 def jaccard_components(
@@ -299,6 +348,7 @@ def jaccard_components(
             F.min("check").alias("low"),
             F.max("check").alias("high"),
             F.first("n").alias("n"),
+            F.first("bits").alias("bits"),
         )
         # Another seed if two different sets have one hash.
         if classes.filter("low <> high").isEmpty():
@@ -313,8 +363,6 @@ def jaccard_components(
     active = write_and_read(entries.join(lists, "sig").distinct(), "lists")
     score = active.groupBy("node").agg(F.count("*").alias("score"))
     members = active.join(score, "node")
-    nodes_in = write_and_read(score.select("node"), "active")
-    sets = write_and_read(_sets_of(docs, classes, nodes_in, k), "members")
     top = F.max(F.struct("score", "node", "n", "place")).alias("top")
 
     # First, each node against the node of its lists that is in most lists.
@@ -329,7 +377,7 @@ def jaccard_components(
             F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")
         ).distinct()
     )
-    links = cut(_verified(pairs, sets, num, den))
+    links = _verified(pairs, docs, classes, k, num, den)
     roots = components(links)
 
     # Then whatever shares a list and is not yet together.
@@ -345,7 +393,8 @@ def jaccard_components(
         & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), num, den),
     )
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = cut(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, num, den))
+    rest = rest.join(pairs, ["a", "b"], "left_anti")
+    more = _verified(rest, docs, classes, k, num, den)
     roots = components(links.union(more))
 
     named = classes.join(roots, "node").groupBy("root").agg(F.min("id").alias("component_id"))
