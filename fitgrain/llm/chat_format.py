@@ -93,6 +93,10 @@ def _turn(role: Column, text: Column) -> Column:
     )
 
 
+def _reader(layout: Layout):
+    return lambda record: _turn(record[layout.role], record[layout.text])
+
+
 def _from_pairs(layout: Layout, get) -> Column:
     parts = [
         _turn(F.lit(role), get(field)) for role, field in layout.fields
@@ -126,7 +130,7 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
         out = df.groupBy(key_).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
         return out.select(layout.key, F.col("turns.turn").alias("turns"))
     if layout.kind == "list":
-        turns = F.transform(layout.field, lambda x: _turn(x[layout.role], x[layout.text]))
+        turns = F.transform(layout.field, _reader(layout))
         turns = F.coalesce(turns, F.array().cast(TURNS))
     else:
         turns = _from_pairs(layout, F.col)
@@ -143,7 +147,7 @@ def canonical_json(df: DataFrame, record: str, key: str) -> DataFrame:
     found = df.select(F.col(key), parsed.alias("record_"))
     # The schema of a variant has its fields in order of name; types are left out.
     schema = F.regexp_replace(
-        F.schema_of_variant("record_"), r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9, ]+\))?", ""
+        F.schema_of_variant(F.col("record_")), r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9, ]+\))?", ""
     )
     found = found.withColumn("layout", F.xxhash64(schema))
     turns = F.lit(None).cast(TURNS)
@@ -156,7 +160,7 @@ def canonical_json(df: DataFrame, record: str, key: str) -> DataFrame:
             kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
             value = F.transform(
                 F.variant_get("record_", f"$.{layout.field}", kind),
-                lambda x, y=layout: _turn(x[y.role], x[y.text]),
+                _reader(layout),
             )
         else:
             shape = f"OBJECT<{', '.join(sorted(f for _, f in layout.fields))}>"

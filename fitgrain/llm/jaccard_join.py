@@ -40,7 +40,7 @@ from fitgrain.llm.components import components, cut
 
 #: Sizes that may be light, and what a heavy list entry costs against a light one.
 MOST_LIGHT = 40
-HEAVY_COST = 4.0
+HEAVY_COST = 16.0
 FILTER_BITS = 1 << 24
 
 

@@ -1,9 +1,9 @@
 """Severity of toxic text by cumulative-link ordinal regression.
 
 The chance of a grade above k is ``sigmoid(w . x - t_k)`` with one weight vector for all
-ordered thresholds. Features are the presence of words; the model keeps the words whose
-presence tells grades apart on the labelled sample. The output is the expected severity,
-the sum of those chances.
+ordered thresholds. Features are the presence of words and of their first letters; the
+model keeps those that tell toxic documents from others on the labelled sample. The
+output is the expected severity, the sum of those chances.
 """
 
 from __future__ import annotations
@@ -21,18 +21,28 @@ from pyspark.sql import functions as F
 SAMPLE = 4000
 #: Words that a model may keep, and documents that a word must be in.
 FEATURES = 2000
-LEAST = 5
+LEAST = 3
+#: First letters of longer words are features too, for languages that compound.
+STEMS = (5, 6, 7)
 #: Chi-square of a word's presence against toxicity that earns it a weight.
-LEAST_CHI2 = 40.0
-RIDGE = 1e-3
+LEAST_CHI2 = 20.0
+RIDGE = 3e-4
 ROUNDS = 500
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def tokens(text: str | None) -> set[str]:
+def features(word: str) -> list[str]:
+    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
+
+
+def words_of(text: str | None) -> set[str]:
     return set(LETTERS.findall(text.lower())) if text else set()
 
 
+def tokens(text: str | None) -> set[str]:
+    return {f for word in words_of(text) for f in features(word)}
+
+
 @dataclass
 class OrdinalModel:
     words: list[str]
@@ -41,9 +51,18 @@ class OrdinalModel:
 
     def severity(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity, and the chance of any grade above 0."""
-        index = dict(zip(self.words, self.weights.tolist()))
-        known = index.keys()
-        score = [sum(index[w] for w in sorted(tokens(t) & known)) for t in texts]
+        place = {w: i for i, w in enumerate(self.words)}
+        seen: dict[str, tuple[int, ...]] = {}
+        score = []
+        for text in texts:
+            found = set()
+            for word in words_of(text):
+                hit = seen.get(word)
+                if hit is None:
+                    hit = seen[word] = tuple(place[f] for f in features(word) if f in place)
+                if hit:
+                    found.update(hit)
+            score.append(float(self.weights[sorted(found)].sum()) if found else 0.0)
         over = sigmoid(np.array(score)[:, None] - self.thresholds[None, :])
         return over.sum(axis=1), over[:, 0]
 
@@ -110,6 +129,17 @@ def choose_words(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
     return [word for _, word in sorted(scored)[:FEATURES]]
 
 
+def severity_grades(texts: list[str | None], toxic: list[int]) -> list[int]:
+    """Grades from labels of 0 and 1: 0 without the label, 2 for a toxic document with
+    more different telling words than the median toxic one, else 1."""
+    found = [tokens(t) for t in texts]
+    y = np.array(toxic) > 0
+    known = set(choose_words(found, y))
+    count = np.array([len(f & known) for f in found])
+    middle = np.median(count[y]) if y.any() else 0
+    return (y.astype(int) + (y & (count > middle))).tolist()
+
+
 def fit_ordinal(
     texts: list[str | None], grades: list[int], rounds: int = ROUNDS
 ) -> OrdinalModel:
@@ -159,17 +189,15 @@ def fit_toxicity(
     text: str = "text",
     sample: int = SAMPLE,
 ) -> OrdinalModel:
-    """Fit on documents with labels ``toxic`` and ``quality`` (0 or 1).
+    """Fit on documents with labels ``toxic`` (0 or 1).
 
-    The grade is 0 for a document that is not toxic, 1 for a toxic one, and 2 for a toxic
-    one that is also of low quality. ``sample`` bounds the labelled documents used, half
+    Grades are those of ``severity_grades``. ``sample`` bounds the labelled documents used, half
     of them toxic if there are so many; they are those with the least hash of their id,
-    so reruns agree. Rows with a null id, text or ``toxic`` are not used, and a null
-    quality is a good one. Without a toxic label the model finds nothing toxic.
+    so reruns agree. Rows with a null id, text or ``toxic`` are not used. Without a
+    toxic label the model finds nothing toxic.
     """
-    grade = F.col("toxic") * (2 - F.coalesce(F.col("quality"), F.lit(1)))
     marked = labels.filter("toxic is not null").select(
-        F.col(id).alias("label_id"), grade.cast("int").alias("grade")
+        F.col(id).alias("label_id"), F.col("toxic").cast("int").alias("grade")
     )
     draw = F.xxhash64(F.lit(29), F.col("label_id"))
     # The least hashes of ids alone choose the rows; texts are read for those only.
@@ -184,4 +212,12 @@ def fit_toxicity(
     texts = texts.filter(F.col("label_id").isin(list(chosen))).dropna()
     texts = texts.groupBy("label_id").agg(F.min("label_text").alias("label_text"))
     rows = sorted((r["label_id"], r["label_text"]) for r in texts.toLocalIterator())
-    return fit_ordinal([t for _, t in rows], [chosen[i] for i, _ in rows])
+    texts, toxic = [t for _, t in rows], [chosen[i] for i, _ in rows]
+    model = fit_ordinal(texts, severity_grades(texts, toxic))
+    # The sample has more toxic documents than the labels have: the thresholds make up.
+    found = {r["toxic"]: r["count"] for r in marked.groupBy(
+        (F.col("grade") > 0).alias("toxic")).count().collect()}
+    drawn = sum(y > 0 for y in toxic)
+    if 0 < drawn < len(toxic):
+        model.thresholds += np.log(found[False] / found[True] * drawn / (len(toxic) - drawn))
+    return model
