@@ -147,12 +147,12 @@ def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     else:
         part = F.lit(0)
     slim = slim.withColumn("part", part)
-    marked = slim.withColumn("numbers", sketch(syncmers(word_hashes(F.col("text")))))
+    marked = _with_sketch(slim, "text", "numbers")
     # The first document of each range ends the range before; that of the first ends the last.
     least = F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))), "text")).alias("least")
     heads = slim.filter(F.col("id").isin(firsts) | F.col("id").isNull())
     heads = heads.groupBy("part").agg(least).select("part", "least.text")
-    heads = heads.withColumn("numbers", sketch(syncmers(word_hashes(F.col("text")))))
+    heads = _with_sketch(heads, "text", "numbers")
     last = F.lit(max(len(firsts), 1) - 1)
     heads = heads.select(
         F.lit(None).cast("long").alias("id"),
@@ -174,14 +174,14 @@ def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         F.substring(F.col("text"), F.lit(1), n - half),
         F.substring(F.col("next_text"), F.lit(1), half),
     )
-    both = both.withColumn("edited", edited)
+    both = _with_sketch(both.withColumn("edited", edited), "edited", "edited_numbers")
     both = both.select(
         "id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "numbers",
         "next_numbers",
-        sketch(syncmers(word_hashes(F.col("edited")))).alias("edited_numbers"),
+        "edited_numbers",
     )
     return both.select(
         F.col("id").alias(id),
@@ -194,6 +194,13 @@ def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
 
 
+def _with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds a text's sketch. The hashes are a column of their own, because an expression
+    that several others hold is worked out by each of them."""
+    df = df.withColumn("hashes_", word_hashes(F.col(text)))
+    return df.withColumn(name, sketch(syncmers(F.col("hashes_")))).drop("hashes_")
+
+
 def _range_starts(docs: DataFrame) -> list[int]:
     """Ids that begin ranges of about equal size, the least first."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
