@@ -9,6 +9,7 @@ in between are encoded again, and the sums above them updated.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,9 @@ from fitgrain.llm.common import slices
 from fitgrain.llm.tokens import OTHER, PRE_TOKEN, Encoder, default_path, encoder
 
 LEAF = 64
+#: Characters of a pre-token, about; and where a leaf may end.
+LETTERS = 6
+CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
 #: A leaf of so many times the pre-tokens makes the tree be laid out anew.
 LARGE = 4
 INTS = T.ArrayType(T.IntegerType())
@@ -86,15 +90,24 @@ def _spans(encode: Encoder, text: str, start: int) -> Iterator[str]:
 
 
 def _leaves(encode: Encoder, pieces: list[str], size: int) -> list[tuple[int, int]]:
-    counts = [len(x) // 4 for x in encode.encoded(pieces)]
-    return [
-        (sum(map(len, pieces[i : i + size])), sum(counts[i : i + size]))
-        for i in range(0, len(pieces), size)
-    ]
+    """Characters and tokens of runs of pre-tokens. Cut at the ends of pre-tokens, a run
+    has the same pre-tokens alone."""
+    runs = ("".join(pieces[i : i + size]) for i in range(0, len(pieces), size))
+    return [(len(run), encode.count(run)) for run in runs]
 
 
 def build(encode: Encoder, text: str, leaf: int = LEAF) -> CountTree:
-    return CountTree.of_leaves(_leaves(encode, encode.pre_tokens(text), leaf))
+    """A tree whose leaves are cut where a space follows another character and comes
+    before a letter: a pre-token begins there in any text."""
+    if OTHER.search(text):
+        return CountTree.of_leaves(_leaves(encode, encode.pre_tokens(text), leaf))
+    cuts, place = [0], 0
+    while (found := CUT.search(text, place + leaf * LETTERS)) is not None:
+        place = found.start()
+        cuts.append(place)
+    cuts.append(len(text))
+    runs = (text[i:j] for i, j in zip(cuts, cuts[1:]) if j > i)
+    return CountTree.of_leaves([(len(run), len(encode.ranks.encode_ordinary(run))) for run in runs])
 
 
 def edit(
