@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: The model is fitted on at most this many labelled documents, drawn by hash of the id.
 SAMPLE = 4000
 #: Words that a model may keep, and documents that a word must be in.
-FEATURES = 2000
+FEATURES = 1000
 LEAST = 3
 #: First letters of longer words are features too, for languages that compound.
 STEMS = (5, 6, 7)
@@ -109,11 +109,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def choose_words(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words whose presence depends on toxicity the most, by chi-square."""
+def choose_words(texts: list[str | None], toxic: np.ndarray) -> list[str]:
+    """Words whose presence depends on toxicity the most, by chi-square. Only counts are
+    held, never the words of all texts."""
     n, positive = len(texts), int(toxic.sum())
     with_word, both = Counter(), Counter()
-    for found, y in zip(texts, toxic):
+    for text, y in zip(texts, toxic):
+        found = tokens(text)
         with_word.update(found)
         if y:
             both.update(found)
@@ -129,29 +131,31 @@ def choose_words(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
     return [word for _, word in sorted(scored)[:FEATURES]]
 
 
-def severity_grades(texts: list[str | None], toxic: list[int]) -> list[int]:
+def severity_grades(
+    texts: list[str | None], toxic: list[int], words: list[str]
+) -> list[int]:
     """Grades from labels of 0 and 1: 0 without the label, 2 for a toxic document with
     more different telling words than the median toxic one, else 1."""
-    found = [tokens(t) for t in texts]
-    y = np.array(toxic) > 0
-    known = set(choose_words(found, y))
-    count = np.array([len(f & known) for f in found])
+    y, known = np.array(toxic) > 0, set(words)
+    count = np.array([len(tokens(t) & known) for t in texts])
     middle = np.median(count[y]) if y.any() else 0
     return (y.astype(int) + (y & (count > middle))).tolist()
 
 
 def fit_ordinal(
-    texts: list[str | None], grades: list[int], rounds: int = ROUNDS
+    texts: list[str | None],
+    grades: list[int],
+    words: list[str] | None = None,
+    rounds: int = ROUNDS,
 ) -> OrdinalModel:
     """Fit on texts with grades 0, 1, 2, ...; gradient steps with momentum, fixed start."""
-    found = [tokens(t) for t in texts]
     y = np.array(grades, dtype=np.int64)
     top = max(1, int(y.max()) if len(y) else 1)
-    words = choose_words(found, y > 0)
+    words = choose_words(texts, y > 0) if words is None else words
     place = {w: i for i, w in enumerate(words)}
     x = np.zeros((len(y), len(words)))
-    for i, each in enumerate(found):
-        x[i, [place[w] for w in each & place.keys()]] = 1.0
+    for i, text in enumerate(texts):
+        x[i, [place[w] for w in tokens(text) & place.keys()]] = 1.0
     above = (y[:, None] > np.arange(top)[None, :]).astype(float)
     share = (above.sum(axis=0) + 0.5) / (len(y) + 1.0)
     w, t = np.zeros(len(words)), np.sort(-np.log(share / (1 - share)))
@@ -213,7 +217,8 @@ def fit_toxicity(
     texts = texts.groupBy("label_id").agg(F.min("label_text").alias("label_text"))
     rows = sorted((r["label_id"], r["label_text"]) for r in texts.toLocalIterator())
     texts, toxic = [t for _, t in rows], [chosen[i] for i, _ in rows]
-    model = fit_ordinal(texts, severity_grades(texts, toxic))
+    words = choose_words(texts, np.array(toxic) > 0)
+    model = fit_ordinal(texts, severity_grades(texts, toxic, words), words)
     # The sample has more toxic documents than the labels have: the thresholds make up.
     found = {r["toxic"]: r["count"] for r in marked.groupBy(
         (F.col("grade") > 0).alias("toxic")).count().collect()}
