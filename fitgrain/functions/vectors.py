@@ -44,6 +44,23 @@ def length(df: DataFrame, features: str) -> Column:
     return F.size(features)
 
 
+def unusable(df: DataFrame, features: str, dim: int) -> Column:
+    """Whether a row can't be fitted on: its features are null, of another length, or
+    hold a null or NaN."""
+    if is_vector(df, features):
+        values = sparse_parts(features)["values"]
+    else:
+        values = F.col(features)
+    bad = F.exists(values, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.coalesce((length(df, features) != dim) | bad, F.lit(True))
+
+
+def unusable_label(label: str | Column) -> Column:
+    """Whether a label is null or NaN."""
+    column = F.col(label) if isinstance(label, str) else label
+    return column.isNull() | F.isnan(column.cast("double"))
+
+
 def dimension(df: DataFrame, features: str = "features") -> int:
     """Number of elements in the first row."""
     row = df.select(length(df, features).alias("d")).first()

@@ -18,10 +18,10 @@ from fitgrain.functions.vectors import (
     dimension,
     is_vector,
     kernel_column,
-    length,
     list_array,
     partition_sums,
     unpack,
+    unusable,
 )
 from fitgrain.operators.grain import distinct_estimate, weigh
 from fitgrain.operators.metrics import report
@@ -164,19 +164,23 @@ def _nearest(df: DataFrame, features: str, centres: np.ndarray) -> Column:
 
 
 def _squared_distances(x, centres: np.ndarray) -> np.ndarray:
+    """Dense rows subtract the centre first, so that large values far from zero keep
+    their digits. Sparse rows expand the square, which keeps them sparse."""
+    if hasattr(x, "matrix"):
+        return np.stack([np.square(x.matrix - c).sum(axis=1) for c in centres], axis=1)
     squares = x.squares()[:, None] + np.einsum("ij,ij->i", centres, centres)[None, :]
     return np.maximum(squares - 2.0 * x.dot(centres.T), 0.0)
 
 
 def _check(rows: int, wrong_lengths: int, dim: int) -> None:
     if wrong_lengths:
-        raise ValueError(f"{wrong_lengths} of {rows} rows do not have {dim} features")
+        raise ValueError(f"{wrong_lengths} of {rows} rows do not have {dim} features that are numbers")
 
 
 def _narrow_rounds(df: DataFrame, features: str, dim: int):
     names = [f"x{j}" for j in range(dim)]
     flat = df.select(
-        (length(df, features) != dim).alias("wrong"), *unpack(df, features, dim)
+        unusable(df, features, dim).alias("wrong"), *unpack(df, features, dim)
     )
     profile = flat.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -206,7 +210,7 @@ def _narrow_rounds(df: DataFrame, features: str, dim: int):
 
 def _wide_rounds(df: DataFrame, features: str, dim: int):
     points = df.select(
-        kernel_column(df, features).alias("x"), (length(df, features) != dim).alias("wrong")
+        kernel_column(df, features).alias("x"), unusable(df, features, dim).alias("wrong")
     ).persist()
     profile = points.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("wrong").alias("wrong")

@@ -21,9 +21,10 @@ from fitgrain.functions.vectors import (
     dimension,
     dot,
     kernel_column,
-    length,
     partition_sums,
     unpack,
+    unusable,
+    unusable_label,
     weighted_sum,
 )
 from fitgrain.operators.grain import distinct_estimate, weigh
@@ -82,7 +83,7 @@ def fit_least_squares(
         return margin - y
 
     weights, rounds = _descend_wide(
-        df, label, features, dim, iterations, residual, lambda w, step: w, F.lit(False)
+        df, label, features, dim, iterations, residual, lambda w, step: w, unusable_label(label)
     )
     return LinearModel(weights, rounds)
 
@@ -140,9 +141,9 @@ def _check(rows: int, bad_labels: int, wrong_lengths: int, dim: int) -> None:
     if not rows:
         raise ValueError("cannot fit on an empty table")
     if bad_labels:
-        raise ValueError(f"input validation failed: {bad_labels} labels are not 0 or 1")
+        raise ValueError(f"input validation failed: {bad_labels} labels are null, NaN or not allowed")
     if wrong_lengths:
-        raise ValueError(f"{wrong_lengths} rows do not have {dim} features")
+        raise ValueError(f"{wrong_lengths} rows do not have {dim} features that are numbers")
 
 
 def _moment_gradient(
@@ -150,16 +151,18 @@ def _moment_gradient(
 ) -> Callable[[np.ndarray], np.ndarray]:
     x = unpack(df, features, dim)
     narrow = df.select(
-        (length(df, features) != dim).alias("wrong"), F.col(label).alias("y"), *x
+        unusable_label(label).alias("bad"),
+        unusable(df, features, dim).alias("wrong"), F.col(label).alias("y"), *x
     )
     pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
     row = narrow.agg(
         F.count(F.lit(1)).alias("rows"),
+        F.count_if("bad").alias("bad"),
         F.count_if("wrong").alias("wrong"),
         *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}_{j}") for i, j in pairs],
         *[F.sum(F.col(f"x{j}") * F.col("y")).alias(f"v{j}") for j in range(dim)],
     ).first()
-    _check(row["rows"], 0, row["wrong"], dim)
+    _check(row["rows"], row["bad"], row["wrong"], dim)
     square = np.zeros((dim, dim))
     for i, j in pairs:
         square[i, j] = square[j, i] = row[f"m{i}_{j}"]
@@ -180,7 +183,7 @@ def _descend_hinge(
     sign = F.col(label) * 2.0 - 1.0
     signed = df.select(
         bad_label.alias("bad"),
-        (length(df, features) != dim).alias("wrong"),
+        unusable(df, features, dim).alias("wrong"),
         *[(sign * x).alias(f"z{j}") for j, x in enumerate(unpack(df, features, dim))],
     )
     names = [f"z{j}" for j in range(dim)]
@@ -220,7 +223,7 @@ def _descend_wide(
         F.col(label).cast("double").alias("y"),
         kernel_column(df, features).alias("x"),
         bad_label.alias("bad"),
-        (length(df, features) != dim).alias("wrong"),
+        unusable(df, features, dim).alias("wrong"),
     ).persist()
     points = checked.select("y", "x")
     try:

@@ -65,7 +65,9 @@ def area_under_roc(
     an order over the whole set, so the score axis is cut into ranges of bounded
     size: counts run within a range, and each range adds the totals of the ranges
     below it. The cut points only balance the work and do not change the result.
+    Rows with a null or NaN score or label are left out.
     """
+    scored = scored.dropna(subset=[score, label])
     is_positive = F.col(label) > 0.5
     ranked = (
         scored.select((F.col(score) + F.lit(0.0)).alias("s"), is_positive.alias("y"))

@@ -21,7 +21,6 @@ from fitgrain.functions.vectors import (
     weighted_sum,
 )
 
-CLASSES = 10_000
 
 
 @dataclass(frozen=True)
@@ -87,8 +86,6 @@ def fit_naive_bayes(
         rows = _wide_sums(df, label, features, dim)
     if not rows:
         raise ValueError("cannot fit on an empty table")
-    if len(rows) > CLASSES:
-        raise ValueError(f"more than {CLASSES} classes")
     if any(row["bad"] for row in rows):
         raise ValueError("features must be finite, not negative, and as many in every row")
     rows.sort(key=lambda row: row["label"])
@@ -120,7 +117,6 @@ def _narrow_sums(df: DataFrame, label: str, features: str, dim: int) -> list:
             F.count_if(unusable).alias("bad"),
             F.array(*[F.sum(column) for column in x]).alias("sums"),
         )
-        .limit(CLASSES + 1)
         .collect()
     )
 
@@ -143,6 +139,5 @@ def _wide_sums(df: DataFrame, label: str, features: str, dim: int) -> list:
             F.count_if("bad").alias("bad"),
             Summarizer.sum(F.col("v")).alias("sums"),
         )
-        .limit(CLASSES + 1)
         .collect()
     ]

@@ -28,7 +28,7 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     """Ranks ``id, rank`` of ``edges(src, dst)``, summing to the number of vertices.
 
-    Rank and last change start at 0.15. In each superstep a vertex whose last change
+    Edges with a null end are left out. Rank and last change start at 0.15. In each superstep a vertex whose last change
     exceeds the tolerance sends 0.85 of it, shared over its outgoing edges; what
     arrives is the receiver's next change and is added to its rank. The loop ends when
     nothing is sent, and ranks are then scaled to a mean of 1.
@@ -42,6 +42,7 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     """
     spark = edges.sparkSession
     shared_folder(spark)
+    edges = edges.dropna(subset=["src", "dst"])
     counted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies")).persist()
     persisted = [counted]
     try:

@@ -7,7 +7,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 100
+#: A prime; positions of keys are residues, so weights hold to one millionth.
+PRIME = 1_000_003
 
 
 def random_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[DataFrame]:
@@ -15,12 +16,15 @@ def random_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[Da
     return df.randomSplit(weights, seed)
 
 
-def split_bucket(key: Column, seed: int = 11) -> Column:
-    """Bucket 0..99 of an integer key, from the key alone.
+def split_position(key: Column, seed: int = 11) -> Column:
+    """Position 0 to ``PRIME`` - 1 of an integer key, from the key alone.
 
-    Integer keys must stay below about 10^15 so that the product fits a bigint.
+    The key is reduced first, so none overflows, then multiplied and squared modulo the
+    prime, so that keys in equal steps spread too.
     """
-    return F.pmod(key.cast("bigint") * F.lit(7919) + F.lit(seed), F.lit(BUCKETS))
+    reduced = F.pmod(key.cast("bigint"), F.lit(PRIME))
+    moved = F.pmod(reduced * F.lit(7919) + F.lit(seed), F.lit(PRIME))
+    return F.pmod(moved * moved, F.lit(PRIME))
 
 
 def hash_split(
@@ -29,10 +33,11 @@ def hash_split(
     """Split by key so that the parts are the same on any partitioning or engine.
 
     A narrow filter per part: no shuffle, and the test can reach the scan. Keys of
-    other types than integers can be passed as ``xxhash64(...) % 10**12``.
+    other types than integers can be passed as ``xxhash64(...)``. Rows with a null key
+    are in the first part.
     """
     column = F.col(key) if isinstance(key, str) else key
-    bucket = split_bucket(column, seed)
+    bucket = F.coalesce(split_position(column, seed), F.lit(0))
     total = sum(weights)
-    edges = [0] + [round(BUCKETS * upto / total) for upto in accumulate(weights)]
+    edges = [0] + [round(PRIME * upto / total) for upto in accumulate(weights)]
     return [df.filter((bucket >= low) & (bucket < high)) for low, high in zip(edges, edges[1:])]

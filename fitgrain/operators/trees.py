@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitgrain.functions.summaries import value_sets_and_quantiles
-from fitgrain.functions.vectors import dimension, is_vector, length, unpack
+from fitgrain.functions.vectors import dimension, is_vector, unpack, unusable, unusable_label
 from fitgrain.operators.grain import distinct_estimate, gather, worth_grouping
 
 MAX_CLASSES = 100
@@ -126,7 +126,7 @@ def fit_tree(
     names = [f"x{j}" for j in range(dim)]
     flat = df.select(
         F.col(label).cast("double").alias("y"),
-        (length(df, features) != dim).alias("wrong"),
+        (unusable(df, features, dim) | unusable_label(label)).alias("wrong"),
         *unpack(df, features, dim),
     )
     rows, thresholds, classes = _candidates(flat, names, impurity, max_bins)

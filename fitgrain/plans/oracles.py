@@ -67,7 +67,7 @@ FROM lineitem
 SQL["stage"] = "SELECT * FROM customer"
 
 SQL["split_by_key"] = """
-SELECT doc_id, CASE WHEN (doc_id * 7919 + 11) % 100 < 60 THEN 0 ELSE 1 END::INTEGER AS part
+SELECT doc_id, CASE WHEN (((doc_id % 1000003 * 7919 + 11) % 1000003) * ((doc_id % 1000003 * 7919 + 11) % 1000003)) % 1000003 < 600002 THEN 0 ELSE 1 END::INTEGER AS part
 FROM documents
 """
 
@@ -93,7 +93,7 @@ def _bayes() -> str:
 WITH points AS (
   SELECT doc_id, lang AS label, {counts} FROM documents
 ), training AS (
-  SELECT * FROM points WHERE (doc_id * 7919 + 11) % 100 < 60
+  SELECT * FROM points WHERE (((doc_id % 1000003 * 7919 + 11) % 1000003) * ((doc_id % 1000003 * 7919 + 11) % 1000003)) % 1000003 < 600002
 ), sums AS (
   SELECT label, count(*)::DOUBLE AS n, {sums} FROM training GROUP BY label
 ), model AS (
@@ -101,7 +101,7 @@ WITH points AS (
 ), scored AS (
   SELECT doc_id, p.label, m.label AS candidate, pi + {score} AS score
   FROM points p, model m
-  WHERE (doc_id * 7919 + 11) % 100 >= 60
+  WHERE (((doc_id % 1000003 * 7919 + 11) % 1000003) * ((doc_id % 1000003 * 7919 + 11) % 1000003)) % 1000003 >= 600002
 ), predicted AS (
   SELECT doc_id, label, candidate AS prediction
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, candidate) AS r
@@ -184,7 +184,7 @@ SELECT 1::INTEGER AS j, round(w2, 6) AS weight FROM w"""
 
 _LINREG = _descent(_PRICE, "true", 20, hinge=False)
 _SVM20 = _descent(_MARGIN, "true", 20, hinge=True)
-_SVM100 = _descent(_MARGIN, "(key * 7919 + 11) % 100 < 60", 100, hinge=True)
+_SVM100 = _descent(_MARGIN, "(((key % 1000003 * 7919 + 11) % 1000003) * ((key % 1000003 * 7919 + 11) % 1000003)) % 1000003 < 600002", 100, hinge=True)
 _SVM1 = _descent(_MARGIN, "true", 20, hinge=True, dim=1)
 
 SQL["linreg_weights"] = _LINREG + _weight_rows()
@@ -226,7 +226,7 @@ SQL["program_svm_error"] = SQL["svm_first_feature"]
 
 _TEST = """, scored AS (
   SELECT key, y AS label, w1 * x1 + w2 * x2 AS score
-  FROM points, w WHERE (key * 7919 + 11) % 100 >= 60
+  FROM points, w WHERE (((key % 1000003 * 7919 + 11) % 1000003) * ((key % 1000003 * 7919 + 11) % 1000003)) % 1000003 >= 600002
 )
 """
 _AREA = """

@@ -100,4 +100,4 @@ def ranks_by_username(
     """PageRank of a follower list, joined with ``id,name`` lines."""
     ranks = pagerank(read_edge_list(spark, edges_path), tolerance)
     users = parse_id_name(read_lines(spark, users_path))
-    return ranks_by_name(ranks, users).orderBy(F.desc("rank"), "username")
+    return ranks_by_name(ranks, users)

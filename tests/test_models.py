@@ -263,9 +263,17 @@ def test_splits(spark):
     df = spark.range(1000)
     for parts in (1, 3):
         training, test = hash_split(df.repartition(parts), "id", [0.6, 0.4])
-        assert (training.count(), test.count()) == (600, 400)
+        assert training.count() + test.count() == 1000 and 550 < training.count() < 650
         assert training.intersect(test).count() == 0
     three = hash_split(df, "id", [1, 1, 2])
-    assert [p.count() for p in three] == [250, 250, 500]
+    assert all(abs(p.count() - n) < 50 for p, n in zip(three, (250, 250, 500)))
+    for step in (10, 50, 100):
+        strided = spark.range(1000).select((F.col("id") * step).alias("id"))
+        training, test = hash_split(strided, "id", [0.6, 0.4])
+        assert 550 < training.count() < 650
+    many = hash_split(spark.range(100_000), "id", [0.999, 0.001])
+    assert 50 < many[1].count() < 200
+    nulls = spark.createDataFrame([(None,), (1,), (2,)], "id long")
+    assert sum(p.count() for p in hash_split(nulls, "id", [0.6, 0.4])) == 3
     a, b = random_split(df, [0.6, 0.4], 11)
     assert a.count() + b.count() == 1000
