@@ -1,28 +1,33 @@
-"""Decision trees, grown level by level from grouped histograms."""
+"""Decision trees, grown level by level from histograms of binned rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel,
-    DecisionTreeClassifier,
-)
-from pyspark.ml.feature import Bucketizer
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitgrain.functions.summaries import value_sets_and_quantiles
-from fitgrain.functions.vectors import dimension, is_vector, unpack, unusable, unusable_label
+from fitgrain.functions.vectors import (
+    batch_matrix,
+    dimension,
+    kernel_column,
+    list_array,
+    unpack,
+    unusable,
+    unusable_label,
+)
 from fitgrain.operators.grain import distinct_estimate, gather, worth_grouping
 
-MAX_CLASSES = 100
-EXACT_VALUES = 64
-COLUMN_FEATURES = 64
+#: Cells of the histogram that one task holds at a time; more nodes take more jobs.
+HISTOGRAM_CELLS = 4_000_000
+#: Values of a batch that one task spreads out at a time.
+CHUNK_VALUES = 2_000_000
+#: Columns whose quantiles one job takes.
+QUANTILE_COLUMNS = 64
 
 
 @dataclass
@@ -53,7 +58,7 @@ class TreeModel:
     def predict(
         self, df: DataFrame, features: str = "features", output: str = "prediction"
     ) -> DataFrame:
-        """Append the leaf's value, as one nested CASE over the features."""
+        """Append the leaf's value, as one nested CASE over the features it uses."""
         used = [node.feature for node in self.nodes.values() if node.feature is not None]
         x = unpack(df, features, max(used, default=-1) + 1)
 
@@ -77,28 +82,6 @@ class TreeModel:
         )
 
 
-@dataclass
-class WideTreeModel:
-    """A tree of Spark ML over more features than are worth a column each."""
-
-    model: object
-
-    @property
-    def depth(self) -> int:
-        return self.model.depth
-
-    def predict(
-        self, df: DataFrame, features: str = "features", output: str = "prediction"
-    ) -> DataFrame:
-        vector = F.col(features)
-        if not is_vector(df, features):
-            vector = array_to_vector(vector.cast("array<double>"))
-        model = self.model.copy().setFeaturesCol("_vector").setPredictionCol(output)
-        if isinstance(model, DecisionTreeClassificationModel):
-            model.setProbabilityCol("").setRawPredictionCol("")
-        return model.transform(df.withColumn("_vector", vector)).drop("_vector")
-
-
 def fit_tree(
     df: DataFrame,
     impurity: str = "gini",
@@ -106,269 +89,364 @@ def fit_tree(
     max_bins: int = 32,
     label: str = "label",
     features: str = "features",
-) -> TreeModel | WideTreeModel:
+) -> TreeModel:
     """Grow a classifier (``gini``) or a regressor (``variance``).
 
     Candidate thresholds are the midpoints between neighbouring values of a feature
-    over the whole table, or quantiles when it has more than ``max_bins`` values. Each
-    node takes the split with the largest gain; the first feature and then the smallest
-    threshold win a tie, and a node without a positive gain is a leaf. A leaf predicts
-    its majority class (the lowest on a tie) or its mean.
-
-    Rows are binned once and grouped when few bin combinations exist. A level is then
-    one job for all its nodes, and brings back one row per node.
+    over the whole table if it has at most ``max_bins`` values, else quantiles of all
+    rows. Each node takes the split with the largest gain; the first feature and then
+    the smallest threshold win a tie, and a node without a positive gain is a leaf. A
+    leaf predicts its majority class (the lowest on a tie) or its mean. Any numbers may
+    be class labels; the classes are part of the model and held by the driver.
+
+    Rows are binned once and grouped when few bin combinations exist. Each task then
+    adds up a level's histogram over its rows, and one shuffle brings a node's feature
+    together, where its best split is found.
     """
     if impurity not in ("gini", "variance"):
         raise ValueError(f"impurity must be 'gini' or 'variance', not {impurity!r}")
     dim = dimension(df, features)
-    if dim > COLUMN_FEATURES:
-        return _fit_wide(df, impurity, max_depth, max_bins, label, features)
-    names = [f"x{j}" for j in range(dim)]
-    flat = df.select(
-        F.col(label).cast("double").alias("y"),
-        (unusable(df, features, dim) | unusable_label(label)).alias("wrong"),
-        *unpack(df, features, dim),
-    )
-    rows, thresholds, classes = _candidates(flat, names, impurity, max_bins)
-    cells, stats = _binned(flat, names, thresholds, classes, rows)
-    cells = cells.persist()
+    y = F.col(label).cast("double")
+    profile = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(unusable(df, features, dim) | unusable_label(label)).alias("wrong"),
+    ).first()
+    if profile["wrong"]:
+        raise ValueError(
+            f"{profile['wrong']} rows do not have {dim} features without nulls, or no label"
+        )
+    points = df.select(y.alias("y"), kernel_column(df, features).alias("x"))
+    classes = None
+    if impurity == "gini":
+        found = points.select((F.col("y") + F.lit(0.0)).alias("y")).distinct().collect()
+        classes = sorted(row["y"] for row in found)
+    few = _few_values(points, dim, max_bins)
+    many = [j for j in range(dim) if j not in few]
+    cuts = _quantiles(df, features, dim, many, profile["rows"], max_bins)
+    thresholds = [
+        cuts[j] if j in cuts else (few[j][1:] + few[j][:-1]) / 2.0 for j in range(dim)
+    ]
+    cells = _grouped(
+        _binned(points, thresholds, classes), profile["rows"], classes, thresholds
+    ).persist()
     try:
-        return _grow(cells, stats, thresholds, classes, max_depth)
+        return _grow(cells, thresholds, classes, max_depth)
     finally:
         cells.unpersist()
 
 
-def _fit_wide(
-    df: DataFrame, impurity: str, max_depth: int, max_bins: int, label: str, features: str
-) -> WideTreeModel:
-    vector = F.col(features)
-    if not is_vector(df, features):
-        vector = array_to_vector(vector.cast("array<double>"))
-    kind = DecisionTreeClassifier if impurity == "gini" else DecisionTreeRegressor
-    learner = kind(
-        featuresCol="_vector",
-        labelCol="_label",
-        maxDepth=max_depth,
-        maxBins=max_bins,
-        impurity=impurity,
+def _matrices(batch: pa.Array, dim: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a batch as dense matrices of bounded size, each with its first row number."""
+    step = max(1, CHUNK_VALUES // max(dim, 1))
+    for start in range(0, len(batch), step):
+        part = batch_matrix(batch.slice(start, step), dim)
+        if hasattr(part, "matrix"):
+            yield start, part.matrix
+        else:
+            dense = np.zeros(part.shape)
+            dense[part.owner, part.position] = part.value
+            yield start, dense
+
+
+def _few_values(points: DataFrame, dim: int, limit: int) -> dict[int, np.ndarray]:
+    """The sorted values of each feature that has at most ``limit`` of them.
+
+    A task gives up on a feature beyond the limit and says so with a null.
+    """
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray | None] = [np.empty(0)] * dim
+        for batch in batches:
+            for _, matrix in _matrices(batch.column(0), dim):
+                for j in range(dim):
+                    if seen[j] is not None:
+                        values = np.union1d(seen[j], matrix[:, j] + 0.0)
+                        seen[j] = values if len(values) <= limit else None
+        for j, values in enumerate(seen):
+            found = [None] if values is None else values.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([j] * len(found), pa.int32()), pa.array(found, pa.float64())],
+                names=["feature", "value"],
+            )
+
+    whole = Window.partitionBy("feature")
+    found = (
+        points.select("x")
+        .mapInArrow(per_task, "feature int, value double")
+        .repartition("feature")
+        .distinct()
+        .select(
+            "feature",
+            "value",
+            F.count(F.lit(1)).over(whole).alias("n"),
+            F.bool_or(F.col("value").isNull()).over(whole).alias("over"),
+        )
+        .filter((F.col("n") <= limit) & ~F.col("over"))
+        .groupBy("feature")
+        .agg(F.array_sort(F.collect_list("value")).alias("values"))
     )
-    points = df.select(F.col(label).cast("double").alias("_label"), vector.alias("_vector"))
-    return WideTreeModel(learner.fit(points))
+    return {row["feature"]: np.array(row["values"]) for row in found.collect()}
 
 
-def _candidates(
-    flat: DataFrame, names: list[str], impurity: str, max_bins: int
-) -> tuple[int, list[list[float]], list[float] | None]:
-    """Number of rows, thresholds per feature, and class labels of a classifier."""
-    profile = flat.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("wrong").alias("wrong"),
-        F.approx_count_distinct("y").alias("y"),
-        *[F.approx_count_distinct(name).alias(name) for name in names],
-    ).first()
-    if not profile["rows"]:
-        raise ValueError("cannot fit on an empty table")
-    if profile["wrong"]:
-        raise ValueError(f"{profile['wrong']} rows do not have {len(names)} features")
-    if impurity == "gini" and profile["y"] > MAX_CLASSES:
-        raise ValueError(f"about {profile['y']} classes; at most {MAX_CLASSES} are supported")
-    # Value sets are only collected where the estimate says that they are small.
+def _quantiles(
+    df: DataFrame, features: str, dim: int, many: list[int], rows: int, max_bins: int
+) -> dict[int, np.ndarray]:
+    """Thresholds of features with many values: quantiles of all rows."""
     shares = [i / max_bins for i in range(1, max_bins)]
-    small = [name for name in names if profile[name] <= EXACT_VALUES]
-    large = [name for name in names if name not in small]
-    labels = ["y"] if impurity == "gini" else []
-    found = value_sets_and_quantiles(
-        flat, profile["rows"], small + labels, large, shares
-    )
-    thresholds = []
-    for name in names:
-        values = np.unique(np.array(found[name], dtype=float) + 0.0)
-        if name in large:
-            thresholds.append([float(v) for v in values])
-        elif len(values) <= max_bins:
-            thresholds.append([float(v) for v in (values[1:] + values[:-1]) / 2.0])
-        else:
-            at = np.quantile(values, shares, method="lower")
-            thresholds.append([float(v) for v in np.unique(at)])
-    classes = found["y"] if impurity == "gini" else None
-    return profile["rows"], thresholds, classes
+    columns = unpack(df, features, dim) if many else []
+    out = {}
+    for start in range(0, len(many), QUANTILE_COLUMNS):
+        block = many[start : start + QUANTILE_COLUMNS]
+        flat = df.select(*[columns[j] for j in block])
+        found = value_sets_and_quantiles(flat, rows, [], [f"x{j}" for j in block], shares)
+        for j in block:
+            out[j] = np.unique(np.array(found[f"x{j}"], dtype=float) + 0.0)
+    return out
 
 
 def _binned(
-    flat: DataFrame,
-    names: list[str],
-    thresholds: list[list[float]],
-    classes: list[float] | None,
-    rows: int,
-) -> tuple[DataFrame, list[str]]:
-    """Bin numbers ``b0, b1, ...`` with row counts ``n`` and label sums ``s0, s1, ...``."""
-    cut = [j for j, values in enumerate(thresholds) if values]
-    table = flat
-    if cut:
-        # A bucket includes its lower edge, a left branch its threshold: use the next double.
-        edges = [
-            [float("-inf"), *np.nextafter(thresholds[j], np.inf).tolist(), float("inf")]
-            for j in cut
-        ]
-        table = Bucketizer(
-            splitsArray=edges,
-            inputCols=[names[j] for j in cut],
-            outputCols=[f"_b{j}" for j in cut],
-        ).transform(flat)
-    bins = [
-        (F.col(f"_b{j}").cast("int") if j in cut else F.lit(0)).alias(f"b{j}")
-        for j in range(len(names))
-    ]
-    table = table.select("y", *bins)
-    keys = [f"b{j}" for j in range(len(names))]
-    if classes is not None:
-        one = F.lit(1.0)
-        sums = {
-            f"s{c}": F.when(F.col("y") == F.lit(value), one).otherwise(0.0)
-            for c, value in enumerate(classes)
-        }
-    else:
-        sums = {"s0": F.col("y"), "s1": F.col("y") * F.col("y")}
-    stats = ["n", *sums]
-    bound = np.prod([float(len(values) + 1) for values in thresholds])
+    points: DataFrame, thresholds: list[np.ndarray], classes: list[float] | None
+) -> DataFrame:
+    """Bin numbers of each row, its class number (0 in regression) and its label.
+
+    A bin's number is how many thresholds lie below the value.
+    """
+    dim = len(thresholds)
+    known = None if classes is None else np.array(classes)
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, matrix in _matrices(batch.column(1), dim):
+                bins = np.empty(matrix.shape, dtype=np.int32)
+                for j, cuts in enumerate(thresholds):
+                    bins[:, j] = np.searchsorted(cuts, matrix[:, j], side="left")
+                part = y[start : start + len(matrix)]
+                c = np.zeros(len(part)) if known is None else np.searchsorted(known, part)
+                yield pa.RecordBatch.from_arrays(
+                    [list_array(bins), pa.array(c.astype(np.int32)), pa.array(part)],
+                    names=["bins", "c", "y"],
+                )
+
+    return points.mapInArrow(per_task, "bins array<int>, c int, y double")
+
+
+def _grouped(
+    binned: DataFrame, rows: int, classes: list[float] | None, thresholds: list[np.ndarray]
+) -> DataFrame:
+    """Rows ``bins, c, n, s, q``: count, sum and sum of squares of the labels of equal
+    bins and class; grouped only where that shrinks the table."""
+    bound = np.prod([float(len(cuts) + 1) for cuts in thresholds]) * len(classes or [0])
     if not worth_grouping(rows, bound):
-        columns = [F.col(key) for key in keys]
-        bound = table.agg(distinct_estimate(columns).alias("distinct")).first()["distinct"]
-    if worth_grouping(rows, bound):
-        cells = table.groupBy(*keys).agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            *[F.sum(value).alias(name) for name, value in sums.items()],
-        )
-        cells = gather(cells, bound)
-    else:
-        cells = table.select(
-            *keys, F.lit(1.0).alias("n"), *[value.alias(name) for name, value in sums.items()]
-        )
-    return cells, stats
+        estimate = distinct_estimate([F.col("bins"), F.col("c")]).alias("distinct")
+        bound = binned.agg(estimate).first()["distinct"]
+    square = F.col("y") * F.col("y")
+    if not worth_grouping(rows, bound):
+        one = F.lit(1.0).alias("n")
+        return binned.select("bins", "c", one, F.col("y").alias("s"), square.alias("q"))
+    cells = binned.groupBy("bins", "c").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum("y").alias("s"),
+        F.sum(square).alias("q"),
+    )
+    return gather(cells, bound)
 
 
-def _impurity(stats: list[Column] | list[float], is_class: bool):
-    """Gini impurity or population variance from a row count and label sums."""
-    n, *sums = stats
+def _impurity(stats: np.ndarray, is_class: bool) -> np.ndarray:
+    """Gini impurity of class counts, or population variance of count, sum and squares.
+
+    Statistics are in the last axis.
+    """
     if is_class:
-        result = 1.0
-        for s in sums:
-            result = result - (s / n) * (s / n)
+        n = stats.sum(axis=-1)
+        result = np.ones(n.shape)
+        for c in range(stats.shape[-1]):
+            share = stats[..., c] / n
+            result = result - share * share
         return result
-    mean = sums[0] / n
-    return sums[1] / n - mean * mean
+    n, s, q = np.moveaxis(stats, -1, 0)
+    mean = s / n
+    return q / n - mean * mean
 
 
-def _value(stats: list[float], classes: list[float] | None) -> float:
-    n, *sums = stats
-    if classes is None:
-        return sums[0] / n
-    return classes[int(np.argmax(sums))]
+def _rows(stats: np.ndarray, is_class: bool) -> np.ndarray:
+    return stats.sum(axis=-1) if is_class else stats[..., 0]
 
 
 def _grow(
     cells: DataFrame,
-    stats: list[str],
-    thresholds: list[list[float]],
+    thresholds: list[np.ndarray],
     classes: list[float] | None,
     max_depth: int,
 ) -> TreeModel:
     is_class = classes is not None
+    width = len(classes) if is_class else 3
+    bins = max((len(cuts) for cuts in thresholds), default=0) + 1
     model = TreeModel()
 
-    def add(node_id: int, depth: int, totals: list[float]) -> None:
+    def add(node_id: int, depth: int, stats: np.ndarray) -> None:
+        value = classes[int(np.argmax(stats))] if is_class else stats[1] / stats[0]
         model.nodes[node_id] = Node(
-            node_id, depth, totals[0], _value(totals, classes), _impurity(totals, is_class)
+            node_id,
+            depth,
+            float(_rows(stats, is_class)),
+            float(value),
+            float(_impurity(stats, is_class)),
         )
 
-    root = cells.agg(*[F.sum(name).alias(name) for name in stats]).first()
-    add(1, 0, [root[name] for name in stats])
+    sums = [F.sum(name).alias(name) for name in ("n", "s", "q")]
+    root = np.zeros(width)
+    for row in cells.groupBy("c").agg(*sums).collect():
+        if is_class:
+            root[row["c"]] = row["n"]
+        else:
+            root[:] = row["n"], row["s"], row["q"]
+    add(1, 0, root)
+    at_once = max(1, HISTOGRAM_CELLS // (max(len(thresholds), 1) * bins * width))
     for depth in range(max_depth):
-        frontier = {n.id for n in model.nodes.values() if n.depth == depth}
-        if not frontier:
+        frontier = sorted(n.id for n in model.nodes.values() if n.depth == depth)
+        if not frontier or not thresholds:
             break
-        best = _best_splits(cells, stats, model.nodes, frontier, len(thresholds), is_class)
-        for row in best.collect():
-            split = row["best"]
-            if split is None:
-                continue
+        best = []
+        for start in range(0, len(frontier), at_once):
+            wanted = frontier[start : start + at_once]
+            histogram = bin_histogram(
+                cells, model.nodes, wanted, len(thresholds), bins, width, is_class
+            )
+            best += best_splits(histogram, bins, width, is_class).collect()
+        for row in best:
             node = model.nodes[row["node"]]
-            node.feature, node.bin, node.gain = split["feature"], split["bin"], split["gain"]
-            node.threshold = thresholds[node.feature][node.bin]
-            left = [split[f"left_{name}"] for name in stats]
+            node.feature, node.bin, node.gain = row["feature"], row["bin"], row["gain"]
+            node.threshold = float(thresholds[node.feature][node.bin])
+            left, total = np.array(row["left"]), np.array(row["total"])
             add(2 * node.id, depth + 1, left)
-            add(2 * node.id + 1, depth + 1, [row[s] - v for s, v in zip(stats, left)])
+            add(2 * node.id + 1, depth + 1, total - left)
     return model
 
 
-def _best_splits(
+def bin_histogram(
     cells: DataFrame,
-    stats: list[str],
     nodes: dict[int, Node],
-    frontier: set[int],
+    wanted: list[int],
     dim: int,
+    bins: int,
+    width: int,
     is_class: bool,
 ) -> DataFrame:
-    """Per frontier node its totals and its best split, null where none gains.
+    """Sums per ``node, feature, bin, stat``, partitioned by node and feature.
 
-    The histogram has at most nodes x features x bins rows whatever the table's size;
-    the windows that follow run over it, not over the table.
+    A stat is a class, or one of count, sum and squares. A task adds its rows up and
+    gives no more rows than the histogram has cells.
     """
-    histogram = bin_histogram(cells, stats, node_column(nodes, frontier), dim)
-    upto = (
-        Window.partitionBy("node", "feature")
-        .orderBy("bin")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    whole = Window.partitionBy("node", "feature")
-    sums = histogram.select(
-        "node",
-        "feature",
-        "bin",
-        *[F.sum(name).over(upto).alias(f"left_{name}") for name in stats],
-        *[F.sum(name).over(whole).alias(name) for name in stats],
-    )
-    scored = with_gain(sums, stats, is_class)
-    chosen = F.struct(
-        "feature", "bin", "gain", *[f"left_{name}" for name in stats]
-    )
-    order = F.when(
-        F.col("gain") > 0, F.struct(F.col("gain"), -F.col("feature"), -F.col("bin"))
-    )
-    return scored.groupBy("node").agg(
-        *[F.max_by(name, F.struct(-F.col("feature"))).alias(name) for name in stats],
-        F.max_by(chosen, order).alias("best"),
-    )
+    order = sorted(nodes)
+    place = {node: i for i, node in enumerate(order)}
+
+    def child(node: int, at: int) -> int:
+        return place[at] if nodes[node].feature is not None else place[node]
+
+    feature = np.array([nodes[i].feature or 0 for i in order])
+    cut = np.array([nodes[i].bin or 0 for i in order])
+    left = np.array([child(i, 2 * i) for i in order])
+    right = np.array([child(i, 2 * i + 1) for i in order])
+    slot = np.full(len(order), -1)
+    slot[[place[node] for node in wanted]] = np.arange(len(wanted))
+    levels = max(nodes[node].depth for node in wanted)
+    ids = np.array(wanted)
+    shape = (len(wanted), dim, bins, width)
+    size = int(np.prod(shape))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            numbers = [
+                batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)
+            ]
+            for start, matrix in _matrices(batch.column(0), dim):
+                c, n, s, q = (a[start : start + len(matrix)] for a in numbers)
+                at = np.zeros(len(matrix), dtype=int)
+                every = np.arange(len(matrix))
+                for _ in range(levels):
+                    low = matrix[every, feature[at]] <= cut[at]
+                    at = np.where(low, left[at], right[at])
+                mine = slot[at] >= 0
+                if not mine.any():
+                    continue
+                k = slot[at][mine]
+                cell = (k[:, None] * dim + np.arange(dim)) * bins + matrix[mine]
+                kept = [(c, n)] if is_class else [(0, n), (1, s), (2, q)]
+                for stat, weight in kept:
+                    column = stat[mine][:, None] if is_class else stat
+                    weight = np.repeat(weight[mine], dim)
+                    total += np.bincount((cell * width + column).ravel(), weight, size)
+        full = np.flatnonzero(total)
+        for start in range(0, len(full), 100_000):
+            part = full[start : start + 100_000]
+            node, j, b, stat = np.unravel_index(part, shape)
+            keys = [ids[node], j, b, stat]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(key.astype(np.int32)) for key in keys], pa.array(total[part])],
+                names=["node", "feature", "bin", "stat", "value"],
+            )
 
-
-def bin_histogram(cells: DataFrame, stats: list[str], node: Column, dim: int) -> DataFrame:
-    """Sums per node, feature and bin. Rows outside the wanted nodes are dropped first."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(j).alias("feature"), F.col(f"b{j}").alias("bin"))
-            for j in range(dim)
-        ]
-    )
     return (
-        cells.withColumn("node", node)
-        .filter(F.col("node").isNotNull())
-        .select("node", F.inline(entries), *stats)
-        .groupBy("node", "feature", "bin")
-        .agg(*[F.sum(name).alias(name) for name in stats])
+        cells.select("bins", "c", "n", "s", "q")
+        .mapInArrow(per_task, "node int, feature int, bin int, stat int, value double")
+        .repartition("node", "feature")
+        .groupBy("node", "feature", "bin", "stat")
+        .agg(F.sum("value").alias("value"))
     )
 
 
-def with_gain(sums: DataFrame, stats: list[str], is_class: bool) -> DataFrame:
-    """Append ``gain`` of splitting after each bin, null after the last one."""
-    total = [F.col(name) for name in stats]
-    left = [F.col(f"left_{name}") for name in stats]
-    right = [t - part for t, part in zip(total, left)]
-    gain = (
-        _impurity(total, is_class)
-        - left[0] / total[0] * _impurity(left, is_class)
-        - right[0] / total[0] * _impurity(right, is_class)
+def best_splits(histogram: DataFrame, bins: int, width: int, is_class: bool) -> DataFrame:
+    """The split of each node with the largest gain; no row for a node that gains nothing."""
+
+    def search(key: tuple, group: pa.Table) -> pa.Table:
+        stats = np.zeros((bins, width))
+        place = [group.column(name).to_numpy() for name in ("bin", "stat", "value")]
+        stats[place[0], place[1]] = place[2]
+        left = np.cumsum(stats, axis=0)
+        total = left[-1]
+        right = total - left
+        n, n_left, n_right = (_rows(part, is_class) for part in (total, left, right))
+        # After a bin without rows the split is that after the bin before it.
+        may = (_rows(stats, is_class) > 0) & (n_right > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (
+                _impurity(total, is_class)
+                - n_left / n * _impurity(left, is_class)
+                - n_right / n * _impurity(right, is_class)
+            )
+        gain = np.where(may, gain, -np.inf)
+        at = int(np.argmax(gain))
+        found = [
+            {
+                "node": key[0].as_py(),
+                "feature": key[1].as_py(),
+                "bin": at,
+                "gain": float(gain[at]),
+                "left": left[at].tolist(),
+                "total": total.tolist(),
+            }
+        ]
+        return pa.Table.from_pylist(found if gain[at] > 0 else [], schema=kind)
+
+    kind = pa.schema(
+        [
+            ("node", pa.int32()),
+            ("feature", pa.int32()),
+            ("bin", pa.int32()),
+            ("gain", pa.float64()),
+            ("left", pa.list_(pa.float64())),
+            ("total", pa.list_(pa.float64())),
+        ]
+    )
+    columns = "node int, feature int, bin int, gain double, left array<double>, total array<double>"
+    by_feature = histogram.groupBy("node", "feature").applyInArrow(search, columns)
+    chosen = F.struct("feature", "bin", "gain", "left", "total")
+    order = F.struct(F.col("gain"), -F.col("feature"))
+    return by_feature.groupBy("node").agg(F.max_by(chosen, order).alias("best")).select(
+        "node", "best.*"
     )
-    return sums.withColumn("gain", F.when(right[0] > 0, gain))
 
 
 def _route(
@@ -383,15 +461,3 @@ def _route(
     return F.when(goes_left(node), _route(nodes, 2 * at, goes_left, leaf)).otherwise(
         _route(nodes, 2 * at + 1, goes_left, leaf)
     )
-
-
-def node_column(nodes: dict[int, Node], frontier: set[int]) -> Column:
-    """The frontier node that a binned row falls in, null in a finished leaf."""
-
-    def leaf(node: Node) -> Column:
-        return F.lit(node.id if node.id in frontier else None).cast("int")
-
-    def goes_left(node: Node) -> Column:
-        return F.col(f"b{node.feature}") <= F.lit(node.bin)
-
-    return _route(nodes, 1, goes_left, leaf)

@@ -246,17 +246,65 @@ def test_tree_with_many_values_uses_quantiles(spark):
     assert wrong < 150
 
 
-def test_wide_tree(spark, monkeypatch):
-    monkeypatch.setattr(trees, "COLUMN_FEATURES", 2)
+def test_a_tree_is_the_same_at_any_width(spark):
     x, y = tree_frame(spark, [8, 12, 3], 1)
+    for labels, impurity in ((y, "gini"), (np.where(y == 1, 5.5, -1.0), "gini"), (y * 3, "variance")):
+        narrow = fit_tree(frame(spark, x, labels), impurity)
+        for width in (60, 70):
+            padded = np.hstack([x, np.zeros((len(x), width - 3))])
+            df = frame(spark, padded, labels)
+            for table in (df, as_sparse(df)):
+                wide = fit_tree(table, impurity)
+                assert wide.nodes.keys() == narrow.nodes.keys()
+                for i, node in wide.nodes.items():
+                    same = narrow.nodes[i]
+                    assert (node.feature, node.threshold) == (same.feature, same.threshold)
+                    assert abs(node.prediction - same.prediction) < 1e-9
+            found = wide.predict(df)
+            assert found.columns == ["label", "features", "prediction"]
+
+
+def test_a_tree_with_small_histograms_is_the_same(spark, monkeypatch):
+    x, y = tree_frame(spark, [8, 12, 3], 2)
     df = frame(spark, x, y)
-    wide_model = fit_tree(df)
-    monkeypatch.undo()
-    own = fit_tree(df).predict(df).collect()
-    found = wide_model.predict(df)
-    assert found.columns == ["label", "features", "prediction"]
-    assert sorted(map(str, found.collect())) == sorted(map(str, own))
-    assert fit_tree(as_sparse(df)).depth == 5
+    expected = fit_tree(df).to_df(spark).collect()
+    monkeypatch.setattr(trees, "HISTOGRAM_CELLS", 1)
+    monkeypatch.setattr(trees, "CHUNK_VALUES", 7)
+    assert fit_tree(df).to_df(spark).collect() == expected
+
+
+def test_a_tree_takes_many_classes(spark):
+    x = np.arange(110.0).repeat(2).reshape(-1, 1)
+    model = fit_tree(frame(spark, x, x[:, 0]), max_depth=2, max_bins=128)
+    assert abs(model.nodes[1].impurity - (1 - 1 / 110)) < 1e-12
+    assert model.depth == 2
+
+
+def test_tree_thresholds_are_midpoints_up_to_the_number_of_bins(spark):
+    x = np.arange(100.0).repeat(3).reshape(-1, 1)
+    model = fit_tree(frame(spark, x, (x[:, 0] >= 98).astype(float)), max_bins=128)
+    assert model.nodes[1].threshold == 97.5
+
+
+def test_a_tree_refuses_nulls(spark):
+    kind = "label double, features array<double>"
+    for bad in ((None, [1.0]), (1.0, None), (1.0, [None]), (1.0, [float("nan")])):
+        df = spark.createDataFrame([(0.0, [1.0]), bad], kind)
+        for impurity in ("gini", "variance"):
+            with pytest.raises(ValueError):
+                fit_tree(df, impurity)
+
+
+def test_a_level_of_a_tree_has_one_wide_shuffle(spark):
+    cells = spark.createDataFrame(
+        [([0, 1, 2], 0, 1.0, 0.0, 0.0)], "bins array<int>, c int, n double, s double, q double"
+    )
+    root = {1: trees.Node(1, 0, 1.0, 0.0, 0.5)}
+    histogram = trees.bin_histogram(cells, root, [1], 3, 12, 2, True)
+    plan = trees.best_splits(histogram, 12, 2, True)._jdf.queryExecution().executedPlan().toString()
+    # The histogram by node and feature, then one best row per task and node.
+    assert plan.count("Exchange hashpartitioning(node") == 2
+    assert plan.count("Exchange") == 2
 
 
 def test_splits(spark):
