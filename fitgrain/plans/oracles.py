@@ -300,7 +300,7 @@ UNION ALL SELECT 1::INTEGER, 1::INTEGER, round(b_y, 6) FROM c"""
 SQL["kmeans_assign"] = (
     _CLUSTERS + "SELECT p_partkey, (db < da)::INTEGER AS cluster FROM assigned"
 )
-SQL["kmeans_wssse"] = (
+SQL["kmeans_wssse"] = SQL["program_kmeans_cost"] = (
     _CLUSTERS
     + """SELECT 'Within Set Sum of Squared Errors' AS name,
        round(sum(least(da, db)), 6) AS value FROM assigned"""
@@ -501,3 +501,20 @@ SQL["best_split_variance"] = (
     _tree("l_extendedprice", "variance", 1)
     + "SELECT j::INTEGER AS feature, t AS threshold, round(gain, 1) AS gain FROM b0"
 )
+
+# The split programs, split by a key of the parsed values.
+SQL["program_svm_auc"] = (_SVM100 + _TEST + _AREA).replace(
+    "l_orderkey * 7 + l_linenumber AS key",
+    "(l_quantity * 100 + round(l_discount * 100))::BIGINT AS key",
+)
+_KEY = " + ".join(f"x{j} * {j + 1}" for j in range(len(_LETTERS)))
+SQL["program_naive_bayes_accuracy"] = (
+    SQL["nb_accuracy"]
+    .replace("doc_id % 1000003", "split_key % 1000003")
+    .replace(
+        "SELECT doc_id, lang AS label,",
+        f"SELECT *, ({_KEY})::BIGINT AS split_key FROM (\n"
+        "  SELECT doc_id, (lang = 'en')::INTEGER::DOUBLE AS label,",
+    )
+    .replace("FROM documents\n)", "FROM documents)\n)")
+)

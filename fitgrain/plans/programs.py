@@ -5,8 +5,9 @@ Each takes paths and returns a DataFrame: one captioned number, or the ranked na
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fitgrain.functions.parsing import (
     parse_id_name,
@@ -29,6 +30,8 @@ from fitgrain.operators.splits import random_split
 from fitgrain.operators.trees import fit_tree
 from fitgrain.sources.text import read_edge_list, read_libsvm, read_lines
 
+Split = Callable[[DataFrame, list[float], int], list[DataFrame]]
+
 
 def tree_training_error(spark: SparkSession, path: str, max_depth: int = 5) -> DataFrame:
     """Classify ``label,f1,f2,...`` lines with a Gini tree; share of wrong training rows."""
@@ -63,11 +66,18 @@ def svm_training_error(
 
 
 def svm_area_under_roc(
-    spark: SparkSession, path: str, iterations: int = 100, seed: int = 11
+    spark: SparkSession,
+    path: str,
+    iterations: int = 100,
+    seed: int = 11,
+    split: Split = random_split,
 ) -> DataFrame:
-    """Linear SVM on 60% of a LIBSVM file; area under the ROC curve on the other 40%."""
+    """Linear SVM on 60% of a LIBSVM file; area under the ROC curve on the other 40%.
+
+    ``split`` takes the points, the weights and the seed.
+    """
     points = read_libsvm(spark, path)
-    training, test = random_split(points, [0.6, 0.4], seed)
+    training, test = split(points, [0.6, 0.4], seed)
     training = training.persist()
     try:
         model = fit_svm(training, iterations).clear_threshold()
@@ -77,21 +87,36 @@ def svm_area_under_roc(
 
 
 def naive_bayes_accuracy(
-    spark: SparkSession, path: str, smoothing: float = 1.0, seed: int = 11
+    spark: SparkSession,
+    path: str,
+    smoothing: float = 1.0,
+    seed: int = 11,
+    split: Split = random_split,
 ) -> DataFrame:
-    """Naive Bayes on 60% of ``label,f1 f2 ...`` lines; accuracy on the other 40%."""
+    """Naive Bayes on 60% of ``label,f1 f2 ...`` lines; accuracy on the other 40%.
+
+    ``split`` takes the points, the weights and the seed.
+    """
     points = parse_labelled_nested(read_lines(spark, path))
-    training, test = random_split(points, [0.6, 0.4], seed)
+    training, test = split(points, [0.6, 0.4], seed)
     model = fit_naive_bayes(training, smoothing)
     return accuracy(model.predict(test))
 
 
 def kmeans_cost(
-    spark: SparkSession, path: str, k: int = 2, iterations: int = 20, seed: int = 1
+    spark: SparkSession,
+    path: str,
+    k: int = 2,
+    iterations: int = 20,
+    seed: int = 1,
+    centres: list[list[float]] | None = None,
 ) -> DataFrame:
-    """k-means on ``x1 x2 ...`` lines; within-set sum of squared errors."""
+    """k-means on ``x1 x2 ...`` lines; within-set sum of squared errors.
+
+    It starts from ``centres``, or from seeded ones.
+    """
     points = parse_vectors(read_lines(spark, path))
-    return fit_kmeans(points, k, iterations, seed=seed).cost(points)
+    return fit_kmeans(points, k, iterations, seed=seed, centres=centres).cost(points)
 
 
 def ranks_by_username(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgrain.functions import parsing
+from fitgrain.functions.vectors import unpack
 from fitgrain.operators.kmeans import KMeansModel, fit_kmeans
 from fitgrain.operators.linear import LinearModel, fit_least_squares, fit_svm
 from fitgrain.operators.metrics import (
@@ -496,13 +497,25 @@ def program_svm_error(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(programs.svm_training_error(spark, path), "value")
 
 
+def split_by_margins(points: DataFrame, weights: list[float], seed: int) -> list[DataFrame]:
+    x = unpack(points, "features", 2)
+    key = F.round((x[0] + 1) * 25) * 100 + F.round((x[1] + 1) * 5)
+    return hash_split(points, key, weights, seed)
+
+
+def split_by_letters(points: DataFrame, weights: list[float], seed: int) -> list[DataFrame]:
+    x = unpack(points, "features", len(LETTERS))
+    key = sum((c * (j + 1) for j, c in enumerate(x)), F.lit(0.0))
+    return hash_split(points, key, weights, seed)
+
+
 def program_svm_auc(spark: SparkSession, folder: str) -> DataFrame:
     numbered = F.transform(
         "features", lambda x, j: F.concat((j + 1).cast("string"), F.lit(":"), x.cast("string"))
     )
     points = margin_points(spark, folder).withColumn("features", numbered)
     path = stage_lines(spark, point_lines(points, " ", " "), "libsvm")
-    return rounded(programs.svm_area_under_roc(spark, path), "value")
+    return rounded(programs.svm_area_under_roc(spark, path, split=split_by_margins), "value")
 
 
 def program_naive_bayes_accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -514,7 +527,7 @@ def program_naive_bayes_accuracy(spark: SparkSession, folder: str) -> DataFrame:
         " ",
     )
     path = stage_lines(spark, lines, "bayes")
-    return rounded(programs.naive_bayes_accuracy(spark, path), "value")
+    return rounded(programs.naive_bayes_accuracy(spark, path, split=split_by_letters), "value")
 
 
 def program_kmeans_cost(spark: SparkSession, folder: str) -> DataFrame:
@@ -522,7 +535,7 @@ def program_kmeans_cost(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.col("features").cast("array<string>"), " ").alias("value")
     )
     path = stage_lines(spark, lines, "points")
-    return rounded(programs.kmeans_cost(spark, path), "value")
+    return rounded(programs.kmeans_cost(spark, path, centres=PART_CENTRES), "value")
 
 
 def program_ranks_by_username(spark: SparkSession, folder: str) -> DataFrame:
