@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fitgrain.llm.common import table, write_and_read
 from fitgrain.llm.jaccard_join import one_of_each
-from fitgrain.llm.mixing import mix_sources
+from fitgrain.llm.mixing import take_mix
 from fitgrain.llm.packing import pack_documents
 from fitgrain.llm.substring_dedup import dedup_substrings
 from fitgrain.llm.toxicity import fit_toxicity
@@ -39,10 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mix_sources(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    copies = F.expr("sequence(1, cast(taken div size as int))")
-    copies = taken.filter("taken > 0").select("doc_id", F.explode(copies).alias("copy_"))
-    return docs.join(copies, "doc_id").select(docs.columns)
+    return take_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

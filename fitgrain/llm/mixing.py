@@ -19,7 +19,8 @@ from fitgrain.llm.common import WORD, write_and_read
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 COPIES = 2
-#: Cells of the seeded order; in one of them the cut between copies is made exactly.
+#: Cells of the seeded order, and cells within each; the cut between copies is made
+#: exactly in one inner cell, which has one in ``CELLS ** 2`` of a pattern's documents.
 CELLS = 4096
 
 
@@ -130,20 +131,69 @@ def mix_sources(
     taken together, up to the one cut of a pattern. A null id is ordered by its text. Other columns are not read. An
     empty table gives no rows.
     """
+    found = _mixed(docs, id, text, sources, weights, share, copies, seed, [])
+    return found.select(
+        F.col("id").alias(id),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("times")).alias("taken"),
+    )
+
+
+def take_mix(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    sources: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    copies: int = COPIES,
+    seed: int = 11,
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as many times as the mix of
+    ``mix_sources`` takes it. Rows without words are not taken. ``docs`` must give the
+    same rows whenever it is read. An empty table gives no rows."""
+    found = _mixed(docs, id, text, sources, weights, share, copies, seed, docs.columns)
+    found = found.filter("size > 0 and times > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy_")
+    return found.select("carried", copy).select("carried.*")
+
+
+def _mixed(
+    docs: DataFrame,
+    id: str,
+    text: str,
+    sources: str,
+    weights: tuple[float, ...],
+    share: float,
+    copies: int,
+    seed: int,
+    carry: list[str],
+) -> DataFrame:
+    """``id, size, source_size, target, times``, and ``carried`` with columns of docs."""
     many = docs.schema[sources].dataType.typeName() == "array"
     label = F.col(sources) if many else F.array(F.col(sources).cast("string"))
     label = F.when(F.size(label) > 0, F.array_sort(F.array_distinct(label)))
     label = F.coalesce(label, F.array(F.lit(None).cast("string")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     named = F.coalesce(F.col(id).cast("string"), F.sha2(F.col(text).cast("string"), 256))
-    rows = docs.select(
+    columns = [
         F.col(id).alias("id"),
         F.to_json(label).alias("pattern"),
         size.alias("size"),
         F.xxhash64(F.lit(seed), named).alias("draw"),
-    )
-    rows = write_and_read(rows, "sizes").withColumn("cell", F.pmod("draw", F.lit(CELLS)))
+    ]
+
+    def with_cells(df: DataFrame) -> DataFrame:
+        high = F.shiftrightunsigned("draw", 32)
+        return df.withColumns(
+            {"cell": F.pmod("draw", F.lit(CELLS)), "inner": F.pmod(high, F.lit(CELLS))}
+        )
+
+    rows = with_cells(write_and_read(docs.select(columns), "sizes"))
     cells = rows.groupBy("pattern", "cell").agg(F.sum("size").alias("size"))
+    cells = write_and_read(cells, "cells")
     found = cells.groupBy("pattern").agg(F.sum("size").alias("size")).collect()
     patterns = {r["pattern"]: tuple(json.loads(r["pattern"])) for r in found}
     supply = {patterns[r["pattern"]]: r["size"] for r in found}
@@ -157,37 +207,53 @@ def mix_sources(
     base = {k: given[p] // max(supply[p], 1) for k, p in patterns.items()}
     extra = {k: given[p] % max(supply[p], 1) for k, p in patterns.items()}
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(list(extra.items()), "pattern string, extra long")
-    by = Window.partitionBy("pattern").orderBy("cell")
-    ends = cells.withColumn("end", F.sum("size").over(by)).join(wanted, "pattern")
-    # The one cell of each pattern in which the words come to an end.
-    cut = ends.filter("end >= extra and end - size < extra")
-    cut = {r["pattern"]: (r["cell"], r["end"] - r["size"]) for r in cut.collect()}
+    outer = _cuts(cells, extra)
+    within = {k: extra[k] - before for k, (_, before) in outer.items()}
+    chosen = spark.createDataFrame(
+        [(k, c) for k, (c, _) in outer.items()], "pattern string, cell long"
+    )
+    inner = rows.join(chosen, ["pattern", "cell"]).groupBy("pattern", "inner")
+    inner = _cuts(inner.agg(F.sum("size").alias("size")).withColumnRenamed("inner", "cell"), within)
     plan = spark.createDataFrame(
         [
             (
                 key,
                 base[key],
-                extra[key],
-                *cut.get(key, (-1, 0)),
+                outer[key][0] if key in outer else -1,
+                *((inner[key][0], within[key] - inner[key][1]) if key in inner else (-1, 0)),
                 sum(sizes[s] for s in p),
                 float(sum(target[s] for s in p)),
             )
             for key, p in patterns.items()
         ],
-        "pattern string, base long, extra long, cut long, before long, source_size long, "
-        "target double",
+        "pattern string, base long, outer_cut long, inner_cut long, left long, "
+        "source_size long, target double",
     )
+    if carry:
+        rows = with_cells(docs.select(*columns, F.struct(*carry).alias("carried")))
     out = rows.join(plan, "pattern")
-    inner = Window.partitionBy("pattern", "cell").orderBy("draw", "id", "size")
-    edge = out.filter("cell = cut").withColumn("end", F.sum("size").over(inner))
-    near = F.col("before") + F.col("end") - F.col("size") / 2 <= F.col("extra")
-    edge = edge.withColumn("one", near.cast("long")).drop("end")
-    rest = out.filter("cell <> cut").withColumn("one", F.expr("cell < cut").cast("long"))
+    at_cut = (F.col("cell") == F.col("outer_cut")) & (F.col("inner") == F.col("inner_cut"))
+    by = Window.partitionBy("pattern").orderBy("draw", "id", "size")
+    edge = out.filter(at_cut).withColumn("end", F.sum("size").over(by))
+    one = (F.col("end") - F.col("size") / 2 <= F.col("left")).cast("long")
+    edge = edge.withColumn("one", one).drop("end")
+    first = "cell < outer_cut or cell = outer_cut and inner < inner_cut"
+    rest = out.filter(~at_cut).withColumn("one", F.expr(first).cast("long"))
     return edge.unionByName(rest).select(
-        F.col("id").alias(id),
+        "id",
         "size",
         "source_size",
         "target",
-        (F.col("size") * (F.col("base") + F.col("one"))).alias("taken"),
+        (F.col("base") + F.col("one")).alias("times"),
+        *(["carried"] if carry else []),
     )
+
+
+def _cuts(cells: DataFrame, extra: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """The cell of each pattern in which its extra words come to an end, and the words of
+    the cells before; no cell where there are none."""
+    wanted = cells.sparkSession.createDataFrame(list(extra.items()), "pattern string, extra long")
+    by = Window.partitionBy("pattern").orderBy("cell")
+    ends = cells.withColumn("end", F.sum("size").over(by)).join(wanted, "pattern")
+    cut = ends.filter("end >= extra and end - size < extra")
+    return {r["pattern"]: (r["cell"], r["end"] - r["size"]) for r in cut.collect()}

@@ -5,7 +5,8 @@ each length, at most ``size`` numbers, decides the plan: lengths, pairs and trip
 indexed by their sums, and as many sequences as the counts allow are filled exactly at
 once; what has no complement is placed by best fit. Each step uses up a length, so the
 plan has at most about ``size`` steps whatever the number of documents. Pieces then find
-their places by their rank among the pieces of their length.
+their places by their rank among the pieces of their length: each task numbers its own,
+and the tasks' counts add up to where its numbers begin.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ from fitgrain.llm.common import slices, write_and_read
 from fitgrain.llm.tokens import default_path, encoder
 
 SIZE = 1024
-#: Parts of the pieces of one length that are ranked apart from each other.
-SALTS = 64
 
 
 class Lengths:
@@ -133,16 +133,20 @@ def places(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
 def pieces(
     docs: DataFrame, id: str, text: str, size: int, end_id: int, path: str, with_ids: bool
 ) -> DataFrame:
-    """``id, piece, start, length, crc`` of each piece, and its ``ids`` if wanted."""
-    schema = "id long, piece int, start long, length long, crc long"
+    """``id, piece, start, length, crc, task, rank`` of each piece, and its ``ids`` if wanted.
+
+    ``rank`` counts the pieces of one length in one task, from 0.
+    """
+    schema = "id long, piece int, start long, length long, crc long, task int, rank long"
     schema += ", ids array<long>" * with_ids
     last = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         encode = encoder(path).ids
+        task, ranks = TaskContext.get().partitionId(), Counter()
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], [], []]
                 for doc, string in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                     ids = encode(string or "") + last
                     n = len(ids) // 4
@@ -151,18 +155,21 @@ def pieces(
                         # The first piece takes what is over.
                         stop = start + ((n - start - 1) % size + 1)
                         part = ids[4 * start : 4 * stop]
-                        row = (doc, piece, start, stop - start, zlib.crc32(part))
+                        length = stop - start
+                        row = (doc, piece, start, length, zlib.crc32(part), task, ranks[length])
+                        ranks[length] += 1
                         for values, value in zip(out, row):
                             values.append(value)
                         if with_ids:
-                            out[5].append(np.frombuffer(part, "<u4").astype(np.int64))
+                            out[7].append(np.frombuffer(part, "<u4").astype(np.int64))
                         start, piece = stop, piece + 1
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                types += [pa.int32(), pa.int64()]
                 arrays = [pa.array(v, t) for v, t in zip(out, types)]
                 if with_ids:
-                    arrays.append(pa.array(out[5], pa.list_(pa.int64())))
-                names = ["id", "piece", "start", "length", "crc", "ids"][: len(arrays)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    arrays.append(pa.array(out[7], pa.list_(pa.int64())))
+                names = ["id", "piece", "start", "length", "crc", "task", "rank", "ids"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     slim = docs.select(
         F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")
@@ -191,22 +198,20 @@ def pack_documents(
     """
     found = pieces(docs, id, text, size, end_id, path or default_path(), with_ids)
     found = write_and_read(found, "pieces")
-    salt = F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(SALTS))
-    found = found.withColumn("salt", salt)
-    groups = found.groupBy("length", "salt").count()
-    totals = groups.groupBy("length").agg(F.sum("count").alias("n")).collect()
+    # As a table the numbers stay as they are, whichever tasks are lost later.
+    groups = found.groupBy("task", "length").agg((F.max("rank") + 1).alias("n"))
+    groups = write_and_read(groups, "lengths")
+    totals = groups.groupBy("length").agg(F.sum("n").alias("n")).collect()
     table = places(plan({r["length"]: r["n"] for r in totals}, size))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(
         Window.unboundedPreceding, -1
     )
     first = groups.select(
-        "length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")
+        "task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "crc", "start")
-    ranked = found.withColumn("rank", F.row_number().over(inside) - 1)
-    # At most ``size * SALTS`` rows, whatever the input.
-    ranked = ranked.join(F.broadcast(first), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("first")).drop("first", "salt")
+    # A task and length have no more pieces than one task made.
+    ranked = found.join(first, ["task", "length"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("first")).drop("first", "task")
 
     def place(batches):
         for batch in batches:

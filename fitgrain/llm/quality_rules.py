@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fitgrain.llm.common import words
 
-#: Documents on which costs and rejections are estimated, drawn by hash of the text.
+#: Documents on which costs and rejections are estimated, the first that are read.
 SAMPLE = 2000
 SYMBOLS = "[#*$%&|<>]"
 

@@ -252,6 +252,38 @@ def test_mixing(docs):
     assert all(r["source_size"] == sizes[source[str(r["doc_id"])]] for r in out)
 
 
+def test_the_mix_is_taken_row_by_row(corner):
+    want, got = Counter(), Counter()
+    for r in mixing.mix_sources(corner).collect():
+        want[r["doc_id"]] += r["taken"]
+    taken = mixing.take_mix(corner)
+    assert taken.columns == corner.columns
+    for r in taken.collect():
+        got[r["doc_id"]] += len(words(r["text"]))
+    assert +got == +want
+    # A share of everything twice takes rows without an id too.
+    whole = Counter(str(r["text"]) for r in mixing.take_mix(corner, share=2.0).collect())
+    texts = Counter(str(t) for _, t in rows_of(corner) if words(t))
+    assert whole == Counter({t: 2 * n for t, n in texts.items()})
+
+
+@pytest.mark.parametrize("cells", [1, 2])
+def test_cells_only_divide_the_work(corner, monkeypatch, cells):
+    want = mixing.mix_sources(corner)
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    got = mixing.mix_sources(corner)
+    per = {}
+    for name, rows in (("want", want), ("got", got)):
+        for r in rows.collect():
+            at = per.setdefault((name, r["target"]), [0, 0])
+            at[0] += r["taken"]
+            at[1] = max(at[1], r["size"])
+            assert r["taken"] <= 2 * r["size"]
+    for (_, target), (total, largest) in per.items():
+        assert abs(total - target) <= largest + 1
+    assert got.columns == want.columns
+
+
 def test_mixing_of_overlapping_sources(spark):
     rows = [(i, "w " * 10, [["a"], ["a", "b"], ["b"], ["c"]][i % 4]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
