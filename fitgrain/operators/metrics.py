@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitgrain.functions.summaries import value_sets_and_quantiles
-
-AUC_RANGE_ROWS = 200_000
-AUC_RANGES = 2_000
+#: Distinct scores of a range, about, and ranges whose totals are added up together.
+AUC_RANGE_ROWS = 2_000_000
+AUC_BLOCK = 1_000
 
 
 def report(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -62,9 +60,10 @@ def area_under_roc(
     """Exact area under the ROC curve; tied scores count one half.
 
     Rows first collapse to one per distinct score. Running counts over those need
-    an order over the whole set, so the score axis is cut into ranges of bounded
-    size: counts run within a range, and each range adds the totals of the ranges
-    below it. The cut points only balance the work and do not change the result.
+    an order over the whole set, so they are dealt out by ranges of bounded size:
+    counts run within a range, and each range adds the totals of the ranges below it,
+    which are summed in blocks first. The cut points only balance the work and do not
+    change the result.
     Rows with a null or NaN score or label are left out.
     """
     scored = scored.dropna(subset=[score, label])
@@ -79,38 +78,21 @@ def area_under_roc(
         .persist()
     )
     try:
-        distinct = ranked.count()
-        bucketed = _score_ranges(ranked, distinct)
-        totals = bucketed.groupBy("part").agg(
-            F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg")
-        )
-        # One row per range, so at most AUC_RANGES rows.
-        below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            "part", F.coalesce(F.sum("part_neg").over(below), F.lit(0.0)).alias("neg_before")
-        )
+        ranges = ranked.count() // AUC_RANGE_ROWS + 1
+        dealt = ranked.repartitionByRange(ranges, "s").withColumn("part", F.spark_partition_id())
         within = (
             Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
         )
-        pairs = bucketed.select(
-            "part",
-            "pos",
-            "neg",
-            (F.col("pos") * (F.coalesce(F.sum("neg").over(within), F.lit(0.0)) + F.col("neg") / 2))
-            .alias("won"),
-        )
-        per_part = pairs.groupBy("part").agg(
-            F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-        )
-        row = (
-            per_part.join(offsets, "part")
-            .agg(
-                F.sum(F.col("won") + F.col("pos") * F.col("neg_before")).alias("won"),
-                F.sum("pos").alias("pos"),
-                F.sum("neg").alias("neg"),
-            )
-            .first()
-        )
+        below = F.coalesce(F.sum("neg").over(within), F.lit(0.0))
+        won = F.col("pos") * (below + F.col("neg") / 2)
+        sums = [F.sum(c).alias(c) for c in ("won", "pos", "neg")]
+        # Totals of ranges, and then of blocks of ranges, are the same kind of rows.
+        counted = dealt.select("part", "pos", "neg", won.alias("won"))
+        counted = counted.groupBy("part").agg(*sums)
+        block = F.floor(F.col("part") / AUC_BLOCK)
+        counted = _above(counted.withColumn("block", block), ["block"])
+        counted = _above(counted.groupBy("block").agg(*sums).withColumnRenamed("block", "part"), [])
+        row = counted.agg(*sums).first()
     finally:
         ranked.unpersist()
     if not row.pos and not row.neg:
@@ -124,19 +106,10 @@ def area_under_roc(
     return scored.sparkSession.createDataFrame([(name, value)], "name string, value double")
 
 
-def _score_ranges(ranked: DataFrame, distinct: int) -> DataFrame:
-    parts = min(distinct // AUC_RANGE_ROWS + 1, AUC_RANGES)
-    cuts = []
-    if parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        found = value_sets_and_quantiles(ranked, distinct, [], ["s"], shares)
-        cuts = sorted(set(found["s"]))
-    if not cuts:
-        return ranked.withColumn("part", F.lit(0.0))
-    ranges = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")],
-        inputCol="s",
-        outputCol="part",
-        handleInvalid="keep",
+def _above(counted: DataFrame, within: list[str]) -> DataFrame:
+    """Adds to ``won`` the pairs of a part's positives with negatives of the parts below."""
+    below = (
+        Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return ranges.transform(ranked)
+    before = F.coalesce(F.sum("neg").over(below), F.lit(0.0))
+    return counted.withColumn("won", F.col("won") + F.col("pos") * before)

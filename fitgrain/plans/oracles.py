@@ -71,6 +71,8 @@ SELECT doc_id, CASE WHEN (((doc_id % 1000003 * 7919 + 11) % 1000003) * ((doc_id
 FROM documents
 """
 
+SQL["split_seeded"] = "SELECT doc_id, lang FROM documents"
+
 
 # Naive Bayes.
 
@@ -501,6 +503,32 @@ SQL["best_split_variance"] = (
     _tree("l_extendedprice", "variance", 1)
     + "SELECT j::INTEGER AS feature, t AS threshold, round(gain, 1) AS gain FROM b0"
 )
+SQL["best_split_wide"] = """
+WITH long AS (
+  SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j
+  FROM embeddings
+), cells AS (
+  SELECT j, v, label, count(*) AS n FROM (
+    SELECT label, j, floor(x * 10) AS v FROM long
+    UNION ALL SELECT label, j + 64, floor(x * x * 200) FROM long)
+  GROUP BY ALL
+), cuts AS (
+  SELECT j, v, (v + lead(v) OVER (PARTITION BY j ORDER BY v)) / 2 AS t
+  FROM (SELECT DISTINCT j, v FROM cells)
+), sides AS (
+  SELECT c.j, t, label, sum(CASE WHEN h.v <= c.v THEN n ELSE 0 END)::DOUBLE AS l,
+         sum(n)::DOUBLE AS n
+  FROM cuts c JOIN cells h ON h.j = c.j
+  WHERE t IS NOT NULL
+  GROUP BY c.j, t, label
+), gains AS (
+  SELECT j, t, (sum(l ** 2) / sum(l) + sum((n - l) ** 2) / sum(n - l)
+                - sum(n ** 2) / sum(n)) / sum(n) AS gain
+  FROM sides GROUP BY j, t
+)
+SELECT j::INTEGER AS feature, t AS threshold, round(gain, 9) AS gain
+FROM gains ORDER BY round(gain, 12) DESC, j, t LIMIT 1
+"""
 
 # The split programs, split by a key of the parsed values.
 SQL["program_svm_auc"] = (_SVM100 + _TEST + _AREA).replace(

@@ -26,7 +26,7 @@ from fitgrain.operators.metrics import (
 )
 from fitgrain.operators.naive_bayes import BayesModel, fit_naive_bayes
 from fitgrain.operators.pagerank import out_degrees, pagerank, ranks_by_name, vertices
-from fitgrain.operators.splits import hash_split
+from fitgrain.operators.splits import hash_split, random_split
 from fitgrain.operators.trees import TreeModel, fit_tree
 from fitgrain.plans import programs
 from fitgrain.session import fresh_path
@@ -169,6 +169,13 @@ def split_by_key(spark: SparkSession, folder: str) -> DataFrame:
     return numbered[0].unionAll(numbered[1])
 
 
+def split_seeded(spark: SparkSession, folder: str) -> DataFrame:
+    """Both parts of the seeded split: every row once, whichever part it is in."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    first, second = random_split(docs, [0.6, 0.4])
+    return first.unionAll(second)
+
+
 # Naive Bayes: the language of a document from its letter counts.
 
 
@@ -463,6 +470,17 @@ def best_split_variance(spark: SparkSession, folder: str) -> DataFrame:
     return root_split(fit_tree(tree_points(spark, folder, "price"), "variance", 1), spark, 1)
 
 
+def best_split_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of 128 features for ten classes."""
+    x = F.col("embedding").cast("array<double>")
+    tenths = F.transform(x, lambda v: F.floor(v * 10.0).cast("double"))
+    squares = F.transform(x, lambda v: F.floor(v * v * 200.0).cast("double"))
+    points = table(spark, folder, "embeddings").select(
+        F.col("label").cast("double").alias("label"), F.concat(tenths, squares).alias("features")
+    )
+    return root_split(fit_tree(points, "gini", 1), spark, 9)
+
+
 # The end-to-end programs, on text staged from the tables.
 
 
@@ -563,6 +581,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         libsvm,
         stage,
         split_by_key,
+        split_seeded,
         nb_model,
         nb_predict,
         nb_correct,
@@ -594,6 +613,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tree_reg_mse,
         best_split_gini,
         best_split_variance,
+        best_split_wide,
         program_tree_error,
         program_tree_mse,
         program_least_squares_mse,

@@ -48,9 +48,10 @@ def area(spark, scores, labels):
     return value(metrics.area_under_roc(spark.createDataFrame(data, "score double, label double")))
 
 
-@pytest.mark.parametrize("range_rows", [200_000, 7])
-def test_area_equals_pair_counts_in_one_or_many_ranges(spark, monkeypatch, range_rows):
+@pytest.mark.parametrize(("range_rows", "block"), [(200_000, 1_000), (7, 1_000), (7, 3)])
+def test_area_equals_pair_counts_in_one_or_many_ranges(spark, monkeypatch, range_rows, block):
     monkeypatch.setattr(metrics, "AUC_RANGE_ROWS", range_rows)
+    monkeypatch.setattr(metrics, "AUC_BLOCK", block)
     random = np.random.default_rng(2)
     labels = random.integers(0, 2, 300)
     for scores in (
