@@ -397,6 +397,32 @@ def test_near_statements_match(spark):
     assert (row["license"], row["dice"], row["n_matches"]) == ("Apache-2.0", 1.0, 2)
 
 
+def test_statements_inside_longer_segments_match(spark):
+    filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    short = "Licensed under CC BY-NC 4.0."
+    mit = license_scan.TEMPLATES["MIT"][2].split()
+    comment = "\n".join(f" * {' '.join(mit[i : i + 9])}" for i in range(0, len(mit), 9))
+    code = "\n".join(f"int x{i} = {i};" for i in range(90))
+    apart = "// My tool\n//\n// Licensed under the Apache License,\n// Version 2.0.\n//\n" + code
+    expected = {
+        f"{filler} {short}": ("CC-BY-NC-4.0", 1),
+        "This code is Copyright X. Licensed under the Apache License, Version 2.0.": ("Apache-2.0", 1),
+        f"{code}\n{comment}\n{code}": ("MIT", 1),
+        apart: ("Apache-2.0", 1),
+        # On a line of its own, then twice inside a line.
+        f"{short}\n{filler} {short} {filler} {short}": ("CC-BY-NC-4.0", 3),
+        # A segment of 9 bigrams has a coefficient of 0.8 exactly.
+        f"one two three {short}": ("CC-BY-NC-4.0", 1),
+        f"{filler} licensed under cc {filler} nc 4.0": (None, 0),
+    }
+    docs = spark.createDataFrame(list(enumerate(expected)), "doc_id int, text string")
+    out = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    found = {t: (out[i]["license"], out[i]["n_matches"]) for i, t in enumerate(expected)}
+    assert found == expected
+    assert out[0]["dice"] == 1.0
+    assert out[0]["matched"][0]["segment"] == short[:-1]
+
+
 # 8
 
 
