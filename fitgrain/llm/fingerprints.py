@@ -31,7 +31,8 @@ def word_hashes(text: Column) -> Column:
 def syncmers(hashes: Column, k: int = RUN, s: int = INNER) -> Column:
     """Anchors of a text as an array of ``struct(pos, hash)``.
 
-    A text of fewer than k words has one anchor, of all its words; an empty one none.
+    A text without a closed syncmer (of fewer than k words, or of few more) has one anchor,
+    of all its words; an empty one none.
     """
     n = F.size(hashes)
     inner = hashes if s == 1 else _runs(hashes, s)
@@ -58,7 +59,12 @@ def syncmers(hashes: Column, k: int = RUN, s: int = INNER) -> Column:
         F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(hashes, " ")).alias("hash"))
     )
     none = F.array().cast("array<struct<pos:int,hash:bigint>>")
-    return F.when(n == 0, none).when(n < k, whole).otherwise(anchors)
+    # In an array of one, so that the anchors are worked out once.
+    found = F.transform(
+        F.array(F.when(n < k, none).otherwise(anchors)),
+        lambda a: F.when((n > 0) & (F.size(a) == 0), whole).otherwise(a),
+    )
+    return F.get(found, F.lit(0))
 
 
 def _runs(hashes: Column, s: int) -> Column:

@@ -208,6 +208,16 @@ def test_syncmers_are_those_of_the_definition(spark):
         assert [a["pos"] for a in got.first()[0]] == expected
 
 
+def test_only_empty_texts_have_no_anchor(spark):
+    texts = [" ".join(f"s{i}n{n}w{j}" for j in range(n)) for n in range(7) for i in range(40 if n else 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = fingerprints.fingerprint_documents(docs).collect()
+    assert [texts[r["doc_id"]] for r in found if not r["anchors"]] == [""]
+    assert len({r["fingerprint"] for r in found}) == len(texts)
+    near = fingerprints.edit_and_compare(docs).select("near_next").collect()
+    assert all(r["near_next"] == 0 for r in near)
+
+
 def test_equal_texts_have_equal_fingerprints_and_shifts_are_found(spark, corner):
     out = defaultdict(set)
     for r in fingerprints.fingerprint_documents(corner.filter("doc_id < 100")).collect():
