@@ -2,8 +2,9 @@
 
 A run of k words is a closed syncmer if the least hash of its inner runs of s words lies
 at its first or last place. Whether a run is chosen depends on its own words alone, so an
-edit moves no anchor beyond k words of it. The fingerprint keeps the least hashes of the
-anchors; two of them estimate the likeness of all anchors. Column expressions only.
+edit moves no anchor beyond k words of it. The fingerprint has all anchors of a text and
+their places, so it grows with the text. Two texts are as like as the share of anchors that
+match at a consistent shift. Column expressions only.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a run and of its inner runs, and anchors that a fingerprint keeps.
+#: Words of a run and of its inner runs.
 RUN = 4
 INNER = 1
-KEPT = 64
 #: A word is a run of characters without white space, 32 at most; characters of scripts
 #: that are written without spaces are words of their own.
 TOKEN = (
@@ -28,6 +28,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(found, lambda word: F.xxhash64(word))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def syncmers(hashes: Column, k: int = RUN, s: int = INNER) -> Column:
     """Anchors of a text as an array of ``struct(pos, hash)``.
 
@@ -59,12 +64,10 @@ def syncmers(hashes: Column, k: int = RUN, s: int = INNER) -> Column:
         F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(hashes, " ")).alias("hash"))
     )
     none = F.array().cast("array<struct<pos:int,hash:bigint>>")
-    # In an array of one, so that the anchors are worked out once.
-    found = F.transform(
-        F.array(F.when(n < k, none).otherwise(anchors)),
+    return _let(
+        F.when(n < k, none).otherwise(anchors),
         lambda a: F.when((n > 0) & (F.size(a) == 0), whole).otherwise(a),
     )
-    return F.get(found, F.lit(0))
 
 
 def _runs(hashes: Column, s: int) -> Column:
@@ -74,38 +77,91 @@ def _runs(hashes: Column, s: int) -> Column:
     return F.transform(zipped, lambda x: F.xxhash64(*(x[f"w{j}"] for j in range(s))))
 
 
-def sketch(anchors: Column, kept: int = KEPT) -> Column:
-    """The least distinct anchor hashes, as numbers below 2^32 in order."""
-    low = F.transform(anchors, lambda x: x["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.slice(F.sort_array(F.array_distinct(low)), 1, kept)
+def as_text(anchors: Column) -> Column:
+    """Nine hexadecimal digits for each anchor, in order: the low 32 bits of its hash, and
+    how far it lies after the one before, which is at most RUN - INNER words."""
+
+    def number(a: Column, i: Column) -> Column:
+        gap = a["pos"] - F.coalesce(F.get(anchors, i - 1)["pos"], F.lit(0))
+        return F.shiftleft(a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)), 4) + gap
 
+    return F.array_join(
+        F.transform(anchors, lambda a, i: F.lpad(F.hex(number(a, i)), 9, "0")), ""
+    )
 
-def as_text(numbers: Column) -> Column:
-    """Eight hexadecimal digits for each number."""
-    return F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
+def pairs(x: Column, y: Column) -> Column:
+    """Equal anchors of two texts in order of place in x, as ``struct(pos, shift)``: how far
+    the place in x lies after that in y. The first of some equal anchors in x goes with the
+    first of them in y, the second with the second, and so on."""
 
-def likeness(x: Column, y: Column, kept: int = KEPT) -> Column:
-    """The share of common anchors among the least of both; 1 for two empty texts."""
-    both = F.slice(F.sort_array(F.array_union(x, y)), 1, kept)
-    common = F.size(F.array_intersect(both, F.array_intersect(x, y)))
-    return F.when(F.size(both) == 0, 1.0).otherwise(common / F.size(both))
+    def side(anchors: Column, k: int) -> Column:
+        return F.transform(
+            anchors, lambda a: F.struct(a["hash"], F.lit(k).alias("side"), a["pos"])
+        )
 
+    def starts(both: Column) -> Column:
+        def new(a: Column, i: Column) -> Column:
+            before = F.get(both, i - 1)
+            other = (before["hash"] != a["hash"]) | (before["side"] != a["side"])
+            return F.when(F.coalesce(other, F.lit(True)), i)
 
-def shift(x: Column, y: Column) -> Column:
-    """How far the words of text x lie after those of y at most of their common anchors:
-    the commonest difference of positions, null without a common anchor."""
-    places = F.map_from_entries(
-        F.transform(
-            F.array_sort(y, lambda a, b: a["pos"] - b["pos"]),
-            lambda a: F.struct(a["hash"].cast("string"), a["pos"]),
+        # The end follows the last group.
+        return F.concat(
+            F.filter(F.transform(both, new), F.isnotnull), F.array(F.size(both))
         )
+
+    def of_group(both: Column, at: Column, j: Column) -> Column:
+        here, there, end = (F.get(at, j + k) for k in range(3))
+        return F.transform(
+            F.sequence(F.lit(0), F.least(there - here, end - there) - 1),
+            lambda r: F.struct(
+                F.get(both, here + r)["pos"].alias("pos"),
+                (F.get(both, here + r)["pos"] - F.get(both, there + r)["pos"]).alias("shift"),
+            ),
+        )
+
+    def matched(both: Column, at: Column) -> Column:
+        def goes_on(i: Column, j: Column) -> Column:
+            here, there = F.get(both, i), F.get(both, F.get(at, j + 1))
+            return F.when((here["side"] == 0) & (here["hash"] == there["hash"]), j)
+
+        both_sides = F.filter(F.transform(at, goes_on), F.isnotnull)
+        return F.flatten(F.transform(both_sides, lambda j: of_group(both, at, j)))
+
+    found = _let(
+        F.sort_array(F.concat(side(x, 0), side(y, 1))),
+        lambda both: _let(starts(both), lambda at: matched(both, at)),
     )
-    moved = F.filter(
-        F.transform(x, lambda a: a["pos"] - F.try_element_at(places, a["hash"].cast("string"))),
-        F.isnotnull,
+    return F.sort_array(found)
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """The share of all anchors of both that match; 1 for two empty texts.
+
+    Equal anchors match if the pair before or after them in x has the same shift, so runs
+    that lie about both texts by chance don't. A pair that is the only one matches.
+    """
+
+    def agreeing(found: Column) -> Column:
+        def agrees(p: Column, i: Column) -> Column:
+            near = [F.get(found, i + k)["shift"].eqNullSafe(p["shift"]) for k in (-1, 1)]
+            return near[0] | near[1] | (F.size(found) == 1)
+
+        return F.size(F.filter(found, agrees))
+
+    n = F.size(x) + F.size(y)
+    common = _let(pairs(x, y), agreeing)
+    return F.when(n == 0, 1.0).otherwise(_let(common, lambda c: c / (n - c)))
+
+
+def shift(x: Column, y: Column) -> Column:
+    """How far the words of text x lie after those of y: the median of their common
+    anchors, null without a common anchor."""
+    moved = F.sort_array(F.transform(pairs(x, y), lambda p: p["shift"]))
+    return _let(
+        moved, lambda m: F.when(F.size(m) > 0, F.get(m, F.floor(F.size(m) / 2).cast("int")))
     )
-    return F.when(F.size(moved) > 0, F.get(F.sort_array(moved), F.floor(F.size(moved) / 2)))
 
 
 def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +174,7 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
     hashes = word_hashes(F.coalesce(F.col(text).cast("string"), F.lit("")))
     out = docs.select(F.col(id).alias(id), hashes.alias("hashes_"))
     out = out.select(id, syncmers(F.col("hashes_")).alias("anchors"))
-    return out.select(id, as_text(sketch(F.col("anchors"))).alias("fingerprint"), "anchors")
+    return out.select(id, as_text(F.col("anchors")).alias("fingerprint"), "anchors")
 
 
 def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,58 +209,53 @@ def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     else:
         part = F.lit(0)
     slim = slim.withColumn("part", part)
-    marked = _with_sketch(slim, "text", "numbers")
     # The first document of each range ends the range before; that of the first ends the last.
     least = F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))), "text")).alias("least")
     heads = slim.filter(F.col("id").isin(firsts) | F.col("id").isNull())
     heads = heads.groupBy("part").agg(least).select("part", "least.text")
-    heads = _with_sketch(heads, "text", "numbers")
     last = F.lit(max(len(firsts), 1) - 1)
     heads = heads.select(
         F.lit(None).cast("long").alias("id"),
         "text",
         F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1).alias("part"),
-        "numbers",
         F.lit(1).alias("head"),
     )
-    both = marked.withColumn("head", F.lit(0)).unionByName(heads)
+    both = slim.withColumn("head", F.lit(0)).unionByName(heads)
     after = Window.partitionBy("part").orderBy("head", F.col("id").asc_nulls_first(), "text")
-    both = both.select(
-        "*",
-        F.lead("text").over(after).alias("next_text"),
-        F.lead("numbers").over(after).alias("next_numbers"),
-    ).filter("head = 0")
+    both = both.select("*", F.lead("text").over(after).alias("next_text")).filter("head = 0")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), n - half),
         F.substring(F.col("next_text"), F.lit(1), half),
     )
-    both = _with_sketch(both.withColumn("edited", edited), "edited", "edited_numbers")
     both = both.select(
         "id",
         n.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "numbers",
-        "next_numbers",
-        "edited_numbers",
+        "text",
+        "next_text",
+        edited.alias("edited"),
     )
+    # Anchors take more room than the text, so they are made after the shuffle.
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    for name in ("text", "next_text", "edited"):
+        both = _with_anchors(both, name)
     return both.select(
         F.col("id").alias(id),
         "n_chars",
         "edited_sha256",
-        as_text(F.col("numbers")).alias("fingerprint"),
-        as_text(F.col("edited_numbers")).alias("edited_fingerprint"),
-        likeness(F.col("numbers"), F.col("edited_numbers")).alias("near_edited"),
-        likeness(F.col("numbers"), F.col("next_numbers")).alias("near_next"),
+        as_text(F.col("text")).alias("fingerprint"),
+        as_text(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("text"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("text"), F.col("next_text")).alias("near_next"),
     )
 
 
-def _with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds a text's sketch. The hashes are a column of their own, because an expression
-    that several others hold is worked out by each of them."""
-    df = df.withColumn("hashes_", word_hashes(F.col(text)))
-    return df.withColumn(name, sketch(syncmers(F.col("hashes_")))).drop("hashes_")
+def _with_anchors(df: DataFrame, text: str) -> DataFrame:
+    """Anchors in a text's place. The hashes are a column of their own, because an
+    expression that several others hold is worked out by each of them."""
+    df = df.withColumn(text, word_hashes(F.col(text)))
+    return df.withColumn(text, syncmers(F.col(text)))
 
 
 def _range_starts(docs: DataFrame) -> list[int]:

@@ -218,6 +218,34 @@ def test_only_empty_texts_have_no_anchor(spark):
     assert all(r["near_next"] == 0 for r in near)
 
 
+def test_all_anchors_of_long_texts_count(spark):
+    body = [f"t{i}" for i in range(20000)]
+    changed = body[:9000] + [f"u{i}" for i in range(100)] + body[9100:]
+    longer = body[:5000] + ["one", "more"] + body[5000:]
+    passage = [f"p{i}" for i in range(3000)] + body[700:900] + [f"q{i}" for i in range(3000)]
+    twice, thrice = (["some", "words", "again", "now"] * n for n in (200, 300))
+    shuffled = [w for i in range(0, 400, 4) for w in body[396 - i : 400 - i]]
+    texts = [body, body, changed, longer, passage, twice, thrice, body[:400], shuffled]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = fingerprints.edit_and_compare(spark.createDataFrame(rows, "doc_id int, text string"))
+    out = {r["doc_id"]: r for r in out.collect()}
+    near = [out[i]["near_next"] for i in range(len(texts))]
+    assert out[0]["fingerprint"] == out[1]["fingerprint"] != out[2]["fingerprint"]
+    assert near[0] == 1
+    assert 0.98 < near[1] < 1
+    assert 0.98 < near[2] < 1
+    assert 0.003 < near[3] < 0.02
+    assert near[4] == near[6] == 0
+    assert abs(near[5] - 2 / 3) < 0.01
+    # Runs of 4 words, each moved on its own, have no consistent shift.
+    assert near[7] < 0.02
+    anchors = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id int, text string"))
+    for r in anchors.collect():
+        parts = re.findall("(.{8})(.)", r["fingerprint"])
+        assert [int(g, 16) for _, g in parts] == list(np.diff([0] + [a["pos"] for a in r["anchors"]]))
+        assert [int(h, 16) for h, _ in parts] == [a["hash"] & 0xFFFFFFFF for a in r["anchors"]]
+
+
 def test_equal_texts_have_equal_fingerprints_and_shifts_are_found(spark, corner):
     out = defaultdict(set)
     for r in fingerprints.fingerprint_documents(corner.filter("doc_id < 100")).collect():
