@@ -36,7 +36,10 @@ def default_rules() -> list[Rule]:
     lines = F.filter(F.split(F.col("text"), "\n"), lambda line: F.rlike(line, F.lit("[^ \t-\r]")))
     bullets = F.filter(lines, lambda line: F.rlike(line, F.lit("^[ \t]*[-*•]")))
     endings = F.filter(lines, lambda line: F.rlike(line, F.lit("(\\.\\.\\.|…)[ \t\r]*$")))
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    # Vowel signs are marks, and part of the words of many scripts.
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}\p{M}]+", ""))
+    # A vocabulary grows more slowly than its text, so long texts need no fixed share.
+    distinct = F.size(F.array_distinct(F.transform("words", F.lower))).cast("long")
     return [
         Rule("symbols", F.col("n_symbols") * 10 > n),
         Rule("word_length", ~(F.col("word_chars").between(2 * n, 15 * n))),
@@ -44,7 +47,7 @@ def default_rules() -> list[Rule]:
         Rule("letters", letters * 10 < F.col("word_chars") * 7),
         Rule("bullets", F.size(bullets) * 10 > F.size(lines) * 9),
         Rule("ellipses", F.size(endings) * 10 > F.size(lines) * 3),
-        Rule("few_distinct_words", F.size(F.array_distinct(F.transform("words", F.lower))) * 20 < n),
+        Rule("few_distinct_words", distinct < F.least(n / 20, F.sqrt(n))),
     ]
 
 

@@ -125,6 +125,21 @@ def test_the_order_of_rules_changes_no_verdict(small):
     assert sorted(x[0] for x in order) == sorted(r.name for r in rules)
 
 
+def test_long_prose_and_vowel_signs_are_kept(spark):
+    rng = np.random.default_rng(3)
+    spelt = str.maketrans("0123456789", "abcdefghij")
+    prose = " ".join(f"w{i}x".translate(spelt) for i in rng.integers(0, 1200, 40000))
+    hindi = " ".join(f"कि{a}ी{b}ु" for a in "कखगघचछजझ" for b in "टठडढणतथद")
+    tiny = " ".join(f"word{'abcdefghij'[i % 10]}x" for i in rng.integers(0, 10, 1000))
+    texts = [prose, hindi, tiny]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r["doc_id"]: r for r in quality_rules.quality_cascade(docs).collect()}
+    assert (out[0]["kept"], out[1]["kept"]) == (True, True)
+    few = quality_rules.default_rules()[-1].rejects
+    rows = quality_rules.with_base(docs).select("doc_id", few.alias("few")).collect()
+    assert {r["doc_id"]: r["few"] for r in rows} == {0: False, 1: False, 2: True}
+
+
 # 3
 
 
