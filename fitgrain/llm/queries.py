@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from fitgrain.llm.chat_format import canonical_turns, digests, format_chats
 from fitgrain.llm.common import table
+from fitgrain.llm.fill_in_middle import DIGESTS_SQL
+from fitgrain.llm.fill_in_middle import digests as middle_digests
 from fitgrain.llm.fingerprints import edit_and_compare
 from fitgrain.llm.jaccard_join import jaccard_components
+from fitgrain.llm.language_id import identify_held_out
 from fitgrain.llm.license_scan import scan_licenses
+from fitgrain.llm.merkle import document_manifest, manifest_sql
 from fitgrain.llm.mixing import mix_sources
 from fitgrain.llm.packing import pack_documents
 from fitgrain.llm.quality_rules import quality_cascade
@@ -88,6 +92,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return middle_digests(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(table(spark, folder, "documents"))
+
+
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_held_out(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -99,6 +115,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_id": op13_language_id,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_fill_in_middle": DIGESTS_SQL,
+    "op12_merkle_manifest": manifest_sql(),
+}

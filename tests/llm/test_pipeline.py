@@ -41,4 +41,4 @@ def test_corner_cases(spark, corner, empty):
 def test_registered():
     found = __spark_entry__.queries()
     assert "pipeline" in found
-    assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 14))
