@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgrain.functions.summaries import value_sets_and_quantiles
 from fitgrain.functions.vectors import (
-    batch_matrix,
+    NARROW,
     dimension,
+    is_vector,
     kernel_column,
-    list_array,
     unpack,
     unusable,
     unusable_label,
 )
+from fitgrain.operators.bins import Cuts, dense_cuts, dense_rows, sparse_cuts, sparse_rows
 from fitgrain.operators.grain import distinct_estimate, gather, worth_grouping
+from fitgrain.operators.histograms import (
+    best_splits,
+    bin_histogram,
+    impurity as impurity_of,
+    node_totals,
+    row_count,
+)
 
-#: Cells of the histogram that one task holds at a time; more nodes take more jobs.
-HISTOGRAM_CELLS = 4_000_000
-#: Values of a batch that one task spreads out at a time.
-CHUNK_VALUES = 2_000_000
-#: Columns whose quantiles one job takes.
-QUANTILE_COLUMNS = 64
+#: Classes that a tree may have; the driver holds their list.
+MOST_CLASSES = 100_000
+#: Levels up to which a prediction is one CASE, which doubles with each of them.
+CASE_DEPTH = 6
 
 
 @dataclass
@@ -58,9 +63,17 @@ class TreeModel:
     def predict(
         self, df: DataFrame, features: str = "features", output: str = "prediction"
     ) -> DataFrame:
-        """Append the leaf's value, as one nested CASE over the features it uses."""
+        """Append the leaf's value.
+
+        A flat tree over few features is one nested CASE. Others go down their nodes as
+        arrays, level by level, an Arrow batch at a time; both send a missing value to
+        the right.
+        """
         used = [node.feature for node in self.nodes.values() if node.feature is not None]
-        x = unpack(df, features, max(used, default=-1) + 1)
+        width = max(used, default=-1) + 1
+        if self.depth > CASE_DEPTH or (is_vector(df, features) and width > NARROW * 4):
+            return df.withColumn(output, self._walk(kernel_column(df, features)))
+        x = unpack(df, features, width)
 
         def leaf(node: Node) -> Column:
             return F.lit(node.prediction)
@@ -70,6 +83,30 @@ class TreeModel:
 
         return df.withColumn(output, _route(self.nodes, 1, goes_left, leaf))
 
+    def _walk(self, column: Column) -> Column:
+        order = sorted(self.nodes)
+        nodes = [self.nodes[i] for i in order]
+        place = {node.id: i for i, node in enumerate(nodes)}
+        inner = np.array([node.feature is not None for node in nodes])
+        feature = np.array([node.feature or 0 for node in nodes])
+        threshold = np.array([node.threshold if node.feature is not None else 0.0 for node in nodes])
+        left = np.array([place.get(2 * node.id, 0) for node in nodes])
+        right = np.array([place.get(2 * node.id + 1, 0) for node in nodes])
+        value = np.array([node.prediction for node in nodes])
+
+        @F.arrow_udf("double")
+        def walk(batch: pa.Array) -> pa.Array:
+            rows = RowValues(batch)
+            at = np.zeros(len(batch), dtype=int)
+            going = np.arange(len(batch))
+            while len(going := going[inner[at[going]]]):
+                node = at[going]
+                low = rows.of(going, feature[node]) <= threshold[node]
+                at[going] = np.where(low, left[node], right[node])
+            return pa.array(value[at])
+
+        return walk(column)
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [
             (n.id, n.depth, float(n.rows), n.feature, n.threshold, n.gain, n.prediction)
@@ -82,6 +119,45 @@ class TreeModel:
         )
 
 
+class RowValues:
+    """Single values of a batch of arrays or vectors; NaN where a row has no such value."""
+
+    def __init__(self, batch: pa.Array):
+        self.sparse = pa.types.is_struct(batch.type)
+        lists = batch.field("values") if self.sparse else batch
+        valid = batch.is_valid().to_numpy(zero_copy_only=False)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = np.where(valid, sizes, 0)
+        self.begin = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        self.value = lists.values.to_numpy(zero_copy_only=False).astype(float)
+        self.length = sizes
+        if self.sparse:
+            length = batch.field("size").fill_null(0).to_numpy(zero_copy_only=False)
+            self.length = np.where(valid, length, 0)
+            ends = np.cumsum(sizes)
+            self.owner = np.repeat(np.arange(len(batch)), sizes)
+            self.place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+            self.place += np.repeat(self.begin, sizes)
+            indices = batch.field("indices")
+            self.position = indices.values.to_numpy(zero_copy_only=False).astype(np.int64)[self.place]
+            self.span = int(self.length.max(initial=0)) + 1
+            self.key = self.owner * self.span + self.position
+
+    def of(self, row: np.ndarray, j: np.ndarray) -> np.ndarray:
+        there = j < self.length[row]
+        out = np.full(len(row), np.nan)
+        if not self.sparse:
+            out[there] = self.value[self.begin[row[there]] + j[there]]
+            return out
+        out[there] = 0.0
+        wanted = row[there] * self.span + j[there]
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            found = self.key[at] == wanted
+            out[np.flatnonzero(there)[found]] = self.value[self.place[at[found]]]
+        return out
+
+
 def fit_tree(
     df: DataFrame,
     impurity: str = "gini",
@@ -97,11 +173,12 @@ def fit_tree(
     rows. Each node takes the split with the largest gain; the first feature and then
     the smallest threshold win a tie, and a node without a positive gain is a leaf. A
     leaf predicts its majority class (the lowest on a tie) or its mean. Any numbers may
-    be class labels; the classes are part of the model and held by the driver.
+    be class labels; more than ``MOST_CLASSES`` of them are an error.
 
     Rows are binned once and grouped when few bin combinations exist. Each task then
     adds up a level's histogram over its rows, and one shuffle brings a node's feature
-    together, where its best split is found.
+    together, where its best split is found. Vectors of more than 64 features are never
+    made dense: their rows, thresholds and histograms come from their entries alone.
     """
     if impurity not in ("gini", "variance"):
         raise ValueError(f"impurity must be 'gini' or 'variance', not {impurity!r}")
@@ -118,133 +195,40 @@ def fit_tree(
     points = df.select(y.alias("y"), kernel_column(df, features).alias("x"))
     classes = None
     if impurity == "gini":
-        found = points.select((F.col("y") + F.lit(0.0)).alias("y")).distinct().collect()
-        classes = sorted(row["y"] for row in found)
-    few = _few_values(points, dim, max_bins)
-    many = [j for j in range(dim) if j not in few]
-    cuts = _quantiles(df, features, dim, many, profile["rows"], max_bins)
-    thresholds = [
-        cuts[j] if j in cuts else (few[j][1:] + few[j][:-1]) / 2.0 for j in range(dim)
-    ]
-    cells = _grouped(
-        _binned(points, thresholds, classes), profile["rows"], classes, thresholds
-    ).persist()
+        found = points.select((F.col("y") + F.lit(0.0)).alias("y")).distinct()
+        classes = sorted(row["y"] for row in found.limit(MOST_CLASSES + 1).collect())
+        if len(classes) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} classes")
+    rows = profile["rows"]
+    sparse = is_vector(df, features) and dim > NARROW * 4
+    if sparse:
+        cuts = sparse_cuts(points, dim, rows, max_bins)
+        binned = sparse_rows(points, cuts, classes)
+    else:
+        cuts = dense_cuts(df, points, features, dim, rows, max_bins)
+        binned = dense_rows(points, cuts, classes)
+    cells = _grouped(binned, rows, classes, cuts).persist()
     try:
-        return _grow(cells, thresholds, classes, max_depth)
+        return _grow(cells, cuts, classes, max_depth, cuts.zero_bins() if sparse else None)
     finally:
         cells.unpersist()
 
 
-def _matrices(batch: pa.Array, dim: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a batch as dense matrices of bounded size, each with its first row number."""
-    step = max(1, CHUNK_VALUES // max(dim, 1))
-    for start in range(0, len(batch), step):
-        part = batch_matrix(batch.slice(start, step), dim)
-        if hasattr(part, "matrix"):
-            yield start, part.matrix
-        else:
-            dense = np.zeros(part.shape)
-            dense[part.owner, part.position] = part.value
-            yield start, dense
-
-
-def _few_values(points: DataFrame, dim: int, limit: int) -> dict[int, np.ndarray]:
-    """The sorted values of each feature that has at most ``limit`` of them.
-
-    A task gives up on a feature beyond the limit and says so with a null.
-    """
-
-    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray | None] = [np.empty(0)] * dim
-        for batch in batches:
-            for _, matrix in _matrices(batch.column(0), dim):
-                for j in range(dim):
-                    if seen[j] is not None:
-                        values = np.union1d(seen[j], matrix[:, j] + 0.0)
-                        seen[j] = values if len(values) <= limit else None
-        for j, values in enumerate(seen):
-            found = [None] if values is None else values.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([j] * len(found), pa.int32()), pa.array(found, pa.float64())],
-                names=["feature", "value"],
-            )
-
-    whole = Window.partitionBy("feature")
-    found = (
-        points.select("x")
-        .mapInArrow(per_task, "feature int, value double")
-        .repartition("feature")
-        .distinct()
-        .select(
-            "feature",
-            "value",
-            F.count(F.lit(1)).over(whole).alias("n"),
-            F.bool_or(F.col("value").isNull()).over(whole).alias("over"),
-        )
-        .filter((F.col("n") <= limit) & ~F.col("over"))
-        .groupBy("feature")
-        .agg(F.array_sort(F.collect_list("value")).alias("values"))
-    )
-    return {row["feature"]: np.array(row["values"]) for row in found.collect()}
-
-
-def _quantiles(
-    df: DataFrame, features: str, dim: int, many: list[int], rows: int, max_bins: int
-) -> dict[int, np.ndarray]:
-    """Thresholds of features with many values: quantiles of all rows."""
-    shares = [i / max_bins for i in range(1, max_bins)]
-    columns = unpack(df, features, dim) if many else []
-    out = {}
-    for start in range(0, len(many), QUANTILE_COLUMNS):
-        block = many[start : start + QUANTILE_COLUMNS]
-        flat = df.select(*[columns[j] for j in block])
-        found = value_sets_and_quantiles(flat, rows, [], [f"x{j}" for j in block], shares)
-        for j in block:
-            out[j] = np.unique(np.array(found[f"x{j}"], dtype=float) + 0.0)
-    return out
-
-
-def _binned(
-    points: DataFrame, thresholds: list[np.ndarray], classes: list[float] | None
-) -> DataFrame:
-    """Bin numbers of each row, its class number (0 in regression) and its label.
-
-    A bin's number is how many thresholds lie below the value.
-    """
-    dim = len(thresholds)
-    known = None if classes is None else np.array(classes)
-
-    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, matrix in _matrices(batch.column(1), dim):
-                bins = np.empty(matrix.shape, dtype=np.int32)
-                for j, cuts in enumerate(thresholds):
-                    bins[:, j] = np.searchsorted(cuts, matrix[:, j], side="left")
-                part = y[start : start + len(matrix)]
-                c = np.zeros(len(part)) if known is None else np.searchsorted(known, part)
-                yield pa.RecordBatch.from_arrays(
-                    [list_array(bins), pa.array(c.astype(np.int32)), pa.array(part)],
-                    names=["bins", "c", "y"],
-                )
-
-    return points.mapInArrow(per_task, "bins array<int>, c int, y double")
-
-
 def _grouped(
-    binned: DataFrame, rows: int, classes: list[float] | None, thresholds: list[np.ndarray]
+    binned: DataFrame, rows: int, classes: list[float] | None, cuts: Cuts
 ) -> DataFrame:
-    """Rows ``bins, c, n, s, q``: count, sum and sum of squares of the labels of equal
+    """Rows of bins, ``c, n, s, q``: count, sum and sum of squares of the labels of equal
     bins and class; grouped only where that shrinks the table."""
-    bound = np.prod([float(len(cuts) + 1) for cuts in thresholds]) * len(classes or [0])
+    key = [name for name in binned.columns if name != "y"]
+    bound = np.exp(min(np.log(np.diff(cuts.start) + 1.0).sum(), 700.0)) * len(classes or [0])
     if not worth_grouping(rows, bound):
-        estimate = distinct_estimate([F.col("bins"), F.col("c")]).alias("distinct")
+        estimate = distinct_estimate([F.col(name) for name in key]).alias("distinct")
         bound = binned.agg(estimate).first()["distinct"]
     square = F.col("y") * F.col("y")
     if not worth_grouping(rows, bound):
         one = F.lit(1.0).alias("n")
-        return binned.select("bins", "c", one, F.col("y").alias("s"), square.alias("q"))
-    cells = binned.groupBy("bins", "c").agg(
+        return binned.select(*key, one, F.col("y").alias("s"), square.alias("q"))
+    cells = binned.groupBy(*key).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum("y").alias("s"),
         F.sum(square).alias("q"),
@@ -252,47 +236,21 @@ def _grouped(
     return gather(cells, bound)
 
 
-def _impurity(stats: np.ndarray, is_class: bool) -> np.ndarray:
-    """Gini impurity of class counts, or population variance of count, sum and squares.
-
-    Statistics are in the last axis.
-    """
-    if is_class:
-        n = stats.sum(axis=-1)
-        result = np.ones(n.shape)
-        for c in range(stats.shape[-1]):
-            share = stats[..., c] / n
-            result = result - share * share
-        return result
-    n, s, q = np.moveaxis(stats, -1, 0)
-    mean = s / n
-    return q / n - mean * mean
-
-
-def _rows(stats: np.ndarray, is_class: bool) -> np.ndarray:
-    return stats.sum(axis=-1) if is_class else stats[..., 0]
-
-
 def _grow(
     cells: DataFrame,
-    thresholds: list[np.ndarray],
+    cuts: Cuts,
     classes: list[float] | None,
     max_depth: int,
+    zero: np.ndarray | None = None,
 ) -> TreeModel:
     is_class = classes is not None
     width = len(classes) if is_class else 3
-    bins = max((len(cuts) for cuts in thresholds), default=0) + 1
+    dim, bins = cuts.dim, cuts.most
     model = TreeModel()
 
-    def add(node_id: int, depth: int, stats: np.ndarray) -> None:
-        value = classes[int(np.argmax(stats))] if is_class else stats[1] / stats[0]
-        model.nodes[node_id] = Node(
-            node_id,
-            depth,
-            float(_rows(stats, is_class)),
-            float(value),
-            float(_impurity(stats, is_class)),
-        )
+    def add(id: int, depth: int, n: float, value: float, impurity: float) -> None:
+        prediction = classes[int(value)] if is_class else value
+        model.nodes[id] = Node(id, depth, float(n), float(prediction), float(impurity))
 
     sums = [F.sum(name).alias(name) for name in ("n", "s", "q")]
     root = np.zeros(width)
@@ -301,154 +259,28 @@ def _grow(
             root[row["c"]] = row["n"]
         else:
             root[:] = row["n"], row["s"], row["q"]
-    add(1, 0, root)
-    at_once = max(1, HISTOGRAM_CELLS // (max(len(thresholds), 1) * bins * width))
+    value = np.argmax(root) if is_class else root[1] / root[0]
+    add(1, 0, row_count(root, is_class), value, impurity_of(root, is_class))
     for depth in range(max_depth):
         frontier = sorted(n.id for n in model.nodes.values() if n.depth == depth)
-        if not frontier or not thresholds:
+        if not frontier or not dim:
             break
-        best = []
-        for start in range(0, len(frontier), at_once):
-            wanted = frontier[start : start + at_once]
-            histogram = bin_histogram(
-                cells, model.nodes, wanted, len(thresholds), bins, width, is_class
+        totals = None
+        if zero is not None:
+            found = [root] if depth == 0 else node_totals(
+                cells, model.nodes, frontier, dim, width, is_class, zero
             )
-            best += best_splits(histogram, bins, width, is_class).collect()
-        for row in best:
+            totals = dict(zip(frontier, found))
+        histogram = bin_histogram(cells, model.nodes, frontier, dim, bins, width, is_class, zero)
+        for row in best_splits(histogram, bins, width, is_class, zero, totals).collect():
             node = model.nodes[row["node"]]
             node.feature, node.bin, node.gain = row["feature"], row["bin"], row["gain"]
-            node.threshold = float(thresholds[node.feature][node.bin])
-            left, total = np.array(row["left"]), np.array(row["total"])
-            add(2 * node.id, depth + 1, left)
-            add(2 * node.id + 1, depth + 1, total - left)
+            node.threshold = float(cuts.flat[cuts.start[node.feature] + node.bin])
+            for id, side in ((2 * node.id, "left"), (2 * node.id + 1, "right")):
+                add(id, depth + 1, *(row[f"{side}_{x}"] for x in ("n", "value", "impurity")))
     return model
 
 
-def bin_histogram(
-    cells: DataFrame,
-    nodes: dict[int, Node],
-    wanted: list[int],
-    dim: int,
-    bins: int,
-    width: int,
-    is_class: bool,
-) -> DataFrame:
-    """Sums per ``node, feature, bin, stat``, partitioned by node and feature.
-
-    A stat is a class, or one of count, sum and squares. A task adds its rows up and
-    gives no more rows than the histogram has cells.
-    """
-    order = sorted(nodes)
-    place = {node: i for i, node in enumerate(order)}
-
-    def child(node: int, at: int) -> int:
-        return place[at] if nodes[node].feature is not None else place[node]
-
-    feature = np.array([nodes[i].feature or 0 for i in order])
-    cut = np.array([nodes[i].bin or 0 for i in order])
-    left = np.array([child(i, 2 * i) for i in order])
-    right = np.array([child(i, 2 * i + 1) for i in order])
-    slot = np.full(len(order), -1)
-    slot[[place[node] for node in wanted]] = np.arange(len(wanted))
-    levels = max(nodes[node].depth for node in wanted)
-    ids = np.array(wanted)
-    shape = (len(wanted), dim, bins, width)
-    size = int(np.prod(shape))
-
-    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            numbers = [
-                batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)
-            ]
-            for start, matrix in _matrices(batch.column(0), dim):
-                c, n, s, q = (a[start : start + len(matrix)] for a in numbers)
-                at = np.zeros(len(matrix), dtype=int)
-                every = np.arange(len(matrix))
-                for _ in range(levels):
-                    low = matrix[every, feature[at]] <= cut[at]
-                    at = np.where(low, left[at], right[at])
-                mine = slot[at] >= 0
-                if not mine.any():
-                    continue
-                k = slot[at][mine]
-                cell = (k[:, None] * dim + np.arange(dim)) * bins + matrix[mine]
-                kept = [(c, n)] if is_class else [(0, n), (1, s), (2, q)]
-                for stat, weight in kept:
-                    column = stat[mine][:, None] if is_class else stat
-                    weight = np.repeat(weight[mine], dim)
-                    total += np.bincount((cell * width + column).ravel(), weight, size)
-        full = np.flatnonzero(total)
-        for start in range(0, len(full), 100_000):
-            part = full[start : start + 100_000]
-            node, j, b, stat = np.unravel_index(part, shape)
-            keys = [ids[node], j, b, stat]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(key.astype(np.int32)) for key in keys], pa.array(total[part])],
-                names=["node", "feature", "bin", "stat", "value"],
-            )
-
-    return (
-        cells.select("bins", "c", "n", "s", "q")
-        .mapInArrow(per_task, "node int, feature int, bin int, stat int, value double")
-        .repartition("node", "feature")
-        .groupBy("node", "feature", "bin", "stat")
-        .agg(F.sum("value").alias("value"))
-    )
-
-
-def best_splits(histogram: DataFrame, bins: int, width: int, is_class: bool) -> DataFrame:
-    """The split of each node with the largest gain; no row for a node that gains nothing."""
-
-    def search(key: tuple, group: pa.Table) -> pa.Table:
-        stats = np.zeros((bins, width))
-        place = [group.column(name).to_numpy() for name in ("bin", "stat", "value")]
-        stats[place[0], place[1]] = place[2]
-        left = np.cumsum(stats, axis=0)
-        total = left[-1]
-        right = total - left
-        n, n_left, n_right = (_rows(part, is_class) for part in (total, left, right))
-        # After a bin without rows the split is that after the bin before it.
-        may = (_rows(stats, is_class) > 0) & (n_right > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = (
-                _impurity(total, is_class)
-                - n_left / n * _impurity(left, is_class)
-                - n_right / n * _impurity(right, is_class)
-            )
-        gain = np.where(may, gain, -np.inf)
-        at = int(np.argmax(gain))
-        found = [
-            {
-                "node": key[0].as_py(),
-                "feature": key[1].as_py(),
-                "bin": at,
-                "gain": float(gain[at]),
-                "left": left[at].tolist(),
-                "total": total.tolist(),
-            }
-        ]
-        return pa.Table.from_pylist(found if gain[at] > 0 else [], schema=kind)
-
-    kind = pa.schema(
-        [
-            ("node", pa.int32()),
-            ("feature", pa.int32()),
-            ("bin", pa.int32()),
-            ("gain", pa.float64()),
-            ("left", pa.list_(pa.float64())),
-            ("total", pa.list_(pa.float64())),
-        ]
-    )
-    columns = "node int, feature int, bin int, gain double, left array<double>, total array<double>"
-    by_feature = histogram.groupBy("node", "feature").applyInArrow(search, columns)
-    chosen = F.struct("feature", "bin", "gain", "left", "total")
-    order = F.struct(F.col("gain"), -F.col("feature"))
-    return by_feature.groupBy("node").agg(F.max_by(chosen, order).alias("best")).select(
-        "node", "best.*"
-    )
-
-
 def _route(
     nodes: dict[int, Node],
     at: int,

@@ -11,7 +11,8 @@ from pyspark.mllib.regression import LabeledPoint, LinearRegressionWithSGD
 from pyspark.sql import functions as F
 
 from fitgrain.functions import vectors
-from fitgrain.operators import grain, trees
+from fitgrain.functions.vectors import kernel_column
+from fitgrain.operators import bins, grain, histograms, trees
 from fitgrain.operators.kmeans import fit_kmeans
 from fitgrain.operators.linear import fit_least_squares, fit_svm
 from fitgrain.operators.naive_bayes import fit_naive_bayes
@@ -268,16 +269,140 @@ def test_a_tree_with_small_histograms_is_the_same(spark, monkeypatch):
     x, y = tree_frame(spark, [8, 12, 3], 2)
     df = frame(spark, x, y)
     expected = fit_tree(df).to_df(spark).collect()
-    monkeypatch.setattr(trees, "HISTOGRAM_CELLS", 1)
-    monkeypatch.setattr(trees, "CHUNK_VALUES", 7)
-    assert fit_tree(df).to_df(spark).collect() == expected
+    for cells in (9, 40):
+        monkeypatch.setattr(histograms, "HISTOGRAM_CELLS", cells)
+        for module in (bins, histograms):
+            monkeypatch.setattr(module, "CHUNK_VALUES", 7)
+        assert fit_tree(df).to_df(spark).collect() == expected
+
+
+def test_no_task_holds_more_cells_than_it_may():
+    rng = np.random.default_rng(1)
+    number, value = rng.integers(0, 10**12, 5000), rng.normal(size=5000)
+    number[::3] = number[0]
+    sums, found, limit = histograms.CellSums(10**12, 300), {}, 300
+    assert sums.dense is None
+
+    def put(full):
+        assert len(full[0]) <= 2 * limit
+        for k, v in zip(*full):
+            found[k] = found.get(k, 0.0) + v
+
+    for start in range(0, 5000, 700):
+        for full in sums.add(number[start : start + 700], value[start : start + 700]):
+            put(full)
+        assert len(sums.number) <= limit // 2
+    for full in sums.take():
+        put(full)
+    assert found.keys() == set(number)
+    assert found[number[0]] == pytest.approx(value[number == number[0]].sum())
+
+
+def sparse_frame(spark, rows, dim, filled, seed, digits=None):
+    """A few entries in each row; the label depends on three of the features."""
+    r = np.random.default_rng(seed)
+    x = np.zeros((rows, dim))
+    for row in x:
+        at = r.choice(dim, filled, replace=False)
+        row[at] = r.normal(size=filled) if digits is None else r.integers(-digits, digits, filled)
+    x[:, 3] = np.where(r.random(rows) < 0.5, r.integers(1, 9, rows), 0)
+    y = (x[:, 3] > 4) * 1.0 + (x[:, 5] < 0) * (x[:, dim - 1] <= 0)
+    return x, y
+
+
+@pytest.mark.parametrize("digits, dim", [(3, 70), (None, 8), (40, 8)])
+def test_a_sparse_tree_is_the_dense_one(spark, digits, dim, monkeypatch):
+    monkeypatch.setattr(trees, "NARROW", dim // 4 - 1)
+    x, y = sparse_frame(spark, 600, dim, 3 if dim == 8 else 9, 4, digits)
+    # Whole numbers, so that equal labels leave no variance to split.
+    for labels, impurity in ((y, "gini"), (y * 3 - 1 + (x[:, 2] > 0), "variance")):
+        df = frame(spark, x, labels)
+        dense, sparse = fit_tree(df, impurity), fit_tree(as_sparse(df), impurity)
+        assert sparse.nodes.keys() == dense.nodes.keys() and dense.depth >= 3
+        for i, node in dense.nodes.items():
+            same = sparse.nodes[i]
+            assert same.prediction == pytest.approx(node.prediction, abs=1e-9)
+            assert (node.feature, node.threshold, node.rows) == (same.feature, same.threshold, same.rows)
+        a = dense.predict(df).select("prediction").collect()
+        assert a == dense.predict(as_sparse(df)).select("prediction").collect()
+
+
+def test_sketched_thresholds_are_near_exact_ones(spark, monkeypatch):
+    x, y = sparse_frame(spark, 2000, 8, 3, 6)
+    df = as_sparse(frame(spark, x, y))
+    points = df.select(kernel_column(df, "features").alias("x"))
+    exact = bins.sparse_cuts(points, 8, 2000, 32)
+    monkeypatch.setattr(bins, "EXACT_VALUES", 50)
+    near = bins.sparse_cuts(points, 8, 2000, 32)
+    for j in (0, 5, 7):
+        a, b = (c.flat[c.start[j] : c.start[j + 1]] for c in (exact, near))
+        rank = [np.searchsorted(np.sort(x[:, j]), t) / 2000 for t in (a, b)]
+        assert abs(len(a) - len(b)) <= 1 and np.abs(rank[0][-1] - rank[1][-1]) < 0.01
+    assert np.array_equal(exact.flat[exact.start[3] : exact.start[4]], near.flat[near.start[3] : near.start[4]])
+
+
+def test_a_tree_of_a_hundred_thousand_sparse_features(spark, monkeypatch):
+    dim, r = 100_000, np.random.default_rng(2)
+
+    def refuse(*_):
+        raise AssertionError("rows were made dense")
+
+    monkeypatch.setattr(bins, "matrices", refuse)
+    monkeypatch.setattr(histograms, "HISTOGRAM_CELLS", 20_000)
+    rows, narrow, labels = [], [], []
+    for i in range(800):
+        own = {int(j): float(r.integers(1, 50)) for j in r.integers(100, dim, 40)}
+        signal = r.integers(0, 4, 2) * 1.0
+        own |= {7: signal[0], 99_999: signal[1]}
+        label = float(signal[0] > 1) + float(signal[1] > 2)
+        rows.append((label, Vectors.sparse(dim, sorted(own.items()))))
+        narrow.append(signal)
+        labels.append(label)
+    df = spark.createDataFrame(rows, ["label", "features"])
+    model = fit_tree(df, max_depth=2)
+    monkeypatch.undo()
+    small = fit_tree(frame(spark, np.array(narrow), np.array(labels)), max_depth=2)
+    assert [(n.id, {7: 0, 99_999: 1}.get(n.feature), n.threshold, n.rows) for n in model.nodes.values()] == [
+        (n.id, n.feature, n.threshold, n.rows) for n in small.nodes.values()
+    ]
+    assert model.predict(df).filter("label <> prediction").count() == 0
 
 
-def test_a_tree_takes_many_classes(spark):
+def test_a_tree_takes_many_classes(spark, monkeypatch):
     x = np.arange(110.0).repeat(2).reshape(-1, 1)
     model = fit_tree(frame(spark, x, x[:, 0]), max_depth=2, max_bins=128)
     assert abs(model.nodes[1].impurity - (1 - 1 / 110)) < 1e-12
     assert model.depth == 2
+    many = spark.range(50_000).select(
+        F.col("id").cast("double").alias("label"), F.array((F.col("id") % 8).cast("double")).alias("features")
+    )
+    model = fit_tree(many, max_depth=2)
+    assert model.depth == 2 and model.nodes[2].rows + model.nodes[3].rows == 50_000
+    assert model.nodes[1].prediction == 0.0 and abs(model.nodes[1].impurity - (1 - 1 / 50_000)) < 1e-9
+    monkeypatch.setattr(trees, "MOST_CLASSES", 100)
+    with pytest.raises(ValueError, match="classes"):
+        fit_tree(many)
+
+
+def test_a_deep_tree_predicts(spark, monkeypatch):
+    x = np.arange(3000.0).reshape(-1, 1)
+    y = (np.arange(3000) * 7919 % 13 > 5).astype(float)
+    df = frame(spark, x, y)
+    model = fit_tree(df, max_depth=16, max_bins=3000)
+    assert model.depth > 10
+    rows = [(0.0, r.tolist()) for r in x[::7]] + [(0.0, None), (0.0, []), (0.0, [None]), (0.0, [float("nan")])]
+    odd = spark.createDataFrame(rows, "label double, features array<double>")
+    walked = model.predict(odd).collect()
+    monkeypatch.setattr(trees, "CASE_DEPTH", 99)
+    assert [r["prediction"] for r in walked] == [r["prediction"] for r in model.predict(odd).collect()]
+    monkeypatch.setattr(trees, "CASE_DEPTH", 0)
+    x, y = sparse_frame(spark, 300, 70, 9, 4, 5)
+    df = as_sparse(frame(spark, x, y))
+    model = fit_tree(df, "variance")
+    walked = model.predict(df).collect()
+    monkeypatch.setattr(trees, "CASE_DEPTH", 99)
+    monkeypatch.setattr(trees, "NARROW", 99)
+    assert walked == model.predict(df).collect()
 
 
 def test_tree_thresholds_are_midpoints_up_to_the_number_of_bins(spark):
