@@ -11,12 +11,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NARROW = 16
+#: Groups of tasks whose sums are added up before they reach the driver, and cells of a sum
+#: that travel as one row.
+SUM_GROUPS = 8
+BLOCK_CELLS = 1 << 18
 
 
 def is_vector(df: DataFrame, features: str) -> bool:
@@ -47,6 +52,12 @@ def length(df: DataFrame, features: str) -> Column:
 def unusable(df: DataFrame, features: str, dim: int) -> Column:
     """Whether a row can't be fitted on: its features are null, of another length, or
     hold a null or NaN."""
+    if dim <= NARROW:
+        # Single columns keep the check in generated code.
+        bad = length(df, features) != dim
+        for x in unpack(df, features, dim):
+            bad = bad | x.isNull() | F.isnan(x)
+        return F.coalesce(bad, F.lit(True))
     if is_vector(df, features):
         values = sparse_parts(features)["values"]
     else:
@@ -142,6 +153,15 @@ class SparseBatch:
     def squares(self) -> np.ndarray:
         return np.bincount(self.owner, self.value**2, minlength=self.shape[0])
 
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        """Some rows as a matrix."""
+        out = np.zeros((len(rows), self.shape[1]))
+        place = np.full(self.shape[0], -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[self.owner] >= 0
+        out[place[self.owner[mine]], self.position[mine]] = self.value[mine]
+        return out
+
 
 class DenseBatch:
     """Rows of one Arrow batch as a matrix."""
@@ -177,8 +197,9 @@ def partition_sums(
 ) -> np.ndarray:
     """Sum a matrix that ``kernel`` computes for each Arrow batch.
 
-    Each task adds up its own batches and gives one row per matrix row; Spark then
-    sums by cell. Only the finished matrix, which is model state, reaches the driver.
+    Each task adds up its own batches and sends the matrix as blocks of bytes. Blocks are
+    added in ``SUM_GROUPS`` groups of tasks, in the order of tasks, and the driver adds what
+    the groups give.
     """
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +207,49 @@ def partition_sums(
         for batch in batches:
             if batch.num_rows:
                 total += kernel(batch)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(shape[0]), pa.int32()), list_array(total)], names=["row", "cells"]
-        )
+        task, flat = TaskContext.get().partitionId(), total.ravel()
+        for block, start in enumerate(range(0, len(flat), BLOCK_CELLS)):
+            row = {
+                "block": block,
+                "part": task % SUM_GROUPS,
+                "task": task,
+                "data": flat[start : start + BLOCK_CELLS].tobytes(),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=sent)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip((*key, total.tobytes()), (pa.int32(), pa.int32(), pa.binary()))],
+                names=["block", "part", "data"],
+            )
 
-    cells = (
-        df.mapInArrow(per_task, "row int, cells array<double>")
-        .select("row", F.posexplode("cells").alias("col", "cell"))
-        .filter("cell <> 0")
-        .groupBy("row", "col")
-        .agg(F.sum("cell").alias("cell"))
+        for batch in batches:
+            for row in batch.to_pylist():
+                cells = np.frombuffer(row["data"])
+                if (row["block"], row["part"]) == key:
+                    total = total + cells
+                    continue
+                if key is not None:
+                    yield done()
+                key, total = (row["block"], row["part"]), cells
+        if key is not None:
+            yield done()
+
+    sent = pa.schema(
+        [("block", pa.int32()), ("part", pa.int32()), ("task", pa.int32()), ("data", pa.binary())]
+    )
+    sums = (
+        df.mapInArrow(per_task, "block int, part int, task int, data binary")
+        .repartition(SUM_GROUPS, "block", "part")
+        .sortWithinPartitions("block", "part", "task")
+        .mapInArrow(merge, "block int, part int, data binary")
     )
-    out = np.zeros(shape)
-    for row in cells.collect():
-        out[row["row"], row["col"]] = row["cell"]
-    return out
+    out = np.zeros(shape).ravel()
+    for row in sorted(sums.collect(), key=lambda row: (row["block"], row["part"])):
+        start = row["block"] * BLOCK_CELLS
+        cells = np.frombuffer(bytes(row["data"]))
+        out[start : start + len(cells)] += cells
+    return out.reshape(shape)

@@ -27,6 +27,10 @@ from fitgrain.operators.grain import distinct_estimate, weigh
 from fitgrain.operators.metrics import report
 
 TOLERANCE = 1e-4
+#: Share of a squared distance that rounding may make up.
+ERROR = 1e-10
+#: Values of sparse rows that are spread out at a time.
+SPREAD_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -40,21 +44,13 @@ class KMeansModel:
         self, df: DataFrame, features: str = "features", output: str = "prediction"
     ) -> DataFrame:
         """Append the index of the nearest centre; the lowest index wins a tie."""
-        return (
-            df.withColumn("_nearest", _nearest(df, features, self.centres))
-            .withColumn(output, F.col("_nearest.cluster"))
-            .drop("_nearest")
-        )
+        return df.withColumn(output, _nearest(df, features, self.centres)["cluster"])
 
     def distances(
         self, df: DataFrame, features: str = "features", output: str = "distance"
     ) -> DataFrame:
         """Append the squared distance to the nearest centre."""
-        return (
-            df.withColumn("_nearest", _nearest(df, features, self.centres))
-            .withColumn(output, F.col("_nearest.distance"))
-            .drop("_nearest")
-        )
+        return df.withColumn(output, _nearest(df, features, self.centres)["distance"])
 
     def cost(
         self,
@@ -63,9 +59,7 @@ class KMeansModel:
         name: str = "Within Set Sum of Squared Errors",
     ) -> DataFrame:
         """Within-set sum of squared errors: one scan, one sum."""
-        return report(
-            self.distances(df, features, "_distance"), name, F.sum("_distance")
-        )
+        return report(self.distances(df, features, "distance"), name, F.sum("distance"))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """One row per cluster and coordinate."""
@@ -93,12 +87,12 @@ def fit_kmeans(
     if centres is not None and np.shape(centres) != (k, dim):
         raise ValueError(f"expected {k} centres of {dim} values")
     if dim * k <= NARROW * 4:
-        points, sums = _narrow_rounds(df, features, dim)
+        points, vector, sums = _narrow_rounds(df, features, dim)
     else:
-        points, sums = _wide_rounds(df, features, dim)
+        points, vector, sums = _wide_rounds(df, features, dim)
     try:
         if centres is None:
-            start = _parallel_start(df, k, seed, features)
+            start = _parallel_start(points, vector, k, seed)
         else:
             start = np.array(centres, dtype=float)
         return _lloyd(start, max_iterations, sums)
@@ -122,13 +116,12 @@ def _lloyd(start: np.ndarray, max_iterations: int, sums) -> KMeansModel:
     return KMeansModel(current, max_iterations)
 
 
-def _parallel_start(df: DataFrame, k: int, seed: int, features: str) -> np.ndarray:
-    column = F.col(features)
-    if not is_vector(df, features):
-        column = array_to_vector(column.cast("array<double>"))
+def _parallel_start(points: DataFrame, vector: Column, k: int, seed: int) -> np.ndarray:
+    """Seeded centres from the persisted points, each counted by its weight."""
     # No rounds: only the starting centres are wanted.
-    start = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||", featuresCol="v")
-    return np.array(start.fit(df.select(column.alias("v"))).clusterCenters())
+    start = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||", featuresCol="v", weightCol="w")
+    weight = F.col("weight") if "weight" in points.columns else F.lit(1.0)
+    return np.array(start.fit(points.select(vector.alias("v"), weight.alias("w"))).clusterCenters())
 
 
 def _narrow_nearest(x: list[Column], centres: np.ndarray) -> Column:
@@ -163,13 +156,29 @@ def _nearest(df: DataFrame, features: str, centres: np.ndarray) -> Column:
     return F.array_min(every)
 
 
+def _from_centres(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([np.square(matrix - c).sum(axis=1) for c in centres], axis=1)
+
+
 def _squared_distances(x, centres: np.ndarray) -> np.ndarray:
     """Dense rows subtract the centre first, so that large values far from zero keep
-    their digits. Sparse rows expand the square, which keeps them sparse."""
+    their digits. Sparse rows expand the square, which keeps them sparse; where the
+    rounding of that may exceed ``ERROR`` of a distance, the row is spread out and the
+    centre subtracted, some rows at a time."""
     if hasattr(x, "matrix"):
-        return np.stack([np.square(x.matrix - c).sum(axis=1) for c in centres], axis=1)
-    squares = x.squares()[:, None] + np.einsum("ij,ij->i", centres, centres)[None, :]
-    return np.maximum(squares - 2.0 * x.dot(centres.T), 0.0)
+        return _from_centres(x.matrix, centres)
+    lengths = np.einsum("ij,ij->i", centres, centres)
+    squares, products = x.squares()[:, None] + lengths[None, :], 2.0 * x.dot(centres.T)
+    out = np.maximum(squares - products, 0.0)
+    # A sum of n terms is off by at most n roundings of its largest partial sum.
+    terms = np.maximum(np.bincount(x.owner, minlength=len(out)), np.count_nonzero(centres, axis=1).max())
+    bound = np.finfo(float).eps * (terms + 3)[:, None] * (squares + np.abs(products))
+    rows = np.flatnonzero((bound > ERROR * out).any(axis=1))
+    step = max(1, SPREAD_VALUES // max(x.shape[1], 1))
+    for start in range(0, len(rows), step):
+        some = rows[start : start + step]
+        out[some] = _from_centres(x.spread(some), centres)
+    return out
 
 
 def _check(rows: int, wrong_lengths: int, dim: int) -> None:
@@ -205,12 +214,14 @@ def _narrow_rounds(df: DataFrame, features: str, dim: int):
             out[cluster] = values
         return out
 
-    return points, sums
+    return points, array_to_vector(F.array(*names)), sums
 
 
 def _wide_rounds(df: DataFrame, features: str, dim: int):
     points = df.select(
-        kernel_column(df, features).alias("x"), unusable(df, features, dim).alias("wrong")
+        kernel_column(df, features).alias("x"),
+        unusable(df, features, dim).alias("wrong"),
+        *([F.col(features).alias("v")] if is_vector(df, features) else []),
     ).persist()
     profile = points.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("wrong").alias("wrong")
@@ -234,4 +245,5 @@ def _wide_rounds(df: DataFrame, features: str, dim: int):
 
         return partition_sums(points.select("x"), kernel, (k, dim + 1))
 
-    return points, sums
+    vector = F.col("v") if is_vector(df, features) else array_to_vector("x")
+    return points, vector, sums

@@ -50,11 +50,13 @@ class BayesModel:
             scores = F.zip_with(
                 products(df, features, self.theta), priors, lambda score, prior: score + prior
             )
-        best = F.array_position(F.col("_scores"), F.array_max("_scores"))
+        # A name that no column has.
+        name = "scores_" + "_".join(df.columns)
+        best = F.array_position(F.col(name), F.array_max(name))
         return (
-            df.withColumn("_scores", scores)
+            df.withColumn(name, scores)
             .withColumn(output, F.element_at(F.lit(self.labels), best.cast("int")))
-            .drop("_scores")
+            .drop(name)
         )
 
     def to_df(self, spark: SparkSession) -> DataFrame:
@@ -105,7 +107,7 @@ def _unusable(value: Column) -> Column:
 
 def _narrow_sums(df: DataFrame, label: str, features: str, dim: int) -> list:
     x = [F.col(f"x{j}") for j in range(dim)]
-    bad = length(df, features) != dim
+    bad = F.coalesce(length(df, features) != dim, F.lit(True))
     flat = df.select(F.col(label).alias("label"), bad.alias("bad"), *unpack(df, features, dim))
     unusable = F.col("bad")
     for column in x:
@@ -128,6 +130,10 @@ def _wide_sums(df: DataFrame, label: str, features: str, dim: int) -> list:
         values = F.col(features).cast("array<double>")
         vector = array_to_vector(values)
     bad = (length(df, features) != dim) | F.exists(values, _unusable)
+    bad = F.coalesce(bad, F.lit(True))
+    # Rows that end the fit are still summed, as zeros.
+    none = array_to_vector(F.array_repeat(F.lit(0.0), dim))
+    vector = F.when(bad, none).otherwise(vector)
     return [
         {"label": row["label"], "n": row["n"], "bad": row["bad"], "sums": row["sums"].toArray()}
         for row in df.select(

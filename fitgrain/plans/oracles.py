@@ -530,6 +530,42 @@ SELECT j::INTEGER AS feature, t AS threshold, round(gain, 9) AS gain
 FROM gains ORDER BY round(gain, 12) DESC, j, t LIMIT 1
 """
 
+SQL["best_split_libsvm"] = """
+WITH points AS (
+  SELECT (l_extendedprice > 50000)::INTEGER AS label, floor(l_quantity / 2) AS half, l_linenumber,
+         l_partkey % 90 AS part, 100 + l_suppkey % 20 AS supplier
+  FROM lineitem
+), found AS (
+  SELECT j, v, label, count(*) AS n FROM (
+    SELECT label, part AS j, half AS v FROM points WHERE half <> 0
+    UNION ALL SELECT label, 99, l_linenumber FROM points
+    UNION ALL SELECT label, supplier, 1 FROM points)
+  GROUP BY ALL
+), zeros AS (
+  SELECT j, label, t.n - coalesce(f.n, 0) AS n
+  FROM (SELECT DISTINCT j FROM found)
+  CROSS JOIN (SELECT label, count(*) AS n FROM points GROUP BY label) t
+  LEFT JOIN (SELECT j, label, sum(n) AS n FROM found GROUP BY j, label) f USING (j, label)
+), cells AS (
+  SELECT * FROM found UNION ALL SELECT j, 0, label, n FROM zeros WHERE n > 0
+), cuts AS (
+  SELECT j, v, (v + lead(v) OVER (PARTITION BY j ORDER BY v)) / 2 AS t
+  FROM (SELECT DISTINCT j, v FROM cells)
+), sides AS (
+  SELECT c.j, t, label, sum(CASE WHEN h.v <= c.v THEN n ELSE 0 END)::DOUBLE AS l,
+         sum(n)::DOUBLE AS n
+  FROM cuts c JOIN cells h ON h.j = c.j
+  WHERE t IS NOT NULL
+  GROUP BY c.j, t, label
+), gains AS (
+  SELECT j, t, (sum(l ** 2) / sum(l) + sum((n - l) ** 2) / sum(n - l)
+                - sum(n ** 2) / sum(n)) / sum(n) AS gain
+  FROM sides GROUP BY j, t
+)
+SELECT j::INTEGER AS feature, t AS threshold, round(gain, 9) AS gain
+FROM gains ORDER BY round(gain, 12) DESC, j, t LIMIT 1
+"""
+
 # The split programs, split by a key of the parsed values.
 SQL["program_svm_auc"] = (_SVM100 + _TEST + _AREA).replace(
     "l_orderkey * 7 + l_linenumber AS key",

@@ -481,6 +481,20 @@ def best_split_wide(spark: SparkSession, folder: str) -> DataFrame:
     return root_split(fit_tree(points, "gini", 1), spark, 9)
 
 
+def best_split_libsvm(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of 120 sparse features, read from LIBSVM lines with three entries."""
+    half = F.floor(F.col("l_quantity") / 2)
+    entries = F.array(
+        F.when(F.col("l_extendedprice") > 50000, "1").otherwise("0"),
+        F.when(half != 0, F.concat_ws(":", 1 + F.col("l_partkey") % 90, half)),
+        F.concat(F.lit("100:"), whole("l_linenumber")),
+        F.concat((101 + F.col("l_suppkey") % 20).cast("string"), F.lit(":1")),
+    )
+    lines = table(spark, folder, "lineitem").select(F.array_join(entries, " ").alias("value"))
+    points = read_libsvm(spark, stage_lines(spark, lines, "sparse-tree"))
+    return root_split(fit_tree(points, "gini", 1), spark, 9)
+
+
 # The end-to-end programs, on text staged from the tables.
 
 
@@ -614,6 +628,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         best_split_gini,
         best_split_variance,
         best_split_wide,
+        best_split_libsvm,
         program_tree_error,
         program_tree_mse,
         program_least_squares_mse,

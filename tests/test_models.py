@@ -450,3 +450,46 @@ def test_splits(spark):
     assert sum(p.count() for p in hash_split(nulls, "id", [0.6, 0.4])) == 3
     a, b = random_split(df, [0.6, 0.4], 11)
     assert a.count() + b.count() == 1000
+
+
+@pytest.mark.parametrize("dim", [30, 80, 10_000])
+def test_sparse_kmeans_far_from_zero(spark, dim):
+    """Values near a million that differ by about one: the cost is that of dense rows."""
+    r = np.random.default_rng(8)
+    x = np.zeros((200, dim))
+    x[:, :30] = 1e6 + r.normal(scale=0.1, size=(200, 30)) + (np.arange(200) % 2)[:, None]
+    centres = np.stack([x[0], x[1]])
+    rows = [(Vectors.sparse(dim, list(range(30)), row[:30].tolist()),) for row in x]
+    df = spark.createDataFrame(rows, ["features"])
+    model = fit_kmeans(df, 2, centres=centres)
+    expected = np.stack([x[0::2].mean(axis=0), x[1::2].mean(axis=0)])
+    assert np.abs(model.centres - expected).max() < 1e-8
+    nearest = np.stack([np.square(x - c).sum(axis=1) for c in expected], axis=1)
+    assert model.cost(df).first()["value"] == pytest.approx(nearest.min(axis=1).sum(), rel=1e-7)
+    assert [r["prediction"] for r in model.predict(df).collect()] == nearest.argmin(axis=1).tolist()
+
+
+def test_sums_reach_the_driver_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 5)
+    df = spark.range(1000).repartition(23)
+
+    def kernel(batch):
+        return np.full((3, 4), float(batch.num_rows)) + np.arange(12.0).reshape(3, 4) * batch.num_rows
+
+    for _ in range(2):
+        got = vectors.partition_sums(df, kernel, (3, 4))
+        assert np.array_equal(got, 1000 * (1 + np.arange(12.0).reshape(3, 4)))
+
+
+def test_clashing_names_and_wide_nulls(spark):
+    x = np.arange(160.0).reshape(2, 80)
+    wide = frame(spark, x, [0.0, 1.0])
+    null = spark.createDataFrame([(0.0, None)], wide.schema)
+    for df in (wide.union(null), as_sparse(wide).union(as_sparse(wide).select("label", F.lit(None)))):
+        with pytest.raises(ValueError):
+            fit_naive_bayes(df)
+    model = fit_naive_bayes(wide)
+    named = wide.withColumn("_scores", F.lit(1)).withColumn("_nearest", F.lit(2))
+    assert model.predict(named).select("_scores", "_nearest").distinct().collect() == [(1, 2)]
+    near = fit_kmeans(wide, 2, centres=x).predict(named)
+    assert near.select("_scores", "_nearest").distinct().collect() == [(1, 2)]
