@@ -3,11 +3,11 @@
 The minimiser of a window of words is the least of the short grams inside it, rare
 grams first and then by hash. Consecutive windows with one minimiser travel as a single
 string to the bucket of that minimiser, so a window is compared with all its equals in
-one place although no window is sent alone. A task sends a string once for each chunk of
-documents, with the smallest and largest id that has it there; a passage that a third of
-all documents share is thus one row a chunk. In its bucket, sorting brings equal windows
-together; those that an earlier document has are reported to the chunks, and there the
-documents meet the reports.
+one place although no window is sent alone. A task sends a string once, with the chunks of
+documents that have it and the smallest and largest id in each; documents are dealt to
+chunks by hash, so neither the order of files nor the ids matter. In its bucket, sorting
+brings equal windows together; those that an earlier document has are reported to the
+chunks, and there the documents meet the reports.
 """
 
 from __future__ import annotations
@@ -32,10 +32,13 @@ from fitgrain.llm.common import (
 
 WINDOW = 13
 GRAM = 3
-CHUNK = 1024
-#: Bytes of text for each bucket, and of strings that a task holds before it sends them.
+#: Bytes of text for each bucket and for each chunk of documents.
 BUCKET_BYTES = 4 << 20
-HELD_BYTES = 64 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes that a task holds before it sends them, and what a string and each further chunk of
+#: it take besides its text.
+HELD_BYTES = 96 << 20
+STRING_BYTES, ENTRY_BYTES = 400, 250
 
 
 def super_kmers(found: Words, counts: np.ndarray, window: int, gram: int):
@@ -68,43 +71,46 @@ def _digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def _pack(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> bytes:
-    lengths = np.array([len(s) for s in strings], np.uint32)
-    parts = [packed_bytes(x) for x in (lengths, low, high - low)]
-    parts.append(packed_bytes(np.frombuffer(b"".join(strings), np.uint8)))
-    sizes = np.array([len(p) for p in parts], np.uint32).tobytes()
-    return sizes + b"".join(parts)
+def _pack(held: list[tuple[bytes, tuple | dict]]) -> bytes:
+    """Strings, and for each of them its chunks with their least and largest ids."""
+    lengths = np.array([len(string) for string, _ in held], np.uint32)
+    each = [[x] if isinstance(x, tuple) else list(x.values()) for _, x in held]
+    times = np.array([len(x) for x in each], np.uint32)
+    entries = np.array([e for x in each for e in x], np.int64).T
+    entries[2] -= entries[1]
+    parts = [np.array([len(held), entries.shape[1]], np.uint32), lengths, times, entries]
+    data = b"".join([*(np.ascontiguousarray(p).tobytes() for p in parts), *(s for s, _ in held)])
+    return packed_bytes(np.frombuffer(data, np.uint8))
 
 
 def _unpack(blob: bytes):
-    sizes = np.frombuffer(blob[:16], np.uint32)
-    ends = np.cumsum(sizes, dtype=np.int64) + 16
-    parts = [blob[e - s : e] for s, e in zip(sizes, ends)]
-    lengths = unpacked(parts[0], np.uint32)
-    low = unpacked(parts[1], np.int64)
-    return lengths, low, low + unpacked(parts[2], np.int64), unpacked(parts[3], np.uint8)
+    """Lengths of strings, chunks of each, entries (chunk, least, largest id), all text."""
+    data = unpacked(blob, np.uint8)
+    strings, entries = data[:8].view(np.uint32).tolist()
+    ends = np.cumsum([8, 4 * strings, 4 * strings, 24 * entries])
+    lengths, times, table = (data[i:j] for i, j in zip(ends, ends[1:]))
+    table = np.frombuffer(table.tobytes(), np.int64).reshape(3, entries).copy()
+    table[2] += table[1]
+    return lengths.view(np.uint32), times.view(np.uint32), table, data[ends[-1] :]
 
 
 def _sent(docs: DataFrame, counts, window: int, gram: int, buckets: int) -> DataFrame:
-    """``bucket, chunk, blob``: the distinct strings of a chunk for each bucket."""
+    """``bucket, blob``: what a task has for a bucket, one row each time that it sends."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def flush(held: dict):
         by: dict = {}
-        for (chunk, bucket, string), (low, high) in held.items():
-            strings, lows, highs = by.setdefault((bucket, chunk), ([], [], []))
-            strings.append(string)
-            lows.append(low)
-            highs.append(high)
-        for keys in _runs(list(by), 256):
-            blobs = [_pack(by[x][0], np.array(by[x][1]), np.array(by[x][2])) for x in keys]
+        for (bucket, string), where in held.items():
+            by.setdefault(bucket, []).append((string, where))
+        held.clear()
+        while by:
+            keys = [by.popitem() for _ in range(min(256, len(by)))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x[0] for x in keys], pa.int64()),
-                    pa.array([x[1] for x in keys], pa.int64()),
-                    pa.array(blobs, pa.binary()),
+                    pa.array([bucket for bucket, _ in keys], pa.int64()),
+                    pa.array([_pack(own) for _, own in keys], pa.binary()),
                 ],
-                names=["bucket", "chunk", "blob"],
+                names=["bucket", "blob"],
             )
 
     def find(batches):
@@ -123,25 +129,28 @@ def _sent(docs: DataFrame, counts, window: int, gram: int, buckets: int) -> Data
                 begin = text[1][start].tolist()
                 end = (text[1][stop] - 1).tolist()
                 for c, b, i, j, d in zip(chunk, bucket, begin, end, doc):
-                    key = (c, b, text[0][i:j])
+                    key = (b, text[0][i:j])
                     seen = held.get(key)
                     if seen is None:
-                        held[key] = (d, d)
-                        size += j - i
-                    elif d < seen[0]:
-                        held[key] = (d, seen[1])
-                    elif d > seen[1]:
-                        held[key] = (seen[0], d)
+                        held[key] = (c, d, d)
+                        size += j - i + STRING_BYTES
+                        continue
+                    if isinstance(seen, tuple):
+                        if seen[0] == c:
+                            if not seen[1] <= d <= seen[2]:
+                                held[key] = (c, min(d, seen[1]), max(d, seen[2]))
+                            continue
+                        seen = held[key] = {seen[0]: seen}
+                    own = seen.get(c)
+                    size += ENTRY_BYTES * (own is None)
+                    own = own or (c, d, d)
+                    seen[c] = (c, min(d, own[1]), max(d, own[2]))
                 if size > HELD_BYTES:
                     yield from flush(held)
-                    held, size = {}, 0
+                    size = 0
         yield from flush(held)
 
-    return docs.mapInArrow(find, "bucket long, chunk long, blob binary")
-
-
-def _runs(items: list, size: int):
-    return (items[i : i + size] for i in range(0, len(items), size))
+    return docs.mapInArrow(find, "bucket long, blob binary")
 
 
 def _joined(found: Words) -> tuple[bytes, np.ndarray]:
@@ -155,62 +164,92 @@ def _joined(found: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), at
 
 
+def _late(blobs: list[bytes], window: int):
+    """Of one bucket's strings, those with a window that an earlier document has: chunk,
+    name of the string, and the smallest id that has each of its windows."""
+    parts = [_unpack(blob) for blob in blobs]
+    lengths, times = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
+    chunk, low, high = np.concatenate([p[2] for p in parts], axis=1)
+    raw = np.concatenate([p[3] for p in parts])
+    del parts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    column = pa.Array.from_buffers(
+        pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+    )
+    found = Words(column)
+    h, at = found.grams(window)
+    row = found.row[at]
+    order = np.argsort(h, kind="stable")
+    # Equal hashes are equal windows when all their words agree one by one.
+    same = h[order[1:]] == h[order[:-1]]
+    some = np.flatnonzero(same)
+    a, b = at[order[some]], at[order[some + 1]]
+    for j in range(window):
+        same[some] &= found.hash[a + j] == found.hash[b + j]
+    run = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    # Every string has a window and an entry.
+    entry = np.concatenate([[0], np.cumsum(times)])
+    earliest = np.minimum.reduceat(low, entry[:-1])
+    least = np.minimum.reduceat(earliest[row[order]], run)
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(least, np.diff(np.append(run, len(order))))
+    begin = np.searchsorted(row, np.arange(len(lengths) + 1))
+    of_string = np.minimum.reduceat(first, begin[:-1])
+    owner = np.repeat(np.arange(len(lengths)), times)
+    late = np.flatnonzero(of_string[owner] < high)
+    for e, r in zip(late.tolist(), owner[late].tolist()):
+        name = _digest(raw[offsets[r] : offsets[r + 1]].tobytes())
+        yield int(chunk[e]), name, first[begin[r] : begin[r + 1]]
+
+
 def _reports(sent: DataFrame, window: int) -> DataFrame:
-    """``chunk, blob``: strings of the chunk with a window that an earlier document has,
-    and the smallest id that has each of its windows."""
-
-    def find(t: pa.Table) -> pa.Table:
-        chunks, lows, highs, sizes, data = [], [], [], [], []
-        for chunk, blob in zip(t["chunk"].to_pylist(), t["blob"]):
-            lengths, low, high, raw = _unpack(blob.as_py())
-            chunks.append(np.full(len(lengths), chunk))
-            lows.append(low)
-            highs.append(high)
-            sizes.append(lengths)
-            data.append(raw)
-        chunk, low, high = map(np.concatenate, (chunks, lows, highs))
-        ends = np.cumsum(np.concatenate(sizes).astype(np.int64))
-        raw = np.concatenate(data)
-        offsets = np.concatenate([[0], ends])
-        column = pa.Array.from_buffers(
-            pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
-        )
-        found = Words(column)
-        h, at = found.grams(window)
-        row = found.row[at]
-        order = np.argsort(h, kind="stable")
-        # Equal hashes are equal windows when all their words agree one by one.
-        same = h[order[1:]] == h[order[:-1]]
-        some = np.flatnonzero(same)
-        a, b = at[order[some]], at[order[some + 1]]
-        for j in range(window):
-            same[some] &= found.hash[a + j] == found.hash[b + j]
-        run = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        least = np.minimum.reduceat(low[row[order]], run) if len(order) else low[:0]
-        first = np.empty(len(order), np.int64)
-        first[order] = np.repeat(least, np.diff(np.append(run, len(order)))) if len(order) else 0
-        late = np.unique(row[first < high[row]])
-        begin, end = np.searchsorted(row, late), np.searchsorted(row, late, "right")
+    """``chunk, blob``: the late strings of the chunk. A task gathers those of its buckets,
+    so that it sends few rows for a chunk."""
+
+    def flush(by: dict):
+        while by:
+            keys = [by.popitem() for _ in range(min(256, len(by)))]
+            blobs = []
+            for _, (names, minima) in keys:
+                parts = [
+                    packed_bytes(np.frombuffer(b"".join(names), np.uint8)),
+                    packed_bytes(np.array([len(x) for x in minima], np.uint32)),
+                    packed_bytes(np.concatenate(minima)),
+                ]
+                blobs.append(np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _ in keys], pa.int64()), pa.array(blobs, pa.binary())],
+                names=["chunk", "blob"],
+            )
+
+    def buckets(batches):
+        bucket, blobs = None, []
+        for batch in batches:
+            for one, blob in zip(batch["bucket"].to_pylist(), batch["blob"]):
+                if one != bucket and blobs:
+                    yield blobs
+                    blobs = []
+                bucket = one
+                blobs.append(blob.as_py())
+        if blobs:
+            yield blobs
+
+    def find(batches):
         by: dict = {}
-        for r, i, j in zip(late.tolist(), begin.tolist(), end.tolist()):
-            name = _digest(raw[offsets[r] : offsets[r + 1]].tobytes())
-            names, counts, minima = by.setdefault(int(chunk[r]), ([], [], []))
-            names.append(name)
-            counts.append(j - i)
-            minima.append(first[i:j])
-        blobs = []
-        for names, counts, minima in by.values():
-            parts = [
-                packed_bytes(np.frombuffer(b"".join(names), np.uint8)),
-                packed_bytes(np.array(counts, np.uint32)),
-                packed_bytes(np.concatenate(minima)),
-            ]
-            blobs.append(np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts))
-        return pa.table(
-            {"chunk": pa.array(list(by), pa.int64()), "blob": pa.array(blobs, pa.binary())}
-        )
-
-    return sent.groupBy("bucket").applyInArrow(find, "chunk long, blob binary")
+        size = 0
+        for blobs in buckets(batches):
+            for chunk, name, minima in _late(blobs, window):
+                names, own = by.setdefault(chunk, ([], []))
+                names.append(name)
+                own.append(minima.copy())
+                size += STRING_BYTES + minima.nbytes
+                if size > HELD_BYTES:
+                    yield from flush(by)
+                    size = 0
+        yield from flush(by)
+
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(find, "chunk long, blob binary")
 
 
 def _read_reports(blobs) -> dict[bytes, np.ndarray]:
@@ -264,14 +303,14 @@ def dedup_substrings(
     called ``n_words`` or ``n_removed`` are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.floor(F.col(id) / CHUNK), F.xxhash64(F.col(text)) % 1_000_003)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    buckets = max(1, size // BUCKET_BYTES)
+    key = F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(max(1, size // CHUNK_BYTES)))
     slim = docs.select(
         F.col(id).cast("long").alias("id"),
         F.col(text).cast("string").alias("text"),
         key.cast("long").alias("chunk"),
     )
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, size // BUCKET_BYTES)
     counts = gram_counts(docs, text, GRAM)
     reports = _reports(_sent(slim, counts, window, GRAM, buckets), window)
     shared = spark.sparkContext.broadcast(counts)

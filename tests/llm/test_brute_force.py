@@ -87,6 +87,23 @@ def test_substring_dedup_over_many_chunks(spark):
     assert all(out[i * 700]["text"] == f"own{i} start{i} end{i}" for i in range(1, 40))
 
 
+def test_substring_rows_do_not_depend_on_the_order_of_files(spark, monkeypatch):
+    """Ordered or hashed, a task sends one row for a bucket, however many chunks there are."""
+    for name in ("BUCKET_BYTES", "CHUNK_BYTES"):
+        monkeypatch.setattr(substring_dedup, name, 50_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    made = []
+    for table in (docs.repartitionByRange(8, "doc_id"), docs.repartition(8, F.xxhash64("doc_id"))):
+        slim = table.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 48).alias("chunk"))
+        counts = substring_dedup.gram_counts(slim, "text", 3)
+        made.append(substring_dedup._sent(slim, counts, 13, 3, 48).count())
+    assert max(made) <= 8 * 48 and max(made) < 1.2 * min(made)
+    whole = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()}
+    monkeypatch.setattr(substring_dedup, "HELD_BYTES", 200_000)
+    pieces = substring_dedup.dedup_substrings(docs.repartition(5, F.xxhash64("doc_id")))
+    assert {r["doc_id"]: r["text"] for r in pieces.collect()} == whole
+
+
 # 2
 
 
