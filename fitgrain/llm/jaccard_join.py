@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from fitgrain.llm.common import (
     CELLS,
+    WORD,
     Words,
     array_sum,
     gram_counts,
@@ -136,7 +137,7 @@ def unlike_bits(x: bytes, y: bytes) -> int:
 
 
 def _nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """``id, node, check, n, bits`` of each document; node is null for an empty set."""
+    """``id, key, node, check, n, bits`` of each document; node is null for an empty set."""
 
     def find(batches):
         for whole in batches:
@@ -150,15 +151,16 @@ def _nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"],
+                        batch["key"],
                         pa.array(node, pa.int64()),
                         pa.array(check, pa.int64()),
                         pa.array(size, pa.int64()),
                         pa.array(bits, pa.binary()),
                     ],
-                    names=["id", "node", "check", "n", "bits"],
+                    names=["id", "key", "node", "check", "n", "bits"],
                 )
 
-    return docs.mapInArrow(find, "id long, node long, check long, n long, bits binary")
+    return docs.mapInArrow(find, "id long, key long, node long, check long, n long, bits binary")
 
 
 def _entries(
@@ -236,44 +238,48 @@ def _may_link(n: Column, i: Column, m: Column, j: Column, num: int, den: int) ->
     )
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """``node, members`` of the active nodes, from one document of each.
+def _sets_of(docs: DataFrame, classes: DataFrame, active: DataFrame, k: int, seed: int) -> DataFrame:
+    """``node, members`` of the active nodes, from one row of each.
 
-    A filter of fixed size drops most other documents before they are shuffled; the
-    join after it is exact, and a full filter only lets more through.
+    A filter of fixed size drops most other rows before they are shuffled; the join
+    after it is exact, and a full filter only lets more through.
     """
-    wanted = classes.join(active, "node").select("id", "node")
+    wanted = classes.join(active, "node").select("key", "node")
 
     def place(values: np.ndarray) -> np.ndarray:
         return (mixed(values.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
     def kernel(batch):
         hit = np.zeros(FILTER_BITS, np.uint8)
-        hit[place(batch["id"].drop_null().to_numpy(zero_copy_only=False))] = 1
+        hit[place(batch["key"].to_numpy(zero_copy_only=False))] = 1
         return np.packbits(hit)
 
-    bits = array_sum(wanted.select("id"), kernel, FILTER_BITS // 8, np.uint8, np.bitwise_or)
+    bits = array_sum(wanted.select("key"), kernel, FILTER_BITS // 8, np.uint8, np.bitwise_or)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches):
         bits = shared.value
         for whole in batches:
-            ids = pa.compute.fill_null(whole["id"], 0).to_numpy(zero_copy_only=False)
-            at = place(np.ascontiguousarray(ids))
+            at = place(np.ascontiguousarray(whole["key"].to_numpy(zero_copy_only=False)))
             keep = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             whole = whole.filter(pa.array(keep.astype(np.bool_)))
             for batch in slices(whole, "text"):
+                sets = [m for _, m in shingle_sets(batch, k)]
+                nodes = [node_of(m, seed) if len(m) else None for m in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["id"],
-                        pa.array([m.tobytes() for _, m in shingle_sets(batch, k)], pa.binary()),
+                        batch["key"],
+                        pa.array(nodes, pa.int64()),
+                        pa.array([m.tobytes() for m in sets], pa.binary()),
                     ],
-                    names=["id", "members"],
+                    names=["key", "node", "members"],
                 )
 
-    found = docs.filter("id is not null").mapInArrow(find, "id long, members binary")
-    # Two rows may share an id: the set must be that of the node.
-    return wanted.join(found, "id").select("node", "members")
+    found = docs.mapInArrow(find, "key long, node long, members binary")
+    # Rows may share a key by chance or because they are equal: the node is that of the
+    # set, and one row of it is enough.
+    found = wanted.join(found, ["key", "node"])
+    return found.groupBy("node").agg(F.first("members").alias("members"))
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -294,13 +300,13 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _verified(
-    pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int
 ) -> DataFrame:
     """The pairs ``a, b`` that link. Parity bits, an eighth of a byte for each element,
     rule out nearly all others; the sets of the rest travel to the pairs."""
     pairs = _near(pairs, classes, num, den)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = write_and_read(_sets_of(docs, classes, cut(nodes), k), "members")
+    sets = write_and_read(_sets_of(docs, classes, cut(nodes), k, seed), "members")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
 
@@ -337,14 +343,41 @@ def jaccard_components(
     never names it, and a component of null ids alone has none. Repeated rows are equal
     sets. Other columns are not read. An empty table gives no rows.
     """
+    nodes, classes, roots = _components(docs, id, text, k, num, den)
+    named = classes.join(roots, "node").groupBy("root").agg(F.min("id").alias("component_id"))
+    named = roots.join(named, "root").select("node", "component_id")
+    named = classes.select("node", "id").join(named, "node", "left")
+    named = named.select("node", F.coalesce("component_id", "id").alias("component_id"))
+    out = nodes.join(named, "node", "left")
+    return out.select(
+        F.col("id").alias(id),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("id"))
+        .otherwise(F.col("component_id"))
+        .alias("component_id"),
+    )
+
+
+def row_key(id: Column, text: Column) -> Column:
+    """A number that rows share if their id and text agree, null or not."""
+    return F.xxhash64(id.cast("long"), text.cast("string"))
+
+
+def _components(
+    docs: DataFrame, id: str, text: str, k: int, num: int, den: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node of each row, the nodes, and the root of each node that has a link."""
     docs = docs.select(
-        F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")
+        F.col(id).cast("long").alias("id"),
+        F.col(text).cast("string").alias("text"),
+        row_key(F.col(id), F.col(text)).alias("key"),
     )
     for seed in range(100):
         nodes = write_and_read(_nodes(docs, k, seed), "sets")
         classes = nodes.filter("node is not null").groupBy("node")
         classes = classes.agg(
             F.min("id").alias("id"),
+            F.min("key").alias("key"),
             F.min("check").alias("low"),
             F.max("check").alias("high"),
             F.first("n").alias("n"),
@@ -377,7 +410,7 @@ def jaccard_components(
             F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")
         ).distinct()
     )
-    links = _verified(pairs, docs, classes, k, num, den)
+    links = _verified(pairs, docs, classes, k, seed, num, den)
     roots = components(links)
 
     # Then whatever shares a list and is not yet together.
@@ -394,28 +427,35 @@ def jaccard_components(
     )
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = _verified(rest, docs, classes, k, num, den)
-    roots = components(links.union(more))
-
-    named = classes.join(roots, "node").groupBy("root").agg(F.min("id").alias("component_id"))
-    named = roots.join(named, "root").select("node", "component_id")
-    named = classes.select("node", "id").join(named, "node", "left")
-    named = named.select("node", F.coalesce("component_id", "id").alias("component_id"))
-    out = nodes.join(named, "node", "left")
-    return out.select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("id"))
-        .otherwise(F.col("component_id"))
-        .alias("component_id"),
-    )
+    more = _verified(rest, docs, classes, k, seed, num, den)
+    return nodes, classes, components(links.union(more))
 
 
 def one_of_each(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", **settings
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    k: int = 5,
+    num: int = 4,
+    den: int = 5,
 ) -> DataFrame:
-    """One document of each component: that whose id names it. Documents without
-    shingles, and rows with a null id, stay. Rows that repeat an id are one row after."""
-    found = jaccard_components(docs, id, text, **settings)
-    found = found.filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    return docs.join(found, id, "left_anti").select(docs.columns)
+    """One row of each component: that with the smallest id, null last.
+
+    Of rows that have that id the one with the least hash of id and text stays, and of rows that
+    agree in both the least one by all columns. Rows without shingles all stay, repeated
+    ones too. All columns are as they are.
+    """
+    nodes, _, roots = _components(docs, id, text, k, num, den)
+    nodes = nodes.filter("node is not null").select("id", "key", "node")
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = placed.groupBy("root").agg(F.min(rank).alias("first")).select("root", "first.key")
+    kept = first.select(F.col("key").alias("kept"), "root")
+    gone = placed.join(kept, "root").filter("key <> kept").select("key").distinct()
+    # Names that no column has.
+    key, row = (f"{name}_" + "_".join(docs.columns) for name in ("key", "row"))
+    has_words = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
+    keyed = docs.withColumn(key, row_key(F.col(id), F.col(text)))
+    rest = keyed.filter(has_words).join(gone.withColumnRenamed("key", key), key, "left_anti")
+    rest = rest.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return rest.unionByName(docs.filter(~has_words)).select(docs.columns)

@@ -425,9 +425,42 @@ def test_one_of_each(corner):
     kept = jaccard_join.one_of_each(corner)
     assert kept.columns == corner.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    # 6 repeats 5 and 8, 9 and 10 are like 7; the repeated rows of 7 are one document.
+    # 6 repeats 5 and 8, 9 and 10 are like 7, as is a row with a null id; the repeated rows
+    # of 7 are one document. The null id without words stays.
     assert not ids.keys() & {6, 8, 9, 10}
-    assert {5, 7, 11}.issubset(ids)
+    assert {5, 7, 11}.issubset(ids) and max(ids.values()) == 1 and ids[None] == 1
+
+
+A, B, C = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+NEAR_A = A.replace("a59", "z")
+
+
+@pytest.mark.parametrize(
+    "rows, expected",
+    [
+        ([(1, A), (5, A), (5, C)], [(1, A), (5, C)]),
+        ([(5, A), (5, A), (6, C)], [(5, A), (6, C)]),
+        ([(None, A), (None, NEAR_A), (None, B), (None, B)], None),
+        ([(None, A), (4, NEAR_A), (4, B), (4, ""), (4, "")], [(4, ""), (4, ""), (4, NEAR_A), (4, B)]),
+        ([(3, A), (3, NEAR_A), (2, B), (None, B), (3, C)], None),
+    ],
+)
+def test_no_document_is_lost(spark, rows, expected):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.one_of_each(docs).collect()), key=str)
+    if expected is not None:
+        assert got == sorted(expected, key=str)
+    # One text of each group stays, whichever ids its rows have.
+    group = {A: "a", NEAR_A: "a", B: "b", C: "c"}
+    assert sorted(group[t] for _, t in got if t) == sorted({group[t] for _, t in rows if t})
+
+
+def test_near_copies_with_null_and_repeated_ids_link(spark):
+    rows = [(None, A), (9, NEAR_A), (9, B), (7, C), (None, C + " more"), (7, A + " " + C), (None, "x y z w v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+    out = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=str)
+    expected = [(None, 56, 9), (9, 56, 9), (9, 56, 9), (7, 56, 7), (None, 57, 7), (7, 116, 7), (None, 1, None)]
+    assert out == sorted(expected, key=str)
 
 
 # 7
