@@ -220,9 +220,13 @@ def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1).alias("part"),
         F.lit(1).alias("head"),
     )
-    both = slim.withColumn("head", F.lit(0)).unionByName(heads)
+    # Anchors take more room than the text, so they are made after the shuffle, and once
+    # for a document and the one before it.
+    both = slim.withColumn("head", F.lit(0)).unionByName(heads).repartition("part")
+    both = _with_anchors(both.withColumn("anchors", F.col("text")), "anchors")
     after = Window.partitionBy("part").orderBy("head", F.col("id").asc_nulls_first(), "text")
-    both = both.select("*", F.lead("text").over(after).alias("next_text")).filter("head = 0")
+    following = [F.lead(name).over(after).alias(f"next_{name}") for name in ("text", "anchors")]
+    both = both.select("*", *following).filter("head = 0")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(
@@ -232,22 +236,19 @@ def edit_and_compare(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     both = both.select(
         "id",
         n.cast("long").alias("n_chars"),
-        "text",
-        "next_text",
+        "anchors",
+        "next_anchors",
         edited.alias("edited"),
     )
-    # Anchors take more room than the text, so they are made after the shuffle.
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    for name in ("text", "next_text", "edited"):
-        both = _with_anchors(both, name)
+    both = _with_anchors(both.withColumn("edited_sha256", F.sha2("edited", 256)), "edited")
     return both.select(
         F.col("id").alias(id),
         "n_chars",
         "edited_sha256",
-        as_text(F.col("text")).alias("fingerprint"),
+        as_text(F.col("anchors")).alias("fingerprint"),
         as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("text"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("text"), F.col("next_text")).alias("near_next"),
+        likeness(F.col("anchors"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
 
 
