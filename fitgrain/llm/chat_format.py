@@ -1,7 +1,7 @@
 """Conversations of any layout as canonical turns and one marked string.
 
-The field paths of a table, or of each JSON record, are hashed; the hash selects a
-declarative mapping from that layout to turns. Turns are joined by a template whose
+Of the field paths of a table, or of each JSON record, those that any layout knows are
+hashed; the hash alone selects a declarative mapping from that layout to turns. Turns are joined by a template whose
 markers begin with ``<``. In texts ``<`` and ``[`` are escaped, so that no control string
 of this template or of another family occurs in them, and reading back is exact. The
 loss mask is a list of ranges of the formatted string. Column expressions only.
@@ -10,6 +10,7 @@ loss mask is a list of ranges of the formatted string. Column expressions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +77,28 @@ def field_paths(kind: T.DataType, before: str = "") -> list[str]:
     return [before]
 
 
-def fingerprint(paths: list[str] | tuple[str, ...]) -> Column:
-    """The hash of a set of paths, whatever their order."""
-    return F.xxhash64(F.array_join(F.array_sort(F.lit(list(paths))), "\n"))
+#: Every path that a layout has; others are ignored.
+KNOWN = tuple(sorted({path for layout in LAYOUTS for path in layout.paths}))
+
+
+def fingerprint(present: dict[str, Column]) -> Column:
+    """The hash of the known paths that a record has, in order of name."""
+    found = F.array(*(F.when(present[path], F.lit(path)) for path in KNOWN if path in present))
+    return F.xxhash64(F.array_join(found, "\n"))
+
+
+def layout_number(hash_: Column) -> Column:
+    """The layout of a fingerprint, or null.
+
+    The table has the paths of each layout, and those of each two together, for records
+    that have both: the one with more paths counts, then the first.
+    """
+    table = {}
+    for some in (*combinations(range(len(LAYOUTS)), 2), *((i,) for i in range(len(LAYOUTS)))):
+        paths = sorted({path for i in some for path in LAYOUTS[i].paths})
+        table["\n".join(paths)] = max(some, key=lambda i: (len(LAYOUTS[i].paths), -i))
+    pairs = (x for text, i in table.items() for x in (F.xxhash64(F.lit(text)), F.lit(i)))
+    return F.try_element_at(F.create_map(*pairs), hash_)
 
 
 def canonical_role(role: Column) -> Column:
@@ -107,20 +127,18 @@ def _from_pairs(layout: Layout, get) -> Column:
 def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     """``key, turns`` of a table with typed columns.
 
-    The table's layout is that whose paths all occur in the table and are the most;
-    other columns are not read. Rows of the ``rows`` layout are put together by key, in
-    order of turn and then of role and text. A null text is empty, a null role too.
+    The fingerprint of the table's known paths selects its layout; other columns are not
+    read, and a table of no known layout is an error. Rows of the ``rows`` layout are put
+    together by key, in order of turn and then of role and text; a null key is a
+    conversation too, and repeated rows are repeated turns. A null text is empty, a null
+    role too. Other layouts have a row for each row. An empty table gives no rows.
     """
     have = set(field_paths(df.schema))
-    fit = [x for x in LAYOUTS if set(x.paths) <= have]
-    if not fit:
-        raise ValueError(f"no layout has the paths {sorted(have)}")
-    wanted = max(fit, key=lambda x: len(x.paths)).paths
-    spark = df.sparkSession
-    hashes = spark.range(1).select(
-        fingerprint(wanted), *(fingerprint(x.paths) for x in LAYOUTS)
-    ).first()
-    layout = dict(zip(hashes[1:], LAYOUTS))[hashes[0]]
+    present = {path: F.lit(path in have) for path in KNOWN}
+    number = df.sparkSession.range(1).select(layout_number(fingerprint(present))).first()[0]
+    if number is None:
+        raise ValueError(f"no layout has the paths {sorted(have & set(KNOWN))} of {sorted(have)}")
+    layout = LAYOUTS[number]
     if layout.kind == "rows":
         turn = F.struct(
             F.col(layout.order).alias("order"),
@@ -140,34 +158,42 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
 def canonical_json(df: DataFrame, record: str, key: str) -> DataFrame:
     """``key, layout, turns`` of JSON records, each of any known layout.
 
-    ``layout`` is the fingerprint of the record's field paths; a record of an unknown
-    layout, one that is not JSON, and a null one have null turns.
+    ``layout`` is the fingerprint of the record's known paths; other fields are ignored.
+    A path into an array is there if the array is empty or an element has it. A record of
+    an unknown layout, one that is not JSON, and a null one have null turns. Each row gives
+    a row, repeated ones and those with a null key too; an empty table gives none.
     """
-    parsed = F.try_parse_json(F.col(record))
-    found = df.select(F.col(key), parsed.alias("record_"))
-    # The schema of a variant has its fields in order of name; types are left out.
-    schema = F.regexp_replace(
-        F.schema_of_variant(F.col("record_")), r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9, ]+\))?", ""
-    )
-    found = found.withColumn("layout", F.xxhash64(schema))
+    # A name that no column has.
+    parsed = "record_" + "_".join(df.columns)
+    found = df.select(F.col(key), F.try_parse_json(F.col(record)).alias(parsed))
+
+    def has(path: str) -> Column:
+        field, _, inner = path.partition("[].")
+        if not inner:
+            return F.try_variant_get(parsed, f"$.{field}", "variant").isNotNull()
+        each = F.try_variant_get(parsed, f"$.{field}", "array<variant>")
+        some = F.exists(each, lambda e: F.try_variant_get(e, f"$.{inner}", "variant").isNotNull())
+        return (F.size(each) == 0) | some
+
+    wanted = {p for layout in LAYOUTS if layout.kind != "rows" for p in layout.paths}
+    hash_ = fingerprint({path: F.coalesce(has(path), F.lit(False)) for path in wanted})
+    found = found.select("*", hash_.alias("layout"))
+    found = found.select("*", layout_number(F.col("layout")).alias("layout_number"))
     turns = F.lit(None).cast(TURNS)
-    for layout in LAYOUTS:
+    for number, layout in enumerate(LAYOUTS):
         if layout.kind == "rows":
             continue
         if layout.kind == "list":
-            inner = ", ".join(sorted((layout.role, layout.text)))
-            shape = f"OBJECT<{layout.field}: ARRAY<OBJECT<{inner}>>>"
             kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
             value = F.transform(
-                F.variant_get("record_", f"$.{layout.field}", kind),
+                F.try_variant_get(parsed, f"$.{layout.field}", kind),
                 _reader(layout),
             )
         else:
-            shape = f"OBJECT<{', '.join(sorted(f for _, f in layout.fields))}>"
             value = _from_pairs(
-                layout, lambda f: F.variant_get("record_", f"$.{f}", "string")
+                layout, lambda f: F.try_variant_get(parsed, f"$.{f}", "string")
             )
-        turns = F.when(F.col("layout") == F.xxhash64(F.lit(shape)), value).otherwise(turns)
+        turns = F.when(F.col("layout_number") == number, value).otherwise(turns)
     return found.select(key, "layout", turns.alias("turns"))
 
 
@@ -189,13 +215,61 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(parts, part), "\\")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(array: Column, body) -> Column:
+    """An array made of what ``body`` gives for runs of about the root of its length, so
+    that work within a run may be quadratic."""
+
+    def runs(whole: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(whole))).cast("int"), F.lit(1))
+        starts = F.when(F.size(whole) > 0, F.sequence(F.lit(1), F.size(whole), step))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return body(F.transform(starts, lambda i: F.slice(whole, i, step)))
+
+    return _let(array, runs)
+
+
+def _starts(lengths: Column, first: Column) -> Column:
+    """Where runs of these lengths begin, by adding up one after the other."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        lengths,
+        F.struct(first.alias("at"), none.alias("out")),
+        lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def running_starts(lengths: Column) -> Column:
+    """Where runs of these lengths begin, in two levels."""
+
+    def of_runs(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n))
+        return _let(
+            _starts(totals, F.lit(0)),
+            lambda first: F.flatten(F.transform(runs, lambda run, i: _starts(run, F.get(first, i)))),
+        )
+
+    return _blocks(lengths, lambda runs: _let(runs, of_runs))
+
+
 def format_chats(turned: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Adds ``formatted`` and ``loss``, the ranges of it that the loss counts.
 
     A range has the start (from 0) and length in code points of the escaped text of a
-    turn whose role is in ``trained``. No turns give an empty string.
+    turn whose role is in ``trained``. No turns and null turns give an empty string and
+    no range. All rows and columns stay; columns called ``formatted`` or ``loss`` are
+    replaced.
     """
-    marked = F.transform(
+    # Names that no column has.
+    marked, starts = (f"{name}_" + "_".join(turned.columns) for name in ("marked", "starts"))
+    parts = F.transform(
         "turns",
         lambda t: F.struct(
             F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"),
@@ -203,64 +277,80 @@ def format_chats(turned: DataFrame, trained: tuple[str, ...] = ("assistant",)) -
             t["role"].isin(list(trained)).alias("loss"),
         ),
     )
-    out = turned.withColumn("marked_", marked)
+    kept = [name for name in turned.columns if name not in ("formatted", "loss")]
+    none = F.array().cast("array<struct<head:string,body:string,loss:boolean>>")
+    out = turned.select(*kept, F.coalesce(parts, none).alias(marked))
+    lengths = F.transform(
+        marked, lambda m: F.length(m["head"]) + F.length(m["body"]) + F.lit(len(END))
+    )
+    out = out.select("*", _let(lengths, running_starts).alias(starts))
     formatted = F.array_join(
-        F.transform("marked_", lambda m: F.concat(m["head"], m["body"], F.lit(END))), ""
+        F.transform(marked, lambda m: F.concat(m["head"], m["body"], F.lit(END))), ""
     )
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    spans = F.aggregate(
-        "marked_",
-        start,
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["head"]) + F.length(m["body"]) + len(END)).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.when(
-                    m["loss"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(m["head"])).alias("start"),
-                            F.length(m["body"]).alias("length"),
-                        )
-                    ),
-                ).otherwise(empty),
-            ).alias("spans"),
+    spans = F.zip_with(
+        marked,
+        starts,
+        lambda m, at: F.when(
+            m["loss"],
+            F.struct(
+                (at + F.length(m["head"])).alias("start"), F.length(m["body"]).alias("length")
+            ),
         ),
     )
     return out.select(
-        *turned.columns, F.coalesce(formatted, F.lit("")).alias("formatted"),
-        F.coalesce(spans["spans"], empty).alias("loss"),
+        *kept, formatted.alias("formatted"), F.filter(spans, F.isnotnull).alias("loss")
     )
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted string."""
+    """The turns of a formatted string; none of an empty one, null of null."""
     pieces = F.filter(F.split(formatted, r"<\|end\|>"), lambda x: x != "")
-    return F.transform(
-        pieces,
-        lambda x: F.struct(
-            unescape(
-                F.regexp_replace(F.get(F.split(x, r"<\|text\|>"), F.lit(0)), r"^<\|turn\|>", "")
-            ).alias("role"),
-            unescape(F.get(F.split(x, r"<\|text\|>"), F.lit(1))).alias("text"),
-        ),
-    )
+
+    def turn(piece: Column) -> Column:
+        return _let(
+            F.split(piece, r"<\|text\|>"),
+            lambda parts: F.struct(
+                unescape(F.substring(F.get(parts, F.lit(0)), len(TURN) + 1, 1 << 30)).alias("role"),
+                unescape(F.get(parts, F.lit(1))).alias("text"),
+            ),
+        )
+
+    return F.transform(pieces, turn)
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """The unescaped text under the loss mask."""
-    return F.array_join(
-        F.transform(
-            loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))
-        ),
-        "",
-    )
+    """The unescaped text under the loss mask, whose ranges are in order."""
+
+    def of_run(whole: Column, run: Column) -> Column:
+        first, last = F.get(run, F.lit(0))["start"], F.element_at(run, -1)
+        piece = F.substring(whole, first + 1, last["start"] + last["length"] - first)
+        return _let(
+            piece,
+            lambda text: F.array_join(
+                F.transform(
+                    run, lambda s: unescape(F.substring(text, s["start"] - first + 1, s["length"]))
+                ),
+                "",
+            ),
+        )
+
+    def of_runs(whole: Column) -> Column:
+        return _blocks(
+            loss,
+            lambda runs: F.array_join(F.transform(runs, lambda run: of_run(whole, run)), ""),
+        )
+
+    return _let(formatted, of_runs)
 
 
 def digests(chats: DataFrame, key: str) -> DataFrame:
-    """What is read back from formatted chats, as counts and digests."""
-    turns = read_turns(F.col("formatted"))
+    """What is read back from ``key, formatted, loss`` of each row, as counts and digests.
+
+    Repeated rows and null keys are like any others; other columns are not read. An empty
+    table gives no rows.
+    """
+    chats = chats.select(key, "formatted", "loss", read_turns(F.col("formatted")).alias("read_turns"))
+    turns = F.col("read_turns")
     lines = F.transform(
         turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     )

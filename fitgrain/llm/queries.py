@@ -63,8 +63,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     chats = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
-    extra = [(-7, 0, "user", text), (-7, 1, "assistant", text)]
-    chats = chats.unionByName(spark.createDataFrame(extra, chats.schema))
+    turns = [
+        F.struct(*(F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(row, chats.dtypes)))
+        for row in ((-7, 0, "user", text), (-7, 1, "assistant", text))
+    ]
+    chats = chats.unionByName(spark.range(1).select(F.inline(F.array(*turns))))
     return digests(format_chats(canonical_turns(chats)), "conv_id")
 
 

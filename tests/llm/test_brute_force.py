@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -607,17 +608,49 @@ def test_layouts(spark):
         (6, "not json"),
         (7, None),
     ]
+    records += [
+        (8, '{"id":3,"messages":[{"role":"user","content":"hi","name":"x"},{"role":"gpt","content":null}]}'),
+        (9, '{"messages":[],"source":"s"}'),
+        (10, '{"prompt":"hi","response":"yo","question":"a","answer":"b"}'),
+        (11, '{"prompt":"hi","system":"be kind","response":"yo","n":[1,{"a":2}]}'),
+        (12, '{"prompt":"hi"}'),
+    ]
     df = spark.createDataFrame(records, "id int, record string")
     out = {r["id"]: r["turns"] for r in chat_format.canonical_json(df, "record", "id").collect()}
     for i in (1, 2, 3):
         assert [tuple(t) for t in out[i]] == [("user", "hi"), ("assistant", "yo")]
     assert [tuple(t) for t in out[4]] == [("system", "hi"), ("assistant", "yo")]
-    assert out[5] is out[6] is out[7] is None
+    assert out[5] is out[6] is out[7] is out[12] is None
+    assert [tuple(t) for t in out[8]] == [("user", "hi"), ("assistant", "")]
+    assert out[9] == [] and [tuple(t) for t in out[10]] == [("user", "hi"), ("assistant", "yo")]
+    assert [t["role"] for t in out[11]] == ["system", "user", "assistant"]
+    with pytest.raises(ValueError):
+        chat_format.canonical_turns(df, "id")
     typed = spark.createDataFrame([(1, "hi", "yo", 5)], "id int, prompt string, response string, n int")
     row = chat_format.canonical_turns(typed, "id").first()
     assert [tuple(t) for t in row["turns"]] == [("user", "hi"), ("assistant", "yo")]
 
 
+def test_a_conversation_of_20000_turns(spark):
+    """Its work is far from quadratic, and its ranges are exact."""
+    text = F.concat(F.lit("é<[\\ "), F.col("id").cast("string"), F.repeat(F.lit("w "), 20))
+    df = spark.range(20000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), text.alias("text"),
+        F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"),
+    )
+    begin = time.monotonic()
+    chats = chat_format.format_chats(chat_format.canonical_turns(df).withColumn("marked_", F.lit(1)))
+    row = chat_format.digests(chats, "conv_id").first()
+    assert time.monotonic() - begin < 30
+    loss = "".join(f"é<[\\ {i}" + "w " * 20 for i in range(1, 20000, 2))
+    assert (row["n_turns"], row["loss_chars"]) == (20000, len(loss))
+    assert row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    got = chats.first()
+    for s in got["loss"][::501]:
+        assert got["formatted"][: s["start"]].endswith("assistant<|text|>")
+        assert got["formatted"][s["start"] + s["length"] :].startswith("<|end|>")
+
+
 # 10
 
 
