@@ -7,6 +7,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitgrain.session import fresh_path
+
 #: A prime; positions of keys are residues, so weights hold to one millionth.
 PRIME = 1_000_003
 
@@ -16,6 +18,50 @@ def random_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[Da
     return df.randomSplit(weights, seed)
 
 
+#: Draws are whole numbers below this.
+DRAWS = 1 << 32
+#: Equal rows that one task deals out.
+EQUAL_ROWS = 100_000
+
+
+def row_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[DataFrame]:
+    """Split rows by what they hold, without a key: the same parts on any partitioning.
+
+    Equal rows are counted, and each of them draws by the hash of seed, row and its number
+    among them, so they are split too. The table is read once; the parts are the folders
+    of one staged table. Rows are equal if they are as JSON with nulls.
+    """
+    names = df.columns
+    # Names that no column has.
+    key, row, n, block, nth, part = (f"{x}_" + "_".join(names) for x in ("k", "r", "n", "b", "i", "p"))
+    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    equal = df.groupBy(F.md5(text.cast("binary")).alias(key)).agg(
+        F.first(F.struct(*names)).alias(row), F.count(F.lit(1)).alias(n)
+    )
+    last = F.floor((F.col(n) - 1) / EQUAL_ROWS)
+    blocks = equal.withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    start = F.col(block) * EQUAL_ROWS
+    end = F.least(F.col(n), start + EQUAL_ROWS) - 1
+    rows = blocks.repartition(key, block).withColumn(nth, F.explode(F.sequence(start, end)))
+    edges = [round(DRAWS * upto / sum(weights)) for upto in accumulate(weights)]
+    number = F.lit(len(weights) - 1)
+    draw = row_draw(F.col(key), F.col(nth), seed)
+    for k in range(len(weights) - 2, -1, -1):
+        number = F.when(draw < edges[k], k).otherwise(number)
+    spark = df.sparkSession
+    path = fresh_path(spark, "split")
+    rows.select(f"{row}.*", number.alias(part)).write.partitionBy(part).parquet(path)
+    schema = df.select("*", F.lit(0).alias(part)).schema
+    whole = spark.read.schema(schema).parquet(path)
+    return [whole.filter(F.col(part) == k).select(names) for k in range(len(weights))]
+
+
+def row_draw(digest: Column, nth: Column, seed: int) -> Column:
+    """The draw of the ``nth`` of equal rows, from the MD5 of seed, row digest and number."""
+    text = F.concat_ws("|", F.lit(str(seed)), digest, nth.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def split_position(key: Column, seed: int = 11) -> Column:
     """Position 0 to ``PRIME`` - 1 of an integer key, from the key alone.
 

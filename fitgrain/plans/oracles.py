@@ -530,6 +530,17 @@ SELECT j::INTEGER AS feature, t AS threshold, round(gain, 9) AS gain
 FROM gains ORDER BY round(gain, 12) DESC, j, t LIMIT 1
 """
 
+SQL["split_by_rows"] = """
+WITH numbered AS (
+  SELECT o_custkey % 50 AS k, o_orderstatus AS s,
+         row_number() OVER (PARTITION BY o_custkey % 50, o_orderstatus) - 1 AS nth
+  FROM orders
+), drawn AS (
+  SELECT *, ('0x' || md5('11|' || md5(to_json({'k': k, 's': s})::VARCHAR) || '|' || nth)[1:8])::BIGINT AS draw
+  FROM numbered
+)
+SELECT (draw >= 2576980378)::INTEGER AS part, k, s, count(*) AS n FROM drawn GROUP BY ALL
+"""
 SQL["best_split_libsvm"] = """
 WITH points AS (
   SELECT (l_extendedprice > 50000)::INTEGER AS label, floor(l_quantity / 2) AS half, l_linenumber,

@@ -26,7 +26,7 @@ from fitgrain.operators.metrics import (
 )
 from fitgrain.operators.naive_bayes import fit_naive_bayes
 from fitgrain.operators.pagerank import pagerank, ranks_by_name
-from fitgrain.operators.splits import random_split
+from fitgrain.operators.splits import row_split
 from fitgrain.operators.trees import fit_tree
 from fitgrain.sources.text import read_edge_list, read_libsvm, read_lines
 
@@ -70,7 +70,7 @@ def svm_area_under_roc(
     path: str,
     iterations: int = 100,
     seed: int = 11,
-    split: Split = random_split,
+    split: Split = row_split,
 ) -> DataFrame:
     """Linear SVM on 60% of a LIBSVM file; area under the ROC curve on the other 40%.
 
@@ -78,11 +78,7 @@ def svm_area_under_roc(
     """
     points = read_libsvm(spark, path)
     training, test = split(points, [0.6, 0.4], seed)
-    training = training.persist()
-    try:
-        model = fit_svm(training, iterations).clear_threshold()
-    finally:
-        training.unpersist()
+    model = fit_svm(training, iterations).clear_threshold()
     return area_under_roc(model.predict(test, output="score"))
 
 
@@ -91,7 +87,7 @@ def naive_bayes_accuracy(
     path: str,
     smoothing: float = 1.0,
     seed: int = 11,
-    split: Split = random_split,
+    split: Split = row_split,
 ) -> DataFrame:
     """Naive Bayes on 60% of ``label,f1 f2 ...`` lines; accuracy on the other 40%.
 

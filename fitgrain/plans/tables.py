@@ -26,7 +26,7 @@ from fitgrain.operators.metrics import (
 )
 from fitgrain.operators.naive_bayes import BayesModel, fit_naive_bayes
 from fitgrain.operators.pagerank import out_degrees, pagerank, ranks_by_name, vertices
-from fitgrain.operators.splits import hash_split, random_split
+from fitgrain.operators.splits import hash_split, random_split, row_split
 from fitgrain.operators.trees import TreeModel, fit_tree
 from fitgrain.plans import programs
 from fitgrain.session import fresh_path
@@ -169,6 +169,16 @@ def split_by_key(spark: SparkSession, folder: str) -> DataFrame:
     return numbered[0].unionAll(numbered[1])
 
 
+def split_by_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the equal rows of a table without a key go to each part."""
+    rows = table(spark, folder, "orders").select(
+        (F.col("o_custkey") % 50).alias("k"), F.col("o_orderstatus").alias("s")
+    )
+    first, second = row_split(rows, [0.6, 0.4])
+    parts = first.withColumn("part", F.lit(0)).unionByName(second.withColumn("part", F.lit(1)))
+    return parts.groupBy("part", "k", "s").agg(F.count(F.lit(1)).alias("n"))
+
+
 def split_seeded(spark: SparkSession, folder: str) -> DataFrame:
     """Both parts of the seeded split: every row once, whichever part it is in."""
     docs = table(spark, folder, "documents").select("doc_id", "lang")
@@ -595,6 +605,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         libsvm,
         stage,
         split_by_key,
+        split_by_rows,
         split_seeded,
         nb_model,
         nb_predict,

@@ -16,7 +16,7 @@ from fitgrain.operators import bins, grain, histograms, trees
 from fitgrain.operators.kmeans import fit_kmeans
 from fitgrain.operators.linear import fit_least_squares, fit_svm
 from fitgrain.operators.naive_bayes import fit_naive_bayes
-from fitgrain.operators.splits import hash_split, random_split
+from fitgrain.operators.splits import hash_split, random_split, row_split
 from fitgrain.operators.trees import fit_tree
 
 random = np.random.default_rng(5)
@@ -493,3 +493,23 @@ def test_clashing_names_and_wide_nulls(spark):
     assert model.predict(named).select("_scores", "_nearest").distinct().collect() == [(1, 2)]
     near = fit_kmeans(wide, 2, centres=x).predict(named)
     assert near.select("_scores", "_nearest").distinct().collect() == [(1, 2)]
+
+
+def test_rows_are_split_alike_on_any_partitioning(spark, monkeypatch):
+    from fitgrain.operators import splits
+
+    monkeypatch.setattr(splits, "EQUAL_ROWS", 40)
+    df = spark.range(1500).select(
+        F.when(F.col("id") > 4, F.col("id") % 7).alias("a"),
+        F.when(F.col("id") % 3 > 0, F.lit("x")).alias("b"),
+        F.array(F.lit(0.5), (F.col("id") % 2).cast("double")).alias("n"),
+    )
+    df = df.withColumn("v", array_to_vector("n")).withColumn("part", F.lit(3))
+    parts = [[sorted(map(str, p.collect())) for p in row_split(df.repartition(n), [0.6, 0.4])] for n in (1, 3, 8)]
+    assert parts[0] == parts[1] == parts[2]
+    assert sorted(parts[0][0] + parts[0][1]) == sorted(map(str, df.collect()))
+    assert 840 < len(parts[0][0]) < 960
+    other = row_split(df, [0.6, 0.4], seed=12)[0]
+    assert sorted(map(str, other.collect())) != parts[0][0]
+    assert [p.count() for p in row_split(df.limit(0), [1, 1, 1])] == [0, 0, 0]
+    assert dict(row_split(df, [1])[0].dtypes) == dict(df.dtypes)
