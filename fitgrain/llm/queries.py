@@ -1,4 +1,4 @@
-"""The numbered operators over the test tables, and their SQL where SQL can say it."""
+"""The numbered operators over the test tables."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from fitgrain.llm.chat_format import canonical_turns, digests, format_chats
 from fitgrain.llm.common import table
-from fitgrain.llm.fill_in_middle import DIGESTS_SQL
 from fitgrain.llm.fill_in_middle import digests as middle_digests
 from fitgrain.llm.fingerprints import edit_and_compare
 from fitgrain.llm.jaccard_join import jaccard_components
 from fitgrain.llm.language_id import identify_held_out
 from fitgrain.llm.license_scan import scan_licenses
-from fitgrain.llm.merkle import document_manifest, manifest_sql
+from fitgrain.llm.merkle import document_manifest
 from fitgrain.llm.mixing import mix_sources
+from fitgrain.llm.oracles import SQL
 from fitgrain.llm.packing import pack_documents
 from fitgrain.llm.quality_rules import quality_cascade
 from fitgrain.llm.substring_dedup import dedup_substrings
@@ -107,6 +107,8 @@ def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify_held_out(table(spark, folder, "documents"))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -123,7 +125,3 @@ QUERIES = {
     "op13_language_id": op13_language_id,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {
-    "op11_fill_in_middle": DIGESTS_SQL,
-    "op12_merkle_manifest": manifest_sql(),
-}
