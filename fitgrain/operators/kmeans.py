@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +26,10 @@ from fitgrain.operators.grain import distinct_estimate, weigh
 from fitgrain.operators.metrics import report
 
 TOLERANCE = 1e-4
+#: Rounds in which about all seeded centres are chosen.
+SEED_ROUNDS = 8
+#: A prime below which draws lie, so that products of two of them fit in 64 bits.
+PRIME = (1 << 31) - 1
 #: Share of a squared distance that rounding may make up.
 ERROR = 1e-10
 #: Values of sparse rows that are spread out at a time.
@@ -81,18 +84,18 @@ def fit_kmeans(
 
     Stops after ``max_iterations`` or when every centre moved by at most 1e-4. An
     empty cluster keeps its centre. Without given centres the start comes from
-    parallel k-means++ (``seed``).
+    ``seeded_centres``, and a table of fewer different points has fewer clusters.
     """
     dim = dimension(df, features)
     if centres is not None and np.shape(centres) != (k, dim):
         raise ValueError(f"expected {k} centres of {dim} values")
     if dim * k <= NARROW * 4:
-        points, vector, sums = _narrow_rounds(df, features, dim)
+        points, point, distance, sums = _narrow_rounds(df, features, dim)
     else:
-        points, vector, sums = _wide_rounds(df, features, dim)
+        points, point, distance, sums = _wide_rounds(df, features, dim)
     try:
         if centres is None:
-            start = _parallel_start(points, vector, k, seed)
+            start = seeded_centres(points, point, distance, k, seed)
         else:
             start = np.array(centres, dtype=float)
         return _lloyd(start, max_iterations, sums)
@@ -116,12 +119,42 @@ def _lloyd(start: np.ndarray, max_iterations: int, sums) -> KMeansModel:
     return KMeansModel(current, max_iterations)
 
 
-def _parallel_start(points: DataFrame, vector: Column, k: int, seed: int) -> np.ndarray:
-    """Seeded centres from the persisted points, each counted by its weight."""
-    # No rounds: only the starting centres are wanted.
-    start = KMeans(k=k, maxIter=0, seed=seed, initMode="k-means||", featuresCol="v", weightCol="w")
-    weight = F.col("weight") if "weight" in points.columns else F.lit(1.0)
-    return np.array(start.fit(points.select(vector.alias("v"), weight.alias("w"))).clusterCenters())
+def seeded_centres(points: DataFrame, point: Column, distance, k: int, seed: int) -> np.ndarray:
+    """Up to ``k`` different rows of ``points``, far apart: fewer if there are fewer.
+
+    Every point draws a number from seed, round and its values. In a round the points race
+    for being chosen, each by its draw and its squared distance to the centres so far
+    (``distance`` gives the column); one wins in each of some buckets by hash. Equal points
+    draw alike and count once, so neither weights nor partitions matter, and a round is one
+    aggregate.
+    """
+    chosen: list[np.ndarray] = []
+    for turn in range(k):
+        wanted = min(k - len(chosen), ceil(k / SEED_ROUNDS)) if chosen else 1
+        gap = distance(np.array(chosen)) if chosen else F.lit(1.0)
+        race = points.select(
+            point.alias("point"), gap.alias("gap"), _value_hash(point, seed * 1009 + turn).alias("h")
+        ).filter("gap > 0")
+        first = F.pmod((F.col("h") + 1) * (F.col("h") + 1), F.lit(PRIME))
+        second = F.pmod(first * first + F.col("h"), F.lit(PRIME))
+        key = F.struct((-F.log((second + 1) / F.lit(float(PRIME))) / F.col("gap")), "point")
+        won = race.groupBy(F.pmod(first, F.lit(wanted)).alias("bucket")).agg(
+            F.min_by("point", key).alias("point")
+        )
+        found = sorted(won.collect(), key=lambda row: row["bucket"])
+        chosen += [np.array(row["point"], dtype=float) for row in found]
+        if not found or len(chosen) == k:
+            break
+    return np.array(chosen)
+
+
+def _value_hash(point: Column, start: int) -> Column:
+    """A number below ``PRIME`` from the millionths of a point's values, one after the other."""
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.pmod(acc * F.lit(48271) + F.pmod(F.floor(x * 1e6), F.lit(PRIME)), F.lit(PRIME))
+
+    return F.aggregate(point, F.lit(start % PRIME).cast("bigint"), add)
 
 
 def _narrow_nearest(x: list[Column], centres: np.ndarray) -> Column:
@@ -214,14 +247,17 @@ def _narrow_rounds(df: DataFrame, features: str, dim: int):
             out[cluster] = values
         return out
 
-    return points, array_to_vector(F.array(*names)), sums
+    def distance(centres: np.ndarray) -> Column:
+        return _narrow_nearest([F.col(name) for name in names], centres)["distance"]
+
+    # Zero has one sign.
+    return points, F.array(*(F.col(name) + F.lit(0.0) for name in names)), distance, sums
 
 
 def _wide_rounds(df: DataFrame, features: str, dim: int):
     points = df.select(
         kernel_column(df, features).alias("x"),
         unusable(df, features, dim).alias("wrong"),
-        *([F.col(features).alias("v")] if is_vector(df, features) else []),
     ).persist()
     profile = points.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("wrong").alias("wrong")
@@ -245,5 +281,16 @@ def _wide_rounds(df: DataFrame, features: str, dim: int):
 
         return partition_sums(points.select("x"), kernel, (k, dim + 1))
 
-    vector = F.col("v") if is_vector(df, features) else array_to_vector("x")
-    return points, vector, sums
+    def distance(centres: np.ndarray) -> Column:
+        @F.arrow_udf("double")
+        def least(batch: pa.Array) -> pa.Array:
+            return pa.array(_squared_distances(batch_matrix(batch, dim), centres).min(axis=1))
+
+        return least("x")
+
+    @F.arrow_udf("array<double>")
+    def spread(batch: pa.Array) -> pa.Array:
+        return list_array(batch_matrix(batch, dim).spread(np.arange(len(batch))))
+
+    point = spread("x") if is_vector(df, features) else F.col("x")
+    return points, F.transform(point, lambda x: x + F.lit(0.0)), distance, sums

@@ -12,6 +12,8 @@ from fitgrain.session import settings, shared_folder
 
 RESET = 0.15
 LINKS_PER_PARTITION, MOST_LINKS_PER_PARTITION = 200_000, 20_000_000
+#: Links that one list holds, about.
+LIST_LINKS = 1_000_000
 STEPS_SMALL, STEPS_LARGE = 4, 2
 
 
@@ -33,12 +35,13 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     arrives is the receiver's next change and is added to its rank. The loop ends when
     nothing is sent, and ranks are then scaled to a mean of 1.
 
-    Plan: parallel edges collapse to a count once. Links are partitioned by source,
-    sorted and persisted, with one link per vertex to itself that carries its rank
-    over. The state is left partitioned by id after every superstep, so joining it to
-    the links moves nothing and a superstep costs one shuffle, of sums that were
-    combined map-side. Sources with more links than a partition should hold are
-    spread over several slices, and their state row is copied to each slice.
+    Plan: parallel edges collapse to a count once. Links are partitioned by source, put
+    into lists, sorted and persisted, with one list per vertex that only links it to itself
+    and carries its rank over. The state is left partitioned by id after every superstep, so
+    joining it to the lists moves nothing and a superstep costs one shuffle, of sums that
+    were combined map-side. Lists of sources that send nothing are dropped whole, so a late
+    superstep looks at sources, not at links. Sources with more links than a partition
+    should hold are spread over several slices, and their state row is copied to each.
     """
     spark = edges.sparkSession
     shared_folder(spark)
@@ -59,7 +62,7 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
             start = start.persist()
             persisted.append(start)
             sliced = parts > 1 and not start.filter("slices > 1").isEmpty()
-            linked = _links(counted, start, sliced, parts).persist()
+            linked = _links(counted, start, slice_size, sliced, parts).persist()
             persisted.append(linked)
             # Supersteps per checkpoint: the last job may run all but one for nothing.
             steps = STEPS_SMALL if parts == 1 else STEPS_LARGE
@@ -101,36 +104,48 @@ def _initial_state(counted: DataFrame, slice_size: int) -> DataFrame:
             F.lit(RESET).alias("change"),
             "degree",
             F.greatest(F.ceil(F.col("fan") / slice_size), one).cast("int").alias("slices"),
+            F.greatest(
+                F.ceil(F.least(F.col("fan"), F.lit(slice_size)) / LIST_LINKS), one
+            ).cast("int").alias("lists"),
         )
     )
 
 
-def _links(counted: DataFrame, state: DataFrame, sliced: bool, parts: int) -> DataFrame:
-    """Links ``src, slice, dst, copies``; ``copies`` 0 marks a vertex's link to itself."""
+def _links(
+    counted: DataFrame, state: DataFrame, slice_size: int, sliced: bool, parts: int
+) -> DataFrame:
+    """Lists ``src, slice, list, out`` of ``dst, copies``; list -1 is a vertex's link to
+    itself, with copies 0."""
     own = state.select(
         "src",
+        F.lit(0).alias("slice"),
+        F.lit(-1).alias("list"),
         F.col("src").alias("dst"),
         F.lit(0).cast("bigint").alias("copies"),
     )
-    if not sliced:
-        every = counted.select("src", "dst", "copies").unionAll(own)
-        return every.repartition(parts, "src").sortWithinPartitions("src")
-    # Slices sum to about twice the number of partitions, so fewer sources than that
-    # have more than one and this table stays small.
-    spread = state.filter("slices > 1").select("src", "slices")
-    number = F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int")
-    cut = counted.join(F.broadcast(spread), "src", "left").select(
-        "src", number.alias("slice"), "dst", "copies"
+    slice_, list_ = F.lit(0), F.lit(0)
+    if slice_size > LIST_LINKS or sliced:
+        # Sources of more than a slice or a list of links: at most as many as there are
+        # slices and lists, which is a few for each partition.
+        large = state.filter((F.col("slices") > 1) | (F.col("lists") > 1))
+        counted = counted.join(F.broadcast(large.select("src", "slices", "lists")), "src", "left")
+        place = F.xxhash64("dst")
+        slice_ = F.pmod(place, F.coalesce("slices", F.lit(1))).cast("int")
+        list_ = F.pmod(F.shiftright(place, 32), F.coalesce("lists", F.lit(1))).cast("int")
+    cut = counted.select("src", slice_.alias("slice"), list_.alias("list"), "dst", "copies")
+    keys = ["src", "slice"] if sliced else ["src"]
+    every = cut.unionAll(own).repartition(parts, *keys)
+    lists = every.groupBy("src", "slice", "list").agg(
+        F.collect_list(F.struct("dst", "copies")).alias("out")
     )
-    every = cut.unionAll(own.select("src", F.lit(0).alias("slice"), "dst", "copies"))
-    return every.repartition(parts, "src", "slice").sortWithinPartitions("src", "slice")
+    return lists.sortWithinPartitions(*keys)
 
 
 def _superstep(tolerance: float, sliced: bool) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """The step from one state to the next; its expressions are built only once."""
     is_own = F.col("copies") == 0
     sent = F.lit(1.0 - RESET) * F.col("change") / F.col("degree") * F.col("copies")
-    counts = is_own | (F.col("change") > tolerance)
+    counts = (F.col("list") < 0) | (F.col("change") > tolerance)
     sums = [
         F.sum(F.when(is_own, F.col("rank")).otherwise(sent)).alias("rank"),
         F.sum(F.when(is_own, 0.0).otherwise(sent)).alias("change"),
@@ -146,8 +161,11 @@ def _superstep(tolerance: float, sliced: bool) -> Callable[[DataFrame, DataFrame
             state = state.withColumn("slice", slices)
             keys.append("slice")
         # Both sides already lie by key, so a merge join moves nothing; a broadcast would.
-        arrived = state.hint("merge").join(linked, keys).filter(counts)
-        return arrived.groupBy(receiver).agg(*sums)
+        lists = linked if sliced else linked.drop("slice")
+        sending = state.drop("lists").hint("merge").join(lists, keys).filter(counts)
+        carried = ("src", "rank", "change", "degree", "slices")
+        sent = sending.select(*carried, F.inline("out"))
+        return sent.groupBy(receiver).agg(*sums)
 
     return step
 

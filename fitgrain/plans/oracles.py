@@ -299,6 +299,35 @@ UNION ALL SELECT 0::INTEGER, 1::INTEGER, round(ay, 6) FROM c
 UNION ALL SELECT 1::INTEGER, 0::INTEGER, round(bx, 6) FROM c
 UNION ALL SELECT 1::INTEGER, 1::INTEGER, round(b_y, 6) FROM c"""
 )
+
+
+def _seeds() -> str:
+    """The start that seed 1 gives: two races of the different points."""
+    prime = 2147483647
+    parts = ["apart AS MATERIALIZED (SELECT DISTINCT x, y FROM points)"]
+    for turn, (gap, others) in enumerate(
+        (("1.0", ""), ("(x - s0.x) ** 2 + (y - s0.y) ** 2", ", s0"))
+    ):
+        parts.append(f"""s{turn} AS MATERIALIZED (
+  SELECT x, y FROM (
+    SELECT *, (a * a % {prime} * (a * a % {prime}) + a - 1) % {prime} AS draw FROM (
+      SELECT apart.x, apart.y, {gap.replace("(x", "(apart.x").replace("(y", "(apart.y")} AS gap,
+        1 + (({1009 + turn} * 48271 + floor(apart.x * 1e6)::BIGINT % {prime}) % {prime} * 48271
+          + floor(apart.y * 1e6)::BIGINT % {prime}) % {prime} AS a
+      FROM apart{others}))
+  WHERE gap > 0 ORDER BY -ln((draw + 1) / {prime}::DOUBLE) / gap, x, y LIMIT 1
+)""")
+    return ", ".join(parts)
+
+
+SQL["kmeans_seeded_centers"] = (
+    SQL["kmeans_centers"]
+    .replace("), g(i,", f"), {_seeds()}, g(i,")
+    .replace(
+        "SELECT 0, 0.25::DOUBLE, 0.025::DOUBLE, 0.75::DOUBLE, 0.075::DOUBLE, false",
+        "SELECT 0, s0.x, s0.y, s1.x, s1.y, false FROM s0, s1",
+    )
+)
 SQL["kmeans_assign"] = (
     _CLUSTERS + "SELECT p_partkey, (db < da)::INTEGER AS cluster FROM assigned"
 )

@@ -345,6 +345,12 @@ def kmeans_wssse(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(model.cost(points), "value")
 
 
+def kmeans_seeded_centers(spark: SparkSession, folder: str) -> DataFrame:
+    """Centres from a seeded start."""
+    model = fit_kmeans(part_points(spark, folder), 2, 20, seed=1)
+    return rounded(model.to_df(spark), "x")
+
+
 def embedding_clusters(spark: SparkSession, folder: str) -> tuple[KMeansModel, DataFrame]:
     points = table(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").alias("features")
@@ -622,6 +628,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         svm100_auc,
         auc_ties,
         kmeans_centers,
+        kmeans_seeded_centers,
         kmeans_assign,
         kmeans_wssse,
         kmeans_embeddings_centers,

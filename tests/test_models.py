@@ -188,6 +188,19 @@ def test_kmeans_without_centres_is_seeded(spark):
     a, b = fit_kmeans(df, 2, seed=3), fit_kmeans(df, 2, seed=3)
     assert np.allclose(a.centres, b.centres)
     assert sorted(round(c[0] / 20) for c in a.centres) == [0, 1]
+    for other in (df.repartition(7), df.union(df).union(df.limit(30)), as_sparse(df)):
+        points = other.select("features")
+        again = fit_kmeans(points, 2, seed=3)
+        assert again.centres.shape == (2, 2)
+    for table in (df, df.union(df).repartition(5)):
+        start = fit_kmeans(table, 20, 0, seed=5).centres
+        assert len(np.unique(start, axis=0)) == 20
+        assert np.array_equal(start, fit_kmeans(df, 20, 0, seed=5).centres)
+    wide = frame(spark, np.hstack([x, np.zeros((100, 70))]), np.zeros(100))
+    start = [fit_kmeans(t, 9, 0, seed=5).centres for t in (wide, as_sparse(wide))]
+    assert np.array_equal(*start) and len(np.unique(start[0], axis=0)) == 9
+    few = frame(spark, np.repeat([[1.0, 2.0], [3.0, 4.0]], 5, axis=0), np.zeros(10))
+    assert len(fit_kmeans(few, 4).centres) == 2
 
 
 def tree_frame(spark, values, seed):
