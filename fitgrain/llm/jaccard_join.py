@@ -446,16 +446,15 @@ def one_of_each(
     ones too. All columns are as they are.
     """
     nodes, _, roots = _components(docs, id, text, k, num, den)
-    nodes = nodes.filter("node is not null").select("id", "key", "node")
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Copies are one row before they meet the roots, so no large group is joined.
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    first = placed.groupBy("root").agg(F.min(rank).alias("first")).select("root", "first.key")
-    kept = first.select(F.col("key").alias("kept"), "root")
-    gone = placed.join(kept, "root").filter("key <> kept").select("key").distinct()
+    of_node = nodes.filter("node is not null").groupBy("node").agg(F.min(rank).alias("first"))
+    placed = of_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first"))
     # Names that no column has.
     key, row = (f"{name}_" + "_".join(docs.columns) for name in ("key", "row"))
     has_words = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
     keyed = docs.withColumn(key, row_key(F.col(id), F.col(text)))
-    rest = keyed.filter(has_words).join(gone.withColumnRenamed("key", key), key, "left_anti")
-    rest = rest.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    rest = keyed.filter(has_words).join(kept.select(F.col("first.key").alias(key)), key, "left_semi")
+    rest = rest.groupBy(key, id, text).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return rest.unionByName(docs.filter(~has_words)).select(docs.columns)
