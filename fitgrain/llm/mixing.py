@@ -10,7 +10,9 @@ flow says how many words each pattern gives; the seeded order says which documen
 from __future__ import annotations
 
 import json
+from collections import Counter, deque
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ COPIES = 2
 #: Cells of the seeded order, and cells within each; the cut between copies is made
 #: exactly in one inner cell, which has one in ``CELLS ** 2`` of a pattern's documents.
 CELLS = 4096
+#: Rows before and beyond the inner cell in which a pattern's extra words come to an end.
+BEFORE = "(cell < outer_cut or cell = outer_cut and inner < inner_cut)"
+BEYOND = "(cell > outer_cut or cell = outer_cut and inner > inner_cut)"
 
 
 def targets(
@@ -50,60 +55,82 @@ def min_cost_flow(
 ) -> dict[tuple, int]:
     """Words that each pattern (a tuple of sources) gives.
 
-    Successive shortest paths: copy c of a pattern's words costs c, so a unit goes by the
-    pattern with the fewest copies given so far that can reach a source in need,
-    perhaps by moving what another pattern gives to that source.
+    Copy c of a pattern's words costs c, so each copy is sent as far as it can go before
+    the next one: in rounds of blocking flow along shortest ways, which may move what
+    another pattern gives to a source.
     """
-    given = {p: 0 for p in supply}
-    flow: dict[tuple, int] = {}
-    need = dict(quota)
-    for copy in range(1, copies + 1):
-        cap = {p: n for p, n in supply.items() if n > 0}
-        while True:
-            path = _path(cap, flow, need)
-            if path is None:
-                break
-            pattern, steps = path
-            amount = min(cap[pattern], need[steps[-1][1]])
-            for (p, s), (q, _) in zip(steps, steps[1:]):
-                amount = min(amount, flow[q, s])
-            for p, s in steps:
-                flow[p, s] = flow.get((p, s), 0) + amount
-            for (_, s), (q, _) in zip(steps, steps[1:]):
-                flow[q, s] -= amount
-            cap[pattern] -= amount
-            if not cap[pattern]:
-                del cap[pattern]
-            need[steps[-1][1]] -= amount
-            given[pattern] += amount
+    given = {p: 0 for p in sorted(supply, key=str)}
+    members: dict = {s: [] for s in quota}
+    for p in given:
+        for s in p:
+            members.setdefault(s, []).append(p)
+    held: dict = {s: {} for s in members}
+    need = {s: quota.get(s, 0) for s in members}
+    for _ in range(copies):
+        cap = {p: supply[p] for p in given}
+        while _push(cap, members, held, need):
+            pass
+        for p, left in cap.items():
+            given[p] += supply[p] - left
     return given
 
 
-def _path(cap: dict, flow: dict, need: dict):
-    """The shortest way from a pattern with words left to a source in need: a list of
-    (pattern, source), where each later pattern gives up words of the source before."""
-    holders: dict = {}
-    for (p, s), amount in flow.items():
-        if amount > 0:
-            holders.setdefault(s, []).append(p)
-    reached, queue = {}, []
-    for p in sorted(cap, key=str):
-        queue.append((p, p, []))
-    seen_patterns = set(cap)
+def _push(cap: dict, members: dict, held: dict, need: dict) -> bool:
+    """Send words of ``cap`` along all ways that lead one step nearer to a source in need
+    each time; whether any were sent. ``held[source][pattern]`` is what is given so far."""
+    at_source = {s: 0 for s, words in need.items() if words > 0}
+    at_pattern: dict = {}
+    queue = deque(at_source)
     while queue:
-        start, p, steps = queue.pop(0)
-        for s in p:
-            if s in reached:
+        s = queue.popleft()
+        for p in members[s]:
+            if p in at_pattern:
+                continue
+            at_pattern[p] = at_source[s] + 1
+            for t in p:
+                # What the pattern gives to t can go to s instead.
+                if t not in at_source and held[t].get(p, 0) > 0:
+                    at_source[t] = at_pattern[p] + 1
+                    queue.append(t)
+
+    def nearer(path: list) -> list:
+        """What can follow the end of a way: sources, or patterns that give to it."""
+        end = path[-1]
+        if len(path) % 2:
+            return [s for s in end if at_source.get(s) == at_pattern[end] - 1]
+        return [p for p, n in held[end].items() if n > 0 and at_pattern.get(p) == at_source[end] - 1]
+
+    # For each end of a way what is left to try; the last one is tried first.
+    left: tuple[dict, dict] = ({}, {})
+    moved = False
+    for start in cap:
+        path = [start] if start in at_pattern else []
+        while path and cap[start] > 0:
+            end, odd = path[-1], len(path) % 2
+            if not odd and need[end] > 0:
+                givers, takers = path[0::2], path[1::2]
+                freed = [held[s][p] for s, p in zip(takers, givers[1:])]
+                amount = min(cap[start], need[end], *freed)
+                for s, p in zip(takers, givers[1:]):
+                    held[s][p] -= amount
+                for p, s in zip(givers, takers):
+                    held[s][p] = held[s].get(p, 0) + amount
+                cap[start] -= amount
+                need[end] -= amount
+                moved, path = True, [start]
                 continue
-            reached[s] = True
-            way = [*steps, (p, s)]
-            if need.get(s, 0) > 0:
-                return start, way
-            for q in holders.get(s, ()):
-                if q not in seen_patterns:
-                    seen_patterns.add(q)
-                    queue.append((start, q, way))
-    return None
+            tries = left[odd]
+            if end not in tries:
+                tries[end] = nearer(path)
+            while not odd and tries[end] and held[end][tries[end][-1]] == 0:
+                tries[end].pop()
+            if tries[end]:
+                path.append(tries[end][-1])
+            else:
+                path.pop()
+                if path:
+                    left[1 - odd][path[-1]].pop()
+    return moved
 
 
 def mix_sources(
@@ -122,7 +149,9 @@ def mix_sources(
     sources in code-point order, null last, weigh ``weights`` in turn and together take
     ``share`` of all words; a source's target is at most ``copies`` times its words.
     ``taken`` is a multiple of ``size``, ``copies`` times at most, and each source's sum
-    is within one document of its target as far as the flow can reach it. A document of
+    is within one document of its target as far as the flow can reach it: the seeded order
+    goes as far as its documents fit, smaller ones beyond that fill what is left, and only
+    if the next one were nearer to the target it is taken instead. A document of
     several sources counts for each in ``source_size``, of which the row has the sum, as
     it has of ``target``.
 
@@ -198,7 +227,9 @@ def _mixed(
     patterns = {r["pattern"]: tuple(json.loads(r["pattern"])) for r in found}
     supply = {patterns[r["pattern"]]: r["size"] for r in found}
     names = sorted({s for p in supply for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(n for p, n in supply.items() if s in p) for s in names}
+    sizes = Counter({s: 0 for s in names})
+    for p, n in supply.items():
+        sizes.update({s: n for s in p})
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     target = targets(sizes, weight, share * sum(supply.values()), copies)
     given = min_cost_flow(supply, {s: round(t) for s, t in target.items()}, copies)
@@ -212,39 +243,41 @@ def _mixed(
     chosen = spark.createDataFrame(
         [(k, c) for k, (c, _) in outer.items()], "pattern string, cell long"
     )
-    inner = rows.join(chosen, ["pattern", "cell"]).groupBy("pattern", "inner")
-    inner = _cuts(inner.agg(F.sum("size").alias("size")).withColumnRenamed("inner", "cell"), within)
+    edge = write_and_read(rows.join(chosen, ["pattern", "cell"]), "edge")
+    inner = edge.groupBy("pattern", "inner").agg(F.sum("size").alias("size"))
+    inner = _cuts(inner.withColumnRenamed("inner", "cell"), within)
+    place = spark.createDataFrame(
+        [(k, outer[k][0], c, within[k] - before) for k, (c, before) in inner.items()],
+        "pattern string, outer_cut long, inner_cut long, left long",
+    )
+    last = _last_draws(edge, place)
+    fill, gaps = _fill(rows, place, last)
+    plan = []
+    for key, p in patterns.items():
+        cut = (-1, -1, None, {})
+        if key in last:
+            draw, more = last[key].draw, fill.get(key, {})
+            if gaps.get(key) and gaps[key] > last[key].over:
+                draw, more = last[key].after, {}
+            cut = (outer[key][0], inner[key][0], draw, more)
+        plan.append(
+            (key, base[key], *cut, sum(sizes[s] for s in p), float(sum(target[s] for s in p)))
+        )
     plan = spark.createDataFrame(
-        [
-            (
-                key,
-                base[key],
-                outer[key][0] if key in outer else -1,
-                *((inner[key][0], within[key] - inner[key][1]) if key in inner else (-1, 0)),
-                sum(sizes[s] for s in p),
-                float(sum(target[s] for s in p)),
-            )
-            for key, p in patterns.items()
-        ],
-        "pattern string, base long, outer_cut long, inner_cut long, left long, "
-        "source_size long, target double",
+        plan,
+        "pattern string, base long, outer_cut long, inner_cut long, last_draw long, "
+        "fill map<long,long>, source_size long, target double",
     )
     if carry:
         rows = with_cells(docs.select(*columns, F.struct(*carry).alias("carried")))
-    out = rows.join(plan, "pattern")
-    at_cut = (F.col("cell") == F.col("outer_cut")) & (F.col("inner") == F.col("inner_cut"))
-    by = Window.partitionBy("pattern").orderBy("draw", "id", "size")
-    edge = out.filter(at_cut).withColumn("end", F.sum("size").over(by))
-    one = (F.col("end") - F.col("size") / 2 <= F.col("left")).cast("long")
-    edge = edge.withColumn("one", one).drop("end")
-    first = "cell < outer_cut or cell = outer_cut and inner < inner_cut"
-    rest = out.filter(~at_cut).withColumn("one", F.expr(first).cast("long"))
-    return edge.unionByName(rest).select(
+    at_cut = "cell = outer_cut and inner = inner_cut and draw <= last_draw"
+    one = F.expr(f"{BEFORE} or {at_cut} or {BEYOND} and draw <= try_element_at(fill, size)")
+    return rows.join(plan, "pattern").select(
         "id",
         "size",
         "source_size",
         "target",
-        (F.col("base") + F.col("one")).alias("times"),
+        (F.col("base") + F.coalesce(one, F.lit(False)).cast("long")).alias("times"),
         *(["carried"] if carry else []),
     )
 
@@ -257,3 +290,79 @@ def _cuts(cells: DataFrame, extra: dict[str, int]) -> dict[str, tuple[int, int]]
     ends = cells.withColumn("end", F.sum("size").over(by)).join(wanted, "pattern")
     cut = ends.filter("end >= extra and end - size < extra")
     return {r["pattern"]: (r["cell"], r["end"] - r["size"]) for r in cut.collect()}
+
+
+def _last_draws(edge: DataFrame, place: DataFrame) -> dict:
+    """For each pattern the last draw of the inner cell that fits into ``left`` words
+    (``draw``, null if none does), what is left then (``left``), the next draw (``after``)
+    and by how much it would be too large (``over``)."""
+    rows = edge.join(place, "pattern").filter("inner = inner_cut")
+    # Rows of one draw have one id, or one text; they are taken together.
+    draws = rows.groupBy("pattern", "draw", "left").agg(F.sum("size").alias("size"))
+    ends = draws.withColumn("end", F.sum("size").over(Window.partitionBy("pattern").orderBy("draw")))
+    fits = F.col("end") <= F.col("left")
+    found = ends.groupBy("pattern", "left").agg(
+        F.max(F.when(fits, F.col("draw"))).alias("draw"),
+        F.coalesce(F.max(F.when(fits, F.col("end"))), F.lit(0)).alias("taken"),
+        F.min(F.when(~fits, F.struct("end", "draw"))).alias("next"),
+    )
+    found = found.select(
+        "pattern",
+        "draw",
+        (F.col("left") - F.col("taken")).alias("left"),
+        F.col("next.draw").alias("after"),
+        (F.col("next.end") - F.col("left")).alias("over"),
+    )
+    return {r["pattern"]: r for r in found.collect()}
+
+
+def _fill(rows: DataFrame, place: DataFrame, last: dict) -> tuple[dict, dict]:
+    """Documents beyond the cut that fit into the words left: for each pattern a map from
+    size to the last draw taken, and the words left then.
+
+    Sizes are taken from the largest that fits downwards, so their sum is at most the words
+    left and there are few of them: their number's square is at most twice those words.
+    """
+    left = {k: r["left"] for k, r in last.items() if r["left"] > 0 and r["over"] is not None}
+    if not left:
+        return {}, {}
+    spark = rows.sparkSession
+    gaps = spark.createDataFrame(list(left.items()), "pattern string, gap long")
+    beyond = rows.join(place.join(gaps, "pattern"), "pattern").filter(BEYOND)
+    free = beyond.filter("size > 0 and size <= gap")
+
+    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
+        gap, out = int(frame["gap"].iloc[0]), []
+        by_size = frame.sort_values("size", ascending=False)
+        for size, n in zip(by_size["size"], by_size["n"]):
+            taken = min(int(n), gap // int(size))
+            if taken:
+                out.append((frame["pattern"].iloc[0], int(size), taken))
+                gap -= taken * int(size)
+        return pd.DataFrame(out, columns=["pattern", "size", "wanted"])
+
+    counts = free.groupBy("pattern", "gap", "size").agg(F.count(F.lit(1)).alias("n"))
+    wanted = counts.groupBy("pattern").applyInPandas(
+        greedy, "pattern string, size long, wanted long"
+    )
+    wanted = [tuple(r) for r in wanted.collect()]
+    if not wanted:
+        return {}, left
+    most = max(n for _, _, n in wanted)
+    chosen = spark.createDataFrame(wanted, "pattern string, size long, wanted long")
+    draws = free.join(chosen, ["pattern", "size"]).groupBy("pattern", "size", "wanted", "draw")
+    by = Window.partitionBy("pattern", "size").orderBy("draw")
+    ends = (
+        draws.agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("nth", F.row_number().over(by))
+        .filter(F.col("nth") <= most)
+        .withColumn("end", F.sum("n").over(by))
+        .filter("end <= wanted")
+        .groupBy("pattern", "size")
+        .agg(F.max("draw").alias("draw"), F.max("end").alias("n"))
+    )
+    fill: dict = {}
+    for r in ends.collect():
+        fill.setdefault(r["pattern"], {})[r["size"]] = r["draw"]
+        left[r["pattern"]] -= r["size"] * r["n"]
+    return fill, left

@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from random import Random
 
 import numpy as np
 import pytest
@@ -367,6 +368,64 @@ def test_mixing_of_overlapping_sources(spark):
     assert by[3] == pytest.approx(800, abs=10)
 
 
+def test_smaller_documents_fill_what_is_left(spark):
+    sizes = [900, 233, 700, 41, 40, 3, 2, 1, 1, 1, 800, 1000]
+    for extra in range(1, sum(sizes), 397):
+        rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix_sources(docs, share=extra / sum(sizes)).collect()
+        got = sum(r["taken"] for r in out)
+        assert all(r["taken"] in (0, r["size"]) for r in out)
+        # What is free and fits into the words left was taken, or one document was nearer.
+        smallest = min([r["size"] for r in out if not r["taken"]], default=0)
+        assert abs(got - extra) <= 1000
+        assert got > extra or extra - got < smallest or smallest == 0
+
+
+def test_flow_over_many_sources():
+    supply = {(f"s{i}",): 10 + i % 7 for i in range(20_000)}
+    supply |= {(f"s{i}", f"s{i + 1}"): 5 for i in range(0, 19_999)}
+    quota = {f"s{i}": 12 + i % 5 for i in range(20_000)}
+    given = mixing.min_cost_flow(supply, quota, 2)
+    assert sum(given.values()) == sum(quota.values())
+    assert all(0 <= given[p] <= 2 * supply[p] for p in supply)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_flow_costs_least(seed):
+    random = Random(seed)
+    names = "abcd"
+    supply = {
+        tuple(sorted(random.sample(names, random.randint(1, 3)))): random.randint(0, 4)
+        for _ in range(4)
+    }
+    quota = {s: random.randint(0, 6) for s in names}
+    given = mixing.min_cost_flow(supply, quota, 2)
+
+    def reached(amounts):
+        """The most words that the amounts of patterns bring to sources, by augmenting."""
+        units = [p for p, n in amounts.items() for _ in range(n)]
+        slots = [s for s in names for _ in range(quota[s])]
+        match = {}
+
+        def assign(u, seen):
+            for k, s in enumerate(slots):
+                if s in units[u] and k not in seen:
+                    seen.add(k)
+                    if k not in match or assign(match[k], seen):
+                        match[k] = u
+                        return True
+            return False
+
+        return sum(assign(u, set()) for u in range(len(units)))
+
+    assert reached(given) == sum(given.values())
+    twice = {p: 2 * n for p, n in supply.items()}
+    # All that can flow does, and as much as can of it is a first copy.
+    assert sum(given.values()) == reached(twice)
+    assert sum(min(given[p], supply[p]) for p in supply) == reached(supply)
+
+
 def test_flow_moves_what_it_gave():
     supply = {("a",): 10, ("a", "b"): 10, ("b", "c"): 10}
     given = mixing.min_cost_flow(supply, {"a": 15, "b": 10, "c": 5}, 1)
