@@ -13,7 +13,7 @@ import json
 from collections import Counter, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitgrain.llm.common import WORD, write_and_read
@@ -24,6 +24,8 @@ COPIES = 2
 #: Cells of the seeded order, and cells within each; the cut between copies is made
 #: exactly in one inner cell, which has one in ``CELLS ** 2`` of a pattern's documents.
 CELLS = 4096
+#: Bytes of driver-made rows, about, that are broadcast to join them; more are shuffled.
+BROADCAST_BYTES = 64 << 20
 #: Rows before and beyond the inner cell in which a pattern's extra words come to an end.
 BEFORE = "(cell < outer_cut or cell = outer_cut and inner < inner_cut)"
 BEYOND = "(cell > outer_cut or cell = outer_cut and inner > inner_cut)"
@@ -240,18 +242,17 @@ def _mixed(
     spark = docs.sparkSession
     outer = _cuts(cells, extra)
     within = {k: extra[k] - before for k, (_, before) in outer.items()}
-    chosen = spark.createDataFrame(
-        [(k, c) for k, (c, _) in outer.items()], "pattern string, cell long"
-    )
+    chosen = _local(spark, [(k, c) for k, (c, _) in outer.items()], "pattern string, cell long")
     edge = write_and_read(rows.join(chosen, ["pattern", "cell"]), "edge")
     inner = edge.groupBy("pattern", "inner").agg(F.sum("size").alias("size"))
     inner = _cuts(inner.withColumnRenamed("inner", "cell"), within)
-    place = spark.createDataFrame(
+    place = _local(
+        spark,
         [(k, outer[k][0], c, within[k] - before) for k, (c, before) in inner.items()],
         "pattern string, outer_cut long, inner_cut long, left long",
     )
     last = _last_draws(edge, place)
-    fill, gaps = _fill(rows, place, last)
+    fill, gaps = _fill(rows, {k: (outer[k][0], inner[k][0]) for k in inner}, last)
     plan = []
     for key, p in patterns.items():
         cut = (-1, -1, None, {})
@@ -263,7 +264,8 @@ def _mixed(
         plan.append(
             (key, base[key], *cut, sum(sizes[s] for s in p), float(sum(target[s] for s in p)))
         )
-    plan = spark.createDataFrame(
+    plan = _local(
+        spark,
         plan,
         "pattern string, base long, outer_cut long, inner_cut long, last_draw long, "
         "fill map<long,long>, source_size long, target double",
@@ -282,10 +284,19 @@ def _mixed(
     )
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows from the driver. Its size is counted here, as Spark can't know it and
+    would shuffle all documents by pattern to join a few rows."""
+    entries = sum(len(x) for r in rows for x in r if isinstance(x, dict))
+    many = 48 * entries + sum(128 + 4 * len(r[0]) for r in rows)
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if many <= BROADCAST_BYTES else table
+
+
 def _cuts(cells: DataFrame, extra: dict[str, int]) -> dict[str, tuple[int, int]]:
     """The cell of each pattern in which its extra words come to an end, and the words of
     the cells before; no cell where there are none."""
-    wanted = cells.sparkSession.createDataFrame(list(extra.items()), "pattern string, extra long")
+    wanted = _local(cells.sparkSession, list(extra.items()), "pattern string, extra long")
     by = Window.partitionBy("pattern").orderBy("cell")
     ends = cells.withColumn("end", F.sum("size").over(by)).join(wanted, "pattern")
     cut = ends.filter("end >= extra and end - size < extra")
@@ -316,7 +327,7 @@ def _last_draws(edge: DataFrame, place: DataFrame) -> dict:
     return {r["pattern"]: r for r in found.collect()}
 
 
-def _fill(rows: DataFrame, place: DataFrame, last: dict) -> tuple[dict, dict]:
+def _fill(rows: DataFrame, cuts: dict, last: dict) -> tuple[dict, dict]:
     """Documents beyond the cut that fit into the words left: for each pattern a map from
     size to the last draw taken, and the words left then.
 
@@ -327,9 +338,12 @@ def _fill(rows: DataFrame, place: DataFrame, last: dict) -> tuple[dict, dict]:
     if not left:
         return {}, {}
     spark = rows.sparkSession
-    gaps = spark.createDataFrame(list(left.items()), "pattern string, gap long")
-    beyond = rows.join(place.join(gaps, "pattern"), "pattern").filter(BEYOND)
-    free = beyond.filter("size > 0 and size <= gap")
+    gaps = _local(
+        spark,
+        [(k, *cuts[k], gap) for k, gap in left.items()],
+        "pattern string, outer_cut long, inner_cut long, gap long",
+    )
+    free = rows.join(gaps, "pattern").filter(f"{BEYOND} and size > 0 and size <= gap")
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         gap, out = int(frame["gap"].iloc[0]), []
@@ -349,7 +363,7 @@ def _fill(rows: DataFrame, place: DataFrame, last: dict) -> tuple[dict, dict]:
     if not wanted:
         return {}, left
     most = max(n for _, _, n in wanted)
-    chosen = spark.createDataFrame(wanted, "pattern string, size long, wanted long")
+    chosen = _local(spark, wanted, "pattern string, size long, wanted long")
     draws = free.join(chosen, ["pattern", "size"]).groupBy("pattern", "size", "wanted", "draw")
     by = Window.partitionBy("pattern", "size").orderBy("draw")
     ends = (
