@@ -21,7 +21,8 @@ from fitgrain.session import fresh_path
 #: White space between words, as a regular expression.
 GAP = r"[ \t-\r]+"
 WORD = r"[^ \t-\r]+"
-SLICE_BYTES = 4 << 20
+#: Text that a kernel looks at in one go; its arrays take some 25 times as much.
+SLICE_BYTES = 1 << 20
 #: Cells of a gram count. One array of this size travels from every task.
 CELLS = 1 << 18
 #: Arrays added up on the driver, each a sum over many tasks.

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from collections import Counter, deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -345,18 +345,24 @@ def _fill(rows: DataFrame, cuts: dict, last: dict) -> tuple[dict, dict]:
     )
     free = rows.join(gaps, "pattern").filter(f"{BEYOND} and size > 0 and size <= gap")
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        gap, out = int(frame["gap"].iloc[0]), []
-        by_size = frame.sort_values("size", ascending=False)
-        for size, n in zip(by_size["size"], by_size["n"]):
-            taken = min(int(n), gap // int(size))
-            if taken:
-                out.append((frame["pattern"].iloc[0], int(size), taken))
-                gap -= taken * int(size)
-        return pd.DataFrame(out, columns=["pattern", "size", "wanted"])
-
+    def greedy(batches):
+        # Sizes come from the largest down, so all that a task holds is what is left.
+        pattern, gap = None, 0
+        for batch in batches:
+            out = []
+            for key, most, size, n in zip(*(column.to_pylist() for column in batch.columns)):
+                if key != pattern:
+                    pattern, gap = key, most
+                taken = min(n, gap // size)
+                if taken:
+                    out.append({"pattern": key, "size": size, "wanted": taken})
+                    gap -= taken * size
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("pattern", pa.string()), ("size", pa.int64()), ("wanted", pa.int64())])
     counts = free.groupBy("pattern", "gap", "size").agg(F.count(F.lit(1)).alias("n"))
-    wanted = counts.groupBy("pattern").applyInPandas(
+    dealt = counts.repartition("pattern").sortWithinPartitions("pattern", F.desc("size"))
+    wanted = dealt.select("pattern", "gap", "size", "n").mapInArrow(
         greedy, "pattern string, size long, wanted long"
     )
     wanted = [tuple(r) for r in wanted.collect()]
