@@ -6,8 +6,9 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fitgrain.session import fresh_path
+from fitgrain.session import fresh_path, settings
 
 #: A prime; positions of keys are residues, so weights hold to one millionth.
 PRIME = 1_000_003
@@ -22,6 +23,8 @@ def random_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[Da
 DRAWS = 1 << 32
 #: Equal rows that one task deals out.
 EQUAL_ROWS = 100_000
+#: Types whose values are equal just when their JSON is.
+EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType)
 
 
 def row_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[DataFrame]:
@@ -30,27 +33,39 @@ def row_split(df: DataFrame, weights: list[float], seed: int = 11) -> list[DataF
     Equal rows are counted, and each of them draws by the hash of seed, row and its number
     among them, so they are split too. The table is read once; the parts are the folders
     of one staged table. Rows are equal if they are as JSON with nulls.
+
+    The equal rows are few before they are dealt out, so the number of tasks that deal them
+    out is set: by its size the shuffle would be merged into one task. Each task has a
+    file open for every part, so that its rows aren't sorted by part.
     """
     names = df.columns
     # Names that no column has.
     key, row, n, block, nth, part = (f"{x}_" + "_".join(names) for x in ("k", "r", "n", "b", "i", "p"))
     text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    equal = df.groupBy(F.md5(text.cast("binary")).alias(key)).agg(
-        F.first(F.struct(*names)).alias(row), F.count(F.lit(1)).alias(n)
-    )
+    digest = F.md5(text.cast("binary")).alias(key)
+    if all(isinstance(c.dataType, EXACT) or c.dataType == T.StringType() for c in df.schema):
+        # Counted in hash tables; to keep a first row, the whole scan would be sorted.
+        equal = df.groupBy(*names).agg(F.count(F.lit(1)).alias(n))
+        equal = equal.select(digest, F.struct(*names).alias(row), n)
+    else:
+        equal = df.groupBy(digest).agg(
+            F.first(F.struct(*names)).alias(row), F.count(F.lit(1)).alias(n)
+        )
     last = F.floor((F.col(n) - 1) / EQUAL_ROWS)
     blocks = equal.withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     start = F.col(block) * EQUAL_ROWS
     end = F.least(F.col(n), start + EQUAL_ROWS) - 1
-    rows = blocks.repartition(key, block).withColumn(nth, F.explode(F.sequence(start, end)))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocks.repartition(parts, key, block).withColumn(nth, F.explode(F.sequence(start, end)))
     edges = [round(DRAWS * upto / sum(weights)) for upto in accumulate(weights)]
     number = F.lit(len(weights) - 1)
     draw = row_draw(F.col(key), F.col(nth), seed)
     for k in range(len(weights) - 2, -1, -1):
         number = F.when(draw < edges[k], k).otherwise(number)
-    spark = df.sparkSession
     path = fresh_path(spark, "split")
-    rows.select(f"{row}.*", number.alias(part)).write.partitionBy(part).parquet(path)
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters=len(weights)):
+        rows.select(f"{row}.*", number.alias(part)).write.partitionBy(part).parquet(path)
     schema = df.select("*", F.lit(0).alias(part)).schema
     whole = spark.read.schema(schema).parquet(path)
     return [whole.filter(F.col(part) == k).select(names) for k in range(len(weights))]

@@ -526,3 +526,37 @@ def test_rows_are_split_alike_on_any_partitioning(spark, monkeypatch):
     assert sorted(map(str, other.collect())) != parts[0][0]
     assert [p.count() for p in row_split(df.limit(0), [1, 1, 1])] == [0, 0, 0]
     assert dict(row_split(df, [1])[0].dtypes) == dict(df.dtypes)
+
+
+def test_equal_rows_are_dealt_out_by_many_tasks_unsorted(spark, monkeypatch):
+    from fitgrain.operators import splits
+
+    monkeypatch.setattr(splits, "EQUAL_ROWS", 40)
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.lit("x").alias("s"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    parts = row_split(df, [0.6, 0.4])
+    for part in parts:
+        # 100 blocks over 8 tasks, each with a file in every part's folder.
+        files = part.groupBy(F.input_file_name()).count().collect()
+        assert len(files) == 8
+        assert max(f["count"] for f in files) < part.count() / 2
+    assert sum(p.count() for p in parts) == 4000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_rows_of_exact_types_are_split_as_by_their_json(spark):
+    df = spark.range(600).select(
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"),
+        F.when(F.col("id") % 4 > 0, (F.col("id") % 2).cast("string")).alias("s"),
+    )
+    # The draws from each row's JSON, as the SQL of split_by_rows has them.
+    text = F.to_json(F.struct("k", "s"), {"ignoreNullFields": "false"})
+    digests = df.groupBy("k", "s", F.md5(text.cast("binary")).alias("m")).count()
+    rows = digests.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
+    draws = rows.select("k", "s", F.conv(F.substring(
+        F.md5(F.concat_ws("|", F.lit("11"), "m", F.col("nth").cast("string")).cast("binary")), 1, 8
+    ), 16, 10).cast("bigint").alias("draw"))
+    first, second = row_split(df, [0.6, 0.4])
+    edge = round((1 << 32) * 0.6)
+    for part, expected in ((first, draws.filter(F.col("draw") < edge)), (second, draws.filter(F.col("draw") >= edge))):
+        assert sorted(map(str, part.collect())) == sorted(map(str, expected.select("k", "s").collect()))
