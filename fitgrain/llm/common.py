@@ -6,6 +6,7 @@ are hashed a slice of an Arrow batch at a time, on the bytes of the string colum
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,15 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Return what a task has freed to the system. Its worker stays for later tasks, and
+    would keep the memory while the JVM beside it grows."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -171,6 +181,7 @@ def array_sum(
             [pa.array([part], pa.int32()), pa.array([packed_bytes(total)], pa.binary())],
             names=["part", "data"],
         )
+        release()
 
     def merge(batches):
         total = np.zeros(cells, dtype)

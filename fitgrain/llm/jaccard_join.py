@@ -34,6 +34,7 @@ from fitgrain.llm.common import (
     array_sum,
     gram_counts,
     mixed,
+    release,
     slices,
     write_and_read,
 )
@@ -159,6 +160,7 @@ def _nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
                     ],
                     names=["id", "key", "node", "check", "n", "bits"],
                 )
+        release()
 
     return docs.mapInArrow(find, "id long, key long, node long, check long, n long, bits binary")
 
@@ -226,6 +228,8 @@ def _entries(
                     ],
                     names=["sig", "node", "n", "place"],
                 )
+        seen.clear()
+        release()
 
     return docs.mapInArrow(find, "sig long, node long, n int, place int")
 
@@ -274,6 +278,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, active: DataFrame, k: int, see
                     ],
                     names=["key", "node", "members"],
                 )
+        release()
 
     found = docs.mapInArrow(find, "key long, node long, members binary")
     # Rows may share a key by chance or because they are equal: the node is that of the

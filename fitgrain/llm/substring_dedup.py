@@ -26,6 +26,7 @@ from fitgrain.llm.common import (
     gram_counts,
     mixed,
     packed_bytes,
+    release,
     slices,
     unpacked,
 )
@@ -149,6 +150,7 @@ def _sent(docs: DataFrame, counts, window: int, gram: int, buckets: int) -> Data
                     yield from flush(held)
                     size = 0
         yield from flush(held)
+        release()
 
     return docs.mapInArrow(find, "bucket long, blob binary")
 
@@ -247,6 +249,7 @@ def _reports(sent: DataFrame, window: int) -> DataFrame:
                     yield from flush(by)
                     size = 0
         yield from flush(by)
+        release()
 
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(find, "chunk long, blob binary")
@@ -353,6 +356,7 @@ def dedup_substrings(
                 columns["n_words"] = pa.array(np.diff(found.first))
                 columns["n_removed"] = pa.array(np.diff(total[found.first]))
                 out.append(pa.RecordBatch.from_pydict(columns))
+        release()
         return pa.Table.from_batches(out)
 
     left = docs.select(*names, key.cast("long").alias(chunk)).groupBy(chunk)

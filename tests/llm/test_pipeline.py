@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 import __spark_entry__
 
@@ -42,3 +44,27 @@ def test_registered():
     found = __spark_entry__.queries()
     assert "pipeline" in found
     assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 14))
+
+
+def test_stages_read_small_arrow_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(spark, docs, folder):
+        def count(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        return docs.mapInArrow(count, "n long")
+
+    try:
+        stage = corpus_pipeline._in_small_batches(sizes)
+        rows = spark.range(0, 3000, 1, 1)
+        spark.conf.set(name, 10000)
+        # The rows are read after the stage has returned.
+        assert [r["n"] for r in stage(spark, rows, FOLDER).collect()] == [1000] * 3
+        spark.conf.set(name, 500)
+        assert [r["n"] for r in stage(spark, rows, FOLDER).collect()] == [500] * 6
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.set(name, before)
