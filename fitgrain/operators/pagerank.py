@@ -12,6 +12,9 @@ from fitgrain.session import settings, shared_folder
 
 RESET = 0.15
 LINKS_PER_PARTITION, MOST_LINKS_PER_PARTITION = 200_000, 20_000_000
+#: Links that a partition may hold before there are more partitions than cores, and links
+#: whose sums one task of a superstep combines, at most about.
+FULL_LINKS, COMBINED_LINKS = 10_000_000, 100_000_000
 #: Links that one list holds, about.
 LIST_LINKS = 1_000_000
 STEPS_SMALL, STEPS_LARGE = 4, 2
@@ -40,7 +43,9 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     and carries its rank over. The state is left partitioned by id after every superstep, so
     joining it to the lists moves nothing and a superstep costs one shuffle, of sums that
     were combined map-side. Lists of sources that send nothing are dropped whole, so a late
-    superstep looks at sources, not at links. Sources with more links than a partition
+    superstep looks at sources, not at links. A receiver gets one row from each sending task
+    at most, so there are only half as many of these as the cluster has cores, if the links
+    permit, and each takes several partitions. Sources with more links than a partition
     should hold are spread over several slices, and their state row is copied to each.
     """
     spark = edges.sparkSession
@@ -51,6 +56,9 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     try:
         links = counted.count()
         parts = _partitions(links, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        cores = spark.sparkContext.defaultParallelism
+        parts = min(parts, max(2, cores, ceil(links / FULL_LINKS)))
+        tasks = _tasks(links, parts, cores)
         # Adaptive plans hide how cached and checkpointed tables lie; the loop depends on it.
         with settings(
             spark, spark__sql__shuffle__partitions=parts, spark__sql__adaptive__enabled="false"
@@ -66,7 +74,7 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
             persisted.append(linked)
             # Supersteps per checkpoint: the last job may run all but one for nothing.
             steps = STEPS_SMALL if parts == 1 else STEPS_LARGE
-            superstep = _superstep(tolerance, sliced)
+            superstep = _superstep(tolerance, sliced, tasks if tasks < parts else 0)
             state = start
             while not state.filter(F.col("change") > tolerance).isEmpty():
                 for _ in range(steps):
@@ -88,6 +96,11 @@ def _partitions(links: int, session: int) -> int:
     return max(1, min(needed, ceil(links / LINKS_PER_PARTITION)))
 
 
+def _tasks(links: int, parts: int, cores: int) -> int:
+    """Tasks that send in a superstep: half as many as run at once, unless links are many."""
+    return min(parts, max(2, ceil(cores / 2), ceil(links / COMBINED_LINKS)))
+
+
 def _initial_state(counted: DataFrame, slice_size: int) -> DataFrame:
     """One row per vertex ``src``: rank, last change, out-degree and number of slices."""
     none = F.lit(0).cast("bigint")
@@ -141,13 +154,16 @@ def _links(
     return lists.sortWithinPartitions(*keys)
 
 
-def _superstep(tolerance: float, sliced: bool) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """The step from one state to the next; its expressions are built only once."""
+def _superstep(
+    tolerance: float, sliced: bool, tasks: int = 0
+) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The step from one state to the next, sent by ``tasks`` tasks, or by one for each
+    partition if that is 0; its expressions are built only once."""
     is_own = F.col("copies") == 0
     sent = F.lit(1.0 - RESET) * F.col("change") / F.col("degree") * F.col("copies")
     counts = (F.col("list") < 0) | (F.col("change") > tolerance)
     sums = [
-        F.sum(F.when(is_own, F.col("rank")).otherwise(sent)).alias("rank"),
+        F.max(F.when(is_own, F.col("rank"))).alias("rank"),
         F.sum(F.when(is_own, 0.0).otherwise(sent)).alias("change"),
         F.max(F.when(is_own, F.col("degree"))).alias("degree"),
         F.max(F.when(is_own, F.col("slices"))).alias("slices"),
@@ -165,7 +181,11 @@ def _superstep(tolerance: float, sliced: bool) -> Callable[[DataFrame, DataFrame
         sending = state.drop("lists").hint("merge").join(lists, keys).filter(counts)
         carried = ("src", "rank", "change", "degree", "slices")
         sent = sending.select(*carried, F.inline("out"))
-        return sent.groupBy(receiver).agg(*sums)
+        if tasks:
+            sent = sent.coalesce(tasks)
+        after = sent.groupBy(receiver).agg(*sums)
+        # Only the change is summed, so that a row in the shuffle has one number.
+        return after.withColumn("rank", F.col("rank") + F.col("change"))
 
     return step
 

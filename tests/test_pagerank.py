@@ -100,6 +100,41 @@ def test_parts_follow_the_number_of_links():
     assert module._partitions(10**12, 200) == 50_000
 
 
+def test_few_tasks_send_however_many_partitions(spark, monkeypatch):
+    assert module._tasks(10**6, 5, 12) == 5
+    assert module._tasks(10**7, 12, 12) == 6
+    assert module._tasks(10**9, 100, 12) == 10
+    assert module._tasks(10**7, 2, 1) == 2
+    plans, parts = [], []
+    build, links = module._superstep, module._links
+
+    def watched(*args):
+        step = build(*args)
+
+        def run(state, linked):
+            after = step(state, linked)
+            plans.append(after._jdf.queryExecution().executedPlan().toString())
+            return after
+
+        return run
+
+    monkeypatch.setattr(module, "_superstep", watched)
+    monkeypatch.setattr(module, "_links", lambda *args: parts.append(args[4]) or links(*args))
+    monkeypatch.setattr(module, "LINKS_PER_PARTITION", 20)
+    random = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in random.integers(0, 100, (700, 2))]
+    expected = brute_force(edges)
+    cores = spark.sparkContext.defaultParallelism
+    with module.settings(spark, spark__sql__shuffle__partitions=30):
+        assert ranks(pagerank(graph(spark, edges))) == pytest.approx(expected)
+        # Partitions that would be full: more of them, and no more tasks.
+        monkeypatch.setattr(module, "FULL_LINKS", 40)
+        assert ranks(pagerank(graph(spark, edges))) == pytest.approx(expected)
+    assert parts[0] == cores and cores < parts[1] <= 30
+    for plan in (plans[0], plans[-1]):
+        assert f"Coalesce {cores // 2}" in plan
+
+
 def test_empty_graph(spark):
     assert pagerank(graph(spark, [])).collect() == []
 
