@@ -8,6 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitgrain.operators.rank_blocks import block_ranks, named_block_ranks
 from fitgrain.session import settings, shared_folder
 
 RESET = 0.15
@@ -18,6 +19,12 @@ FULL_LINKS, COMBINED_LINKS = 10_000_000, 100_000_000
 #: Links that one list holds, about.
 LIST_LINKS = 1_000_000
 STEPS_SMALL, STEPS_LARGE = 4, 2
+#: From so many links on, or about so many edges by the size of what they are read from,
+#: links are packed into blocks of numbers. An edge is taken for so many bytes.
+PACKED_LINKS, EDGE_BYTES = 3_000_000, 16
+#: Spark takes a table of unknown size for larger than this.
+UNKNOWN_BYTES = 1 << 60
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -51,10 +58,20 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
     spark = edges.sparkSession
     shared_folder(spark)
     edges = edges.dropna(subset=["src", "dst"])
+    whole = all(edges.select(end).dtypes[0][1] in _WHOLE for end in ("src", "dst"))
+    likely = _likely_edges(edges) if whole else 0
+    if likely >= PACKED_LINKS:
+        ones = edges.select("src", "dst", F.lit(1).alias("copies"))
+        return _scaled(block_ranks(ones, likely, tolerance, RESET), edges)
     counted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies")).persist()
     persisted = [counted]
     try:
         links = counted.count()
+        if links >= PACKED_LINKS:
+            if whole:
+                return _scaled(block_ranks(counted, links, tolerance, RESET), edges)
+            ends = _initial_state(counted, links).select("src")
+            return _scaled(named_block_ranks(counted, ends, links, tolerance, RESET), edges)
         parts = _partitions(links, int(spark.conf.get("spark.sql.shuffle.partitions")))
         cores = spark.sparkContext.defaultParallelism
         parts = min(parts, max(2, cores, ceil(links / FULL_LINKS)))
@@ -82,14 +99,28 @@ def pagerank(edges: DataFrame, tolerance: float = 0.0001) -> DataFrame:
                     if parts == 1:
                         state = state.coalesce(1)
                 state = state.checkpoint()
-        total = state.agg(F.sum("rank").alias("rank"), F.count(F.lit(1)).alias("n")).first()
-        scale = total["n"] / total["rank"] if total["n"] else 1.0
-        return state.select(F.col("src").alias("id"), (F.col("rank") * F.lit(scale)).alias("rank"))
+        return _scaled(state.select(F.col("src").alias("id"), "rank"), edges)
     finally:
         for table in persisted:
             table.unpersist()
 
 
+def _scaled(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ranks with a mean of 1, by ids of the type that the ends of edges have."""
+    total = ranks.agg(F.sum("rank").alias("rank"), F.count(F.lit(1)).alias("n")).first()
+    scale = total["n"] / total["rank"] if total["n"] else 1.0
+    id_ = F.col("id").cast(vertices(edges).schema["id"].dataType)
+    return ranks.select(id_.alias("id"), (F.col("rank") * F.lit(scale)).alias("rank"))
+
+
+def _likely_edges(edges: DataFrame) -> int:
+    """About how many edges there are by the size of the tables; 0 if a size isn't known."""
+    leaves = edges._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = all(size < UNKNOWN_BYTES for size in sizes)
+    return sum(sizes) // EDGE_BYTES if known else 0
+
+
 def _partitions(links: int, session: int) -> int:
     """As many as the session uses, fewer for few links, more where partitions would burst."""
     needed = max(session, ceil(links / MOST_LINKS_PER_PARTITION))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from fitgrain.operators import pagerank as module
+from fitgrain.operators import rank_blocks
 from fitgrain.operators.pagerank import out_degrees, pagerank, ranks_by_name, vertices
 
 EDGES = [(2, 1), (4, 1), (1, 2), (6, 3), (7, 3), (7, 6), (6, 7), (3, 7), (3, 9), (3, 9), (5, 5)]
@@ -159,3 +160,100 @@ def test_degrees_vertices_and_names(spark):
     assert sorted(map(tuple, ranks_by_name(ranked, names).collect())) == [
         ("ann", 0.5), ("anna", 0.5), ("cy", 0.1),
     ]
+
+
+def blocks(monkeypatch, links=1):
+    """Pack every graph into blocks, several for each part, from several goes."""
+    calls = []
+    run = module.block_ranks
+    monkeypatch.setattr(module, "PACKED_LINKS", links)
+    for name, size in (
+        ("BLOCK_LINKS", 50), ("TASK_LINKS", 300), ("PACK_LINKS", 50), ("ROW_LINKS", 3),
+        ("MERGED_IDS", 20),
+    ):
+        monkeypatch.setattr(rank_blocks, name, size)
+    monkeypatch.setattr(module, "block_ranks", lambda *args: calls.append(args[1]) or run(*args))
+    return calls
+
+
+def odd_edges():
+    random = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in random.integers(-40, 40, (400, 2))]
+    # A vertex that sends most links, one that receives many, sinks, copies and large ids.
+    edges += [(0, 100 + i) for i in range(300)] + [(200 + i, 1) for i in range(150)]
+    edges += [(3, 7)] * 300 + [(8, 8), (2**62, -(2**62)), (5, 2**62), (2**40, 5)]
+    return edges
+
+
+def test_many_links_are_packed_into_blocks(spark, monkeypatch):
+    edges = odd_edges()
+    expected = brute_force(edges)
+    calls = blocks(monkeypatch)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    assert ranks(pagerank(graph(spark, edges))) == pytest.approx(expected)
+    assert ranks(pagerank(graph(spark, EDGES))) == pytest.approx(RANKS, abs=1e-6)
+    assert ranks(pagerank(graph(spark, edges + [(None, 1), (2, None)]))) == pytest.approx(expected)
+    assert len(calls) == 3
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    assert pagerank(graph(spark, [])).collect() == []
+
+
+def test_large_tables_are_packed_without_counting_first(spark, monkeypatch, tmp_path):
+    edges = odd_edges()
+    path = str(tmp_path / "edges")
+    graph(spark, edges + [(None, 1), (2, None)]).write.parquet(path)
+    calls = blocks(monkeypatch, 100)
+    monkeypatch.setattr(module, "EDGE_BYTES", 16)
+    monkeypatch.setattr(module, "_partitions", None)
+    read = spark.read.parquet(path)
+    assert ranks(pagerank(read)) == pytest.approx(brute_force(edges))
+    assert ranks(pagerank(read.filter("src is null"))) == {}
+    assert len(calls) == 2
+
+
+def test_blocks_of_text_ids(spark, monkeypatch):
+    edges = odd_edges()
+    calls = []
+    run = module.named_block_ranks
+    blocks(monkeypatch)
+    monkeypatch.setattr(
+        module, "named_block_ranks", lambda *args: calls.append(args[2]) or run(*args)
+    )
+    text = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in edges], "src string, dst string")
+    expected = {f"v{at}": rank for at, rank in brute_force(edges).items()}
+    assert ranks(pagerank(text)) == pytest.approx(expected)
+    assert len(calls) == 1
+
+
+def test_a_packed_superstep_shuffles_once(spark, monkeypatch):
+    plans = []
+    make = rank_blocks._superstep
+    blocks(monkeypatch)
+
+    def watched(*args):
+        step = make(*args)
+        step.__name__ = "watched_step"
+        return step
+
+    monkeypatch.setattr(rank_blocks, "_superstep", watched)
+    checkpoint = type(spark.range(0)).checkpoint
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df, *args)
+
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", seen)
+    pagerank(graph(spark, odd_edges()))
+    steps = [plan for plan in plans if "watched_step" in plan]
+    # Four supersteps from one checkpoint to the next: a shuffle each, and no row meets another.
+    top = steps[1][: steps[1].index("InMemoryTableScan")]
+    assert top.count("watched_step") == top.count("Exchange") == rank_blocks.STEPS
+    assert "Join" not in top and "Aggregate" not in top
+
+
+def test_parts_and_lanes_follow_the_number_of_links():
+    assert rank_blocks._parts(0, 8) == (1, 1)
+    assert rank_blocks._parts(3_000_000, 8) == (3, 1)
+    assert rank_blocks._parts(425_000_000, 8) == (8, 7)
+    assert rank_blocks._parts(425_000_000, 2) == (6, 12)
+    assert rank_blocks._parts(10**10, 64) == (128, 1)
